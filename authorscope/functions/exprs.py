@@ -72,6 +72,29 @@ def std_pop(array: Column) -> Column:
     return F.sqrt(var_pop(array))
 
 
+def count_moments(counts: Column) -> Column:
+    """``struct(n, mean, var)`` of an array of small integers, from exact sums, so ties at a threshold are stable."""
+    def sums(xs: Column) -> Column:
+        as_double = lambda x: x.cast("double")
+        return F.struct(
+            F.size(xs).cast("double").alias("n"),
+            total(xs, as_double).alias("s"),
+            total(xs, lambda x: as_double(x) * as_double(x)).alias("q"),
+        )
+
+    return let(
+        let(counts, sums),
+        lambda m: F.when(
+            m["n"] > 0,
+            F.struct(
+                m["n"].alias("n"),
+                (m["s"] / m["n"]).alias("mean"),
+                ((m["n"] * m["q"] - m["s"] * m["s"]) / (m["n"] * m["n"])).alias("var"),
+            ),
+        ),
+    )
+
+
 def run_bounds(ordered: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
     """Runs of equal keys in a sorted array, as ``struct(b, e)`` with ``b`` inclusive and ``e`` exclusive (0-based)."""
     def runs(xs: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import ScoringConfig
 from ..functions import text as T
 from ..functions.exprs import (
+    count_moments,
     entropy_of_counts,
     fixed,
     int_list,
@@ -181,9 +182,16 @@ def repeated_ngrams(tokens: Column, shorter: Column, n: int) -> Column:
     return let(tokens, from_tokens).cast(REPEATED)
 
 
-def window_ratios(tokens: Column) -> Column:
-    """Distinct share of each 50-token window, one window every 25 tokens."""
-    return F.transform(T.token_windows(tokens), lambda w: F.size(F.array_distinct(w)) / F.lit(50.0))
+def window_diversity(tokens: Column) -> Column:
+    """``struct(n, mean, sd)`` of the distinct share of 50-token windows, one window every 25 tokens."""
+    width = 50.0
+    distinct = F.transform(T.token_windows(tokens), lambda w: F.size(F.array_distinct(w)))
+    return let(
+        count_moments(distinct),
+        lambda m: F.struct(
+            m["n"].alias("n"), (m["mean"] / width).alias("mean"), (F.sqrt(m["var"]) / width).alias("sd")
+        ),
+    )
 
 
 def normalised_line_entropy(filled_lines: Column) -> Column:
@@ -197,13 +205,17 @@ def normalised_line_entropy(filled_lines: Column) -> Column:
 
 def sentence_variation(sentences: Column) -> Column:
     """``struct(mean, sd, cv)`` of words per sentence; null below five sentences."""
-    def of(lengths: Column) -> Column:
-        return let(
-            F.struct(mean(lengths).alias("mean"), std_pop(lengths).alias("sd")),
-            lambda m: F.struct(m["mean"].alias("mean"), m["sd"].alias("sd"), (m["sd"] / m["mean"]).alias("cv")),
-        )
-
-    return F.when(F.size(sentences) >= 5, let(F.transform(sentences, T.word_count), of))
+    return F.when(
+        F.size(sentences) >= 5,
+        let(
+            count_moments(F.transform(sentences, T.word_count)),
+            lambda m: F.struct(
+                m["mean"].alias("mean"),
+                F.sqrt(m["var"]).alias("sd"),
+                (F.sqrt(m["var"]) / m["mean"]).alias("cv"),
+            ),
+        ),
+    )
 
 
 def leading_words(sentences: Column) -> Column:
@@ -309,8 +321,8 @@ def ngram_signal(repeated: Column, n: int) -> Column:
 
 def vocabulary_signals(tokens: Column, runs: Column) -> list[Column]:
     """``tokens`` and ``runs`` are null below the token guard."""
-    def uniform(ratios: Column) -> Column:
-        stats = F.when(F.size(ratios) >= 4, F.struct(mean(ratios).alias("mean"), std_pop(ratios).alias("sd")))
+    def uniform(windows: Column) -> Column:
+        stats = F.when(windows["n"] >= 4, windows)
         return let(
             stats,
             lambda st: F.when(
@@ -352,7 +364,7 @@ def vocabulary_signals(tokens: Column, runs: Column) -> list[Column]:
 
     enough = F.size(tokens) >= MIN_TOKENS_VOCABULARY
     sizes = F.when(enough, F.struct(F.size(runs).alias("distinct"), F.size(tokens).alias("all")))
-    return [let(F.when(enough, window_ratios(tokens)), uniform), let(sizes, low)]
+    return [let(F.when(enough, window_diversity(tokens)), uniform), let(sizes, low)]
 
 
 def code_line_signals(filled_lines: Column) -> list[Column]:

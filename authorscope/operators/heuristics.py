@@ -7,9 +7,10 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as T
-from ..functions.exprs import any_of, fixed, int_list, let, mean, percent, var_pop
+from ..functions.exprs import any_of, count_moments, fixed, int_list, let, percent
 from ..functions.regex import java_regex
 from ..schema import signal
 from .rules import PatternRule, capped, first, hits, instances, when_hit
@@ -136,7 +137,7 @@ _BY_NUMBER = {
 PHRASE_RULES = tuple(_BY_NUMBER[n] for n in _PHRASE_ORDER)
 
 
-@F.pandas_udf("struct<badges:int,feature_lists:int>")
+@F.pandas_udf(StructType([StructField("badges", IntegerType()), StructField("feature_lists", IntegerType())]))
 def markdown_lists(content: pd.Series) -> pd.DataFrame:
     """Match counts of the two patterns whose backtracking Java cannot run on long lists.
 
@@ -469,9 +470,7 @@ def documentation_signals(content: Column, lowered: Column, sentences: Column, m
     ]
 
     def uniform(lengths: Column) -> Column:
-        stats = F.when(
-            F.size(lengths) >= 5, F.struct(mean(lengths).alias("mean"), var_pop(lengths).alias("var"))
-        )
+        stats = F.when(F.size(lengths) >= 5, count_moments(lengths))
         return let(
             stats,
             lambda st: F.when(

@@ -12,7 +12,7 @@ from ..schema import SIGNALS, confidence_band, is_definitive
 from . import distribution as D
 from . import heuristics as H
 from . import predictability as P
-from .markers import attribution_signals, compact, marker_signals
+from .markers import ATTRIBUTION_RULES, attribution_signals, compact, marker_signals
 
 
 def with_text_views(texts: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
@@ -224,10 +224,44 @@ def score_rows(
     texts: DataFrame, keys: list[str], config: ScoringConfig = DEFAULT, *, markers: bool = True
 ) -> DataFrame:
     """Score a table with ``content``, ``content_type``, ``line_count`` (and ``path`` when ``markers``)."""
+    # A one-element inline is a row-local fence: filters and projections on the result are not substituted back into
+    # the rules, which would evaluate them again for each use.
     signals = with_text_views(texts, config).select(
-        *keys, "content_type", "line_count", signal_array(config, markers=markers).alias("signals")
+        *keys,
+        "content_type",
+        "line_count",
+        F.inline(F.array(F.struct(signal_array(config, markers=markers).alias("signals")))),
     )
     return with_score(signals, config).select(
         *keys, "content_type", "line_count", "ai_probability", "confidence", "ai_line_estimate",
         "max_definitive", "signals",
     )
+
+
+@built_once
+def rule_catalog(config: ScoringConfig = DEFAULT) -> dict[str, Column]:
+    """Each text rule alone, as a nullable signal over the text views. ``F2`` covers both burstiness outcomes."""
+    content, kind = F.col("content"), F.col("content_type")
+    long_enough = F.length(content) >= config.min_content_length
+    families = [
+        ([r.rule_id for r in ATTRIBUTION_RULES], attribution_signals(content, F.col("_low")), F.lit(True)),
+        ([r.rule_id for r in H.PHRASE_RULES], H.phrase_signals(F.col("_low")), long_enough),
+        ([f"E{i}" for i in range(24, 36)], code_signals(), long_enough & (kind == "code")),
+        (
+            [f"E{i}" for i in (*range(36, 45), 47)],
+            documentation_signals(),
+            long_enough & (kind == "documentation"),
+        ),
+        (["E45", "E46"], configuration_signals(), long_enough & (kind == "configuration")),
+        (
+            ["F2", "F4", "F5", *(f"F6.{n}" for n in config.ngram_sizes), "F7", "F8", "F11", "F12", "F9", "F10"],
+            D.distribution_signals(token_views(config), config),
+            F.col("_tokens").isNotNull(),
+        ),
+        (["G1", "G2"], P.fallback_signals(content, F.col("_low")), F.lit(True)),
+    ]
+    return {
+        rule_id: F.when(guard, column)
+        for ids, columns, guard in families
+        for rule_id, column in zip(ids, columns, strict=True)
+    }

@@ -112,7 +112,7 @@ def category_breakdown(summary: DataFrame, categories: DataFrame) -> DataFrame:
         F.coalesce(F.col("total_files").cast("string"), dash).alias("files"),
         F.coalesce(thousands(F.col("total_lines")), dash).alias("lines"),
         F.coalesce(percent(F.col("ai_probability"), 1), dash).alias("ai_probability"),
-        F.coalesce(risk_band(F.when(F.col("ai_probability").isNotNull(), F.col("ai_probability"))), dash).alias("band"),
+        F.when(F.col("ai_probability").isNull(), dash).otherwise(risk_band(F.col("ai_probability"))).alias("band"),
         F.coalesce(title_case(F.col("confidence")), dash).alias("confidence"),
     )
 
