@@ -5,7 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, location: str, schema: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """Read a Parquet or JSON table; give ``schema`` for JSON so no pass over the data infers it."""
+def read_table(
+    spark: SparkSession, location: str, schema: str | None = None, fmt: str = "parquet", *, spread: bool = False
+) -> DataFrame:
+    """Read a Parquet or JSON table; give ``schema`` for JSON so no pass over the data infers it.
+
+    ``spread`` is for text tables stored as a few large splits, see :func:`spread_rows`.
+    """
     reader = spark.read.format(fmt)
-    return (reader.schema(schema) if schema else reader).load(location)
+    table = (reader.schema(schema) if schema else reader).load(location)
+    return spread_rows(table) if spread else table
+
+
+def spread_rows(scan: DataFrame, per_core: int = 3) -> DataFrame:
+    """Deal rows to all cores when the scan has fewer splits than that; large tables pass unchanged.
+
+    Scoring costs far more per byte than a shuffle, and a Parquet file cannot be split inside a row group, so a table
+    of a few big row groups would leave most cores idle. Only for plain scans: the split count is read from the plan.
+    """
+    wanted = scan.sparkSession.sparkContext.defaultParallelism * per_core
+    return scan if scan.rdd.getNumPartitions() >= wanted else scan.repartition(wanted)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from authorscope.sources.tables import read_table
+
 _DOCSTRING = '"""\nMake a thing.\n\nArgs:\n    name: the name to use\n\nReturns:\n    the thing itself\n"""\n'
 _LONG_DOCSTRING = '"""\n' + "plain words of text again " * 24 + '\n"""\n'
 _BURSTS = "".join(f"{w} " * 20 for w in (
@@ -167,7 +169,7 @@ def pick(values: list, index: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread=name in {"documents", "conversations"})
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
