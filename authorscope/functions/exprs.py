@@ -57,7 +57,7 @@ def total(array: Column, item: Callable[[Column], Column]) -> Column:
 
 def mean(array: Column) -> Column:
     """Mean of a non-empty numeric array."""
-    return total(array, lambda x: x.cast("double")) / F.size(array)
+    return let(array, lambda xs: total(xs, lambda x: x.cast("double")) / F.size(xs))
 
 
 def var_pop(array: Column) -> Column:
