@@ -67,9 +67,9 @@ def newest_commits(commits: DataFrame, config: ScoringConfig = DEFAULT) -> DataF
     """
     newest = W.partitionBy("repo").orderBy(F.col("date").desc_nulls_last(), "sha")
     return (
-        commits.withColumn("rank", F.row_number().over(newest) - 1)
-        .where(F.col("rank") < config.max_commits)
-        .withColumn("message", T.strip(F.col("message")))
+        commits.withColumn("rank", F.row_number().over(newest))
+        .where(F.col("rank") <= config.max_commits)
+        .withColumns({"rank": F.col("rank") - 1, "message": T.strip(F.col("message"))})
     )
 
 

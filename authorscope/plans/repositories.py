@@ -59,11 +59,12 @@ def score_repositories(
 ) -> RepositoryScores:
     """Score every repository in ``files`` and ``commits``.
 
-    Scored files are written once to the shared folder: four aggregates read them, and none re-runs the rules.
+    Scored files, marker rows and repo signals are written once to the shared folder: several aggregates read them,
+    none re-runs the rules, and a lost executor costs only its own tasks.
     """
     kept = intake.cap_files(intake.select_files(files, config), config)
     file_scores = durable(score_files(kept, config), "file-scores")
-    marks = markers.marker_rows(kept)
+    marks = durable(markers.marker_rows(kept), "marker-rows")
     history = None
     repos = files.select("repo").distinct()
     if commits is not None and config.enable_commit_analysis:

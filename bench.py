@@ -23,7 +23,7 @@ HEADLINE = [
     "d03_attribution_01",
     "e24_high_comment_ratio",
     "e40_feature_list",
-    "f02_low_and_high_burstiness",
+    "f02_low_burstiness",
     "f04_zipf_fit",
     "f06_repeated_2grams",
     "g02_predictability",

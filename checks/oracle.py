@@ -317,11 +317,11 @@ stats_rule(
     f"{LONG} AND k >= 5 AND v < 50", "0.5",
     "'Average: ' || format('{:.1f}', mu) || ' words, variance: ' || format('{:.1f}', v)",
 )
+_BURST_TEXT = "'Average burstiness: ' || format('{:.3f}', b)"
 stats_rule(
-    "F2", "", 0.0, "SELECT * FROM burst", "b < 0.15 OR b > 0.5",
-    "CASE WHEN b < 0.15 THEN least(0.8, 0.3 + (0.15 - b) * 2) ELSE 0.2 END",
-    "'Average burstiness: ' || format('{:.3f}', b)",
+    "F2", "Low burstiness", 0.6, "SELECT * FROM burst", "b < 0.15", "least(0.8, 0.3 + (0.15 - b) * 2)", _BURST_TEXT
 )
+stats_rule("F3", "High burstiness", 0.5, "SELECT * FROM burst", "b > 0.5", "0.2", _BURST_TEXT)
 stats_rule(
     "F4", "Poor Zipf fit", 0.4, "SELECT * FROM zipf", "r2 < 0.85 AND NOT flat", "least(0.7, 0.3 + (0.85 - r2) * 2)",
     "'Zipf exponent: ' || format('{:.2f}', abs(slope)) || ', R²: ' || format('{:.2f}', r2)",
@@ -415,12 +415,10 @@ def doubles(sql: str) -> str:
 
 
 def rule_weight(rid: str) -> str:
-    return "CASE WHEN score = 0.2 THEN 0.5 ELSE 0.6 END" if rid == "F2" else repr(RULES[rid][1])
+    return repr(RULES[rid][1])
 
 
 def rule_name(rid: str) -> str:
-    if rid == "F2":
-        return "CASE WHEN score = 0.2 THEN 'High burstiness' ELSE 'Low burstiness' END"
     return q(RULES[rid][0])
 
 

@@ -359,7 +359,10 @@ register(
 def rule_query(rule_id: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         views = with_text_views(eligible_files(spark, sf_dir))
-        return views.select("repo", "path", rule_catalog()[rule_id].alias("s")).select(
+        found = rule_catalog()["F2" if rule_id == "F3" else rule_id]  # one column yields either burstiness signal
+        if rule_id in {"F2", "F3"}:
+            found = F.when(found["rule_id"] == rule_id, found)
+        return views.select("repo", "path", found.alias("s")).select(
             "repo", "path", r6("s.score").alias("score"), F.col("s.weight").alias("weight"),
             F.array_join("s.evidence", "|").alias("evidence"),
         )
@@ -374,7 +377,7 @@ _KEYS_BY_RULE = {
     "E34": "templated_docstrings", "E35": "verbose_docstrings", "E36": "section_headers", "E37": "emoji",
     "E38": "badges", "E39": "table_of_contents", "E40": "feature_list", "E41": "buzzwords", "E42": "project_intro",
     "E43": "marketing_phrases", "E44": "audience_targeting", "E45": "config_comments", "E46": "placeholder_values",
-    "E47": "uniform_sentence_length", "F2": "low_and_high_burstiness", "F4": "zipf_fit", "F5": "zipf_exponent",
+    "E47": "uniform_sentence_length", "F2": "low_burstiness", "F3": "high_burstiness", "F4": "zipf_fit", "F5": "zipf_exponent",
     "F6.2": "repeated_2grams", "F6.3": "repeated_3grams", "F6.4": "repeated_4grams", "F7": "uniform_vocabulary",
     "F8": "low_diversity", "F9": "uniform_sentence_variation", "F10": "repetitive_starts", "F11": "uniform_line_lengths",
     "F12": "limited_indent_levels", "G1": "character_entropy", "G2": "predictability",
@@ -782,7 +785,7 @@ _families = list(O.RULES)
 _order = (
     [r.rule_id for r in markers.ATTRIBUTION_RULES] + ["D1"]
     + [r for r in _families if r[0] == "E"]
-    + ["F2", "F4", "F5", "F6.2", "F6.3", "F6.4", "F7", "F8", "F11", "F12", "F9", "F10"]
+    + ["F2", "F3", "F4", "F5", "F6.2", "F6.3", "F6.4", "F7", "F8", "F11", "F12", "F9", "F10"]
 )
 O.CTES["sig"] = " UNION ALL ".join(
     [
