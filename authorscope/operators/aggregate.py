@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScoringConfig
 from ..schema import SCORED_TYPES, confidence_band, confidence_ordinal, is_definitive, repo_verdict
+from .topk import leading_rows
 
 COMMIT_WEIGHT_DEFINITIVE = 2.0
 COMMIT_WEIGHT = 0.1
@@ -114,14 +115,11 @@ def all_signals(file_scores: DataFrame, signals: DataFrame) -> DataFrame:
 
 def top_names(signals: DataFrame, keep: Column, strength: Column, k: int, name: str) -> DataFrame:
     """Names of the ``k`` strongest kept signals per repo, repeats included; ties by place."""
-    order = W.partitionBy("repo").orderBy(F.col("strength").desc(), "place")
+    kept = signals.where(keep).select("repo", "place", "name", strength.alias("strength"))
     return (
-        signals.where(keep)
-        .select("repo", "place", "name", strength.alias("strength"))
-        .withColumn("r", F.row_number().over(order))
-        .where(F.col("r") <= k)
+        leading_rows(kept, ["repo"], [F.col("strength").desc(), "place"], k)
         .groupBy("repo")
-        .agg(F.sort_array(F.collect_list(F.struct("r", "name"))).alias("top"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "name"))).alias("top"))
         .select("repo", F.transform("top", lambda t: t["name"]).alias(name))
     )
 

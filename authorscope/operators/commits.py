@@ -1,7 +1,7 @@
 """Commit-history rules: per commit, then across the newest commits of each repo.
 
-The per-repo cap on commits bounds every array built here, and the one shuffle (by repo) carries derived fields of
-the kept commits only.
+The per-repo cap on commits bounds every array built here. Tasks prune to the cap before rows move, and the final
+shuffle by repo serves both the ranking and the grouping.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from ..schema import SIGNALS, signal
 from .markers import commit_marker_signals, compact, is_ai_author
 from .rules import first
 from .scoring import weighted_mean
+from .topk import leading_rows
 
 # ---- fixed values: message, author and bot patterns ----
 MESSAGE_RULES = (
@@ -60,17 +61,10 @@ SIGNIFICANT_BURST = 5
 
 
 def newest_commits(commits: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
-    """The newest commits of each repo with their rank (0 = newest); messages stripped.
-
-    The rank limit is applied per map task before the shuffle, so a repo with a third of all commits sends at most
-    ``max_commits`` rows per task.
-    """
-    newest = W.partitionBy("repo").orderBy(F.col("date").desc_nulls_last(), "sha")
-    return (
-        commits.withColumn("rank", F.row_number().over(newest))
-        .where(F.col("rank") <= config.max_commits)
-        .withColumns({"rank": F.col("rank") - 1, "message": T.strip(F.col("message"))})
-    )
+    """The newest commits of each repo with their rank (0 = newest); messages stripped."""
+    return leading_rows(
+        commits, ["repo"], [F.col("date").desc_nulls_last(), "sha"], config.max_commits
+    ).withColumns({"rank": F.col("rank") - 1, "message": T.strip(F.col("message"))})
 
 
 def change_totals(commit_files: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScoringConfig
 from ..functions import text as T
+from ..plans.durable import durable
 from .classify import content_type
+from .topk import leading_rows
 
 # ---- fixed values: git-style ignore patterns, hidden directories that stay, text bytes ----
 IGNORE_PATTERNS = tuple(
@@ -102,16 +103,9 @@ def select_files(files: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame
 
 
 def file_cutoffs(files: DataFrame, max_files: int) -> DataFrame:
-    """The last path kept in each repo that has more than ``max_files`` files.
-
-    ``row_number() <= k`` is pruned per map task before the shuffle, so a repo with a third of all files sends at
-    most ``k`` paths per task. Only ``repo`` and ``path`` are read.
-    """
-    ranked = files.select("repo", "path").withColumn(
-        "rank", F.row_number().over(W.partitionBy("repo").orderBy("path"))
-    )
+    """The last path kept in each repo that has more than ``max_files`` files. Reads ``repo`` and ``path`` only."""
     return (
-        ranked.where(F.col("rank") <= max_files + 1)
+        leading_rows(files.select("repo", "path"), ["repo"], ["path"], max_files + 1)
         .groupBy("repo")
         .agg(
             F.max(F.when(F.col("rank") == max_files, F.col("path"))).alias("last_path"),
@@ -123,14 +117,14 @@ def file_cutoffs(files: DataFrame, max_files: int) -> DataFrame:
 
 
 def cap_files(files: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
-    """Keep the first ``max_files`` files of each repo in path order.
+    """Keep the first ``max_files`` files of each repo in path order. Paths are unique within a repo.
 
-    Contents are never shuffled for the ranking. The cut-off rows exist only for repos over the cap; they are
-    measured first and broadcast when small, else joined on ``repo`` (adaptive skew splitting applies).
+    Contents are never shuffled for the ranking. The cut-off rows exist only for repos over the cap; they are written
+    once, measured, and broadcast when small, else joined on ``repo`` (adaptive skew splitting applies).
     """
     if config.max_files is None:
         return files
-    cutoffs = file_cutoffs(files, config.max_files)
+    cutoffs = durable(file_cutoffs(files, config.max_files), "file-cutoffs")
     size = cutoffs.agg(
         F.coalesce(F.sum(F.octet_length("repo") + F.octet_length("last_path") + 32), F.lit(0)).alias("b")
     ).first()["b"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import any_of
@@ -11,6 +10,7 @@ from ..functions.regex import java_regex
 from ..schema import SIGNALS, signal
 from .classify import file_name
 from .rules import PatternRule, first, hits, may_match, when_hit
+from .topk import leading_rows
 
 WEIGHT = 0.95
 
@@ -138,11 +138,9 @@ def multiple_markers(markers: DataFrame) -> DataFrame:
     """
     counts = markers.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
     leading = (
-        markers.select("repo", "path", "k")
-        .withColumn("r", F.row_number().over(W.partitionBy("repo").orderBy("path", "k")))
-        .where(F.col("r") <= 5)
+        leading_rows(markers.select("repo", "path", "k"), ["repo"], ["path", "k"], 5)
         .groupBy("repo")
-        .agg(F.sort_array(F.collect_list(F.struct("r", "path"))).alias("top"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("top"))
     )
     return counts.join(leading, "repo").select(
         "repo",

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScoringConfig
 from ..functions.exprs import fixed, percent, thousands
+from ..operators.topk import leading_rows
 from ..plans.repositories import RepositoryScores
 from ..schema import SCORED_TYPES, is_definitive, risk_band, snippet_verdict
 
@@ -16,8 +16,8 @@ COMMIT_WORDS = ("commit", "author", "co-author", "attributed", "marker file")
 
 
 def _top(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
-    """First ``k`` rows per repo with their rank ``r``; pruned per map task before the shuffle."""
-    return df.withColumn("r", F.row_number().over(W.partitionBy("repo").orderBy(*order))).where(F.col("r") <= k)
+    """First ``k`` rows per repo with their rank ``r``."""
+    return leading_rows(df, ["repo"], list(order), k).withColumnRenamed("rank", "r")
 
 
 def title_case(value: Column) -> Column:

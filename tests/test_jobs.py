@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from authorscope import ScoringConfig, score_files, score_repositories, score_texts
 from authorscope.operators import commits, intake, markers
+from authorscope.operators.topk import leading_rows
 from authorscope.plans.durable import durable, shared_folder
 from authorscope.schema import FILES_SCHEMA
 from authorscope.sinks import reports
@@ -159,9 +160,17 @@ def test_marker_and_cap_plans_read_paths_only(spark, tmp_path):
     assert "ReadSchema: struct<repo:string,path:string>" in cut and "WindowGroupLimit" in cut
 
 
-def test_commit_rules_use_one_shuffle(spark):
+def test_commit_rules_shuffle_pruned_rows_only(spark):
     plan = plan_of(commits.history_signals(corpus.commits(spark, SF)))
-    assert plan.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in plan
+    # merge of task groups, then by repo; the grouping by repo adds none
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("WindowGroupLimit") == 4
+
+
+def test_leading_rows_of_one_group_over_many_tasks(spark):
+    rows = spark.range(0, 20000, 1, 64).select(F.lit("hot").alias("repo"), (F.col("id") * 7919 % 20011).alias("x"))
+    for fan_in in (1, 8, 512):
+        got = [r.x for r in leading_rows(rows, ["repo"], ["x"], 25, fan_in).orderBy("rank").collect()]
+        assert got == [r.x for r in rows.orderBy("x").limit(25).collect()]
 
 
 def test_durable_tables(spark, tmp_path):
