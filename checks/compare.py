@@ -47,6 +47,17 @@ def normal(value):
     return value
 
 
+SAME_TYPE = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE",
+}
+
+
+def type_differences(df, con, sql: str) -> list[str]:
+    """Columns whose SQL type is not the counterpart of the Spark type."""
+    described = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [f"{n} {t}/{described.get(n)}" for n, t in df.dtypes if SAME_TYPE.get(t) != described.get(n)]
+
+
 def rows_of(columns: list[str], rows) -> Counter:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return Counter(tuple(normal(r[i]) for i in order) for r in rows)
@@ -64,8 +75,10 @@ def compare(spark, con, key: str, query, sql: str | None, sf_dir: str) -> tuple[
     if sorted(names) != sorted(df.columns):
         return False, f"{key}: columns {sorted(df.columns)} against {sorted(names)}"
     got, want = rows_of(df.columns, got_rows), rows_of(names, cursor.fetchall())
+    types = type_differences(df, con, sql)
     if got == want:
-        return True, f"{key}: {len(got_rows)} rows, {spent:.1f}s"
+        note = f", types {types}" if types else ""
+        return not types, f"{key}: {len(got_rows)} rows, {spent:.1f}s{note}"
     extra, missing = list((got - want).items()), list((want - got).items())
     return False, (
         f"{key}: {sum(got.values())} against {sum(want.values())} rows, {len(extra)} differ\n   spark {sorted(map(str, extra))[:3]}"

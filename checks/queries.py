@@ -68,7 +68,7 @@ def r6(c: Column | str) -> Column:
 register(
     "a01_file_table",
     on_files(lambda f: f.select("repo", "path", "size", F.length("content").alias("chars"))),
-    with_ctes("SELECT repo, path, size, length(content) AS chars FROM files"),
+    with_ctes("SELECT repo, path, size, length(content)::INT AS chars FROM files"),
 )
 register(
     "a02_ignored_paths",
@@ -180,7 +180,7 @@ register(
         )
     ),
     with_ctes(
-        f"SELECT repo, sha, rank, {O.strip('message')} AS message FROM (SELECT *, {_NEWEST} AS rank FROM commits) "
+        f"SELECT repo, sha, rank::INT AS rank, {O.strip('message')} AS message FROM (SELECT *, {_NEWEST} AS rank FROM commits) "
         "WHERE rank < 50"
     ),
 )
@@ -200,7 +200,7 @@ register(
         )
     ),
     with_ctes(
-        "SELECT repo, path, rank, sha[1:8] AS sha, subject, author, strftime(date, '%Y-%m-%d') AS day FROM (SELECT f.repo, f.path, "
+        "SELECT repo, path, rank::INT AS rank, sha[1:8] AS sha, subject, author, strftime(date, '%Y-%m-%d') AS day FROM (SELECT f.repo, f.path, "
         "c.sha, c.author, c.date, str_split(trim(c.message, ' ' || chr(10)), chr(10))[1] AS subject, row_number() OVER "
         "(PARTITION BY f.repo, f.path ORDER BY c.date DESC, c.sha) AS rank FROM ocfiles f JOIN ocommits c "
         "ON f.repo = c.repo AND f.sha = c.sha) WHERE rank <= 10"
@@ -998,8 +998,92 @@ register(
 # ---------------------------------------------------------------- J: reports
 _PCT = "format('{{:.1f}}', {0} * 100) || '%'"
 _RISK = "CASE WHEN {0} < 0.3 THEN 'green' WHEN {0} < 0.5 THEN 'yellow' WHEN {0} < 0.7 THEN 'orange1' ELSE 'red' END"
-register("j01_json_reports", repositories(lambda r: R.json_reports(r, DEFAULT, F.lit("2024-01-01").cast("timestamp"))), None)
-register("j02_markdown_reports", repositories(lambda r: R.markdown_reports(r, F.lit("2024-01-01").cast("timestamp"))), None)
+O.CTES["wide"] = (
+    "SELECT repo, max(p) FILTER (content_type = 'code') AS code, max(p) FILTER (content_type = 'documentation') AS documentation, "
+    "max(p) FILTER (content_type = 'configuration') AS configuration FROM ccat GROUP BY repo"
+)
+_STAMP = "2024-01-01"
+_DOCUMENT = (
+    "struct<repository:string,timestamp:string,summary:struct<overall_ai_probability:double,confidence:string,total_files:bigint,"
+    "total_lines:bigint>,breakdown:struct<code:struct<ai_probability:double,top_signals:array<string>>,documentation:struct<"
+    "ai_probability:double,top_signals:array<string>>,configuration:struct<ai_probability:double,top_signals:array<string>>>,"
+    "top_ai_signals:array<string>,files:array<struct<path:string,type:string,ai_probability:double,signals:array<struct<name:string>>>>>"
+)
+
+
+def json_contents(scores) -> DataFrame:
+    """The JSON documents read back, so their contents can be checked."""
+    report = R.json_reports(scores, DEFAULT, F.lit(_STAMP).cast("timestamp")).select(
+        "repo", F.from_json("report", _DOCUMENT).alias("d")
+    )
+    names = lambda f: F.array_join(F.transform(f["signals"], lambda x: x["name"]), "|")
+    return report.select(
+        "repo",
+        F.col("d.repository").alias("repository"),
+        F.col("d.timestamp").alias("timestamp"),
+        r6("d.summary.overall_ai_probability").alias("overall_ai_probability"),
+        F.col("d.summary.confidence").alias("confidence"),
+        *[r6(f"d.breakdown.{t}.ai_probability").alias(t) for t in ("code", "documentation", "configuration")],
+        F.array_join("d.breakdown.code.top_signals", "|").alias("code_top"),
+        F.array_join("d.top_ai_signals", "|").alias("top_ai_signals"),
+        F.array_join(
+            F.transform("d.files", lambda f: F.concat_ws(" ", f["path"], f["type"], names(f))), "; "
+        ).alias("files"),
+    )
+
+
+register(
+    "j01_json_reports",
+    repositories(json_contents),
+    source_sql(
+        f"SELECT r.repo, r.repo AS repository, '{_STAMP}T00:00:00' AS timestamp, round(greatest(mean, coalesce(flr, 0)), 6) AS overall_ai_probability, "
+        f"{_RCONF} AS confidence, round(code, 6) AS code, round(documentation, 6) AS documentation, round(configuration, 6) AS configuration, "
+        "array_to_string(ct.top, '|') AS code_top, coalesce(array_to_string(ta.top, '|'), '') AS top_ai_signals, coalesce(fl, '') AS files "
+        "FROM rsum r LEFT JOIN wide w ON r.repo = w.repo LEFT JOIN topai ta ON r.repo = ta.repo "
+        "LEFT JOIN (SELECT * FROM ctop WHERE content_type = 'code') ct ON r.repo = ct.repo LEFT JOIN (SELECT repo, "
+        "string_agg(path || ' ' || content_type || ' ' || coalesce(ns, ''), '; ' ORDER BY path) AS fl FROM fscore LEFT JOIN "
+        f"(SELECT {KEYS}, string_agg(name, '|' ORDER BY ord) AS ns FROM sig GROUP BY {KEYS}) USING (repo, path) GROUP BY repo) f ON r.repo = f.repo"
+    ),
+)
+_TITLE = (
+    "CASE {0} WHEN 'very_low' THEN 'Very Low' WHEN 'low' THEN 'Low' WHEN 'medium' THEN 'Medium' WHEN 'high' THEN 'High' ELSE 'Very High' END"
+)
+_MD_CATEGORY = (
+    "coalesce((SELECT '| {1} | ' || total_files || ' | ' || format('{{:,}}', total_lines) || ' | ' || format('{{:.1f}}', p * 100) || '% | ' || "
+    "confidence || ' |' FROM ccat c WHERE c.repo = r.repo AND c.content_type = '{0}'), '| {1} | - | - | - | - |')"
+)
+
+
+def markdown_sql() -> str:
+    lines = (
+        ["'# Provenance report: ' || r.repo", "''", f"'**Analyzed:** {_STAMP} 00:00:00'", "''", "'## Summary'", "''"]
+        + ["'| Metric | Value |'", "'|--------|-------|'"]
+        + [f"'| Overall AI Probability | ' || {_PCT.format('greatest(mean, coalesce(flr, 0))')} || ' |'"]
+        + [f"'| Confidence | ' || {_TITLE.format('(' + _RCONF + ')')} || ' |'"]
+        + ["'| Files Analyzed | ' || total_files || ' |'", "'| Lines Analyzed | ' || format('{:,}', total_lines) || ' |'"]
+        + ["''", "'## Breakdown by Content Type'", "''", "'| Category | Files | Lines | AI Probability | Confidence |'"]
+        + ["'|----------|-------|-------|----------------|------------|'"]
+        + [_MD_CATEGORY.format(t, R.TITLES[t]) for t in ("code", "documentation", "configuration")]
+        + ["''", "'## Top AI Indicators'", "''"]
+        + ["coalesce('- ' || array_to_string(ta.top, chr(10) || '- '), '- No significant AI indicators found')"]
+        + ["''", "'## Files with Highest AI Probability'", "''", "'| File | Type | Lines | AI Probability |'"]
+        + ["'|------|------|-------|----------------|'"]
+    )
+    rows = (
+        f"SELECT repo, string_agg(chr(10) || '| ' || path || ' | ' || content_type || ' | ' || line_count || ' | ' || {_PCT.format('p')} || ' |', '' ORDER BY k) AS fr "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY p DESC, path) AS k FROM fscore) WHERE k <= 15 AND p > 0.3 GROUP BY repo"
+    )
+    joined = " || chr(10) || ".join(f"({x})" for x in lines)
+    return source_sql(
+        f"SELECT r.repo, {joined} || coalesce(fr, '') AS report FROM rsum r LEFT JOIN topai ta ON r.repo = ta.repo LEFT JOIN ({rows}) f ON r.repo = f.repo"
+    )
+
+
+register(
+    "j02_markdown_reports",
+    repositories(lambda r: R.markdown_reports(r, F.lit(_STAMP).cast("timestamp"))),
+    markdown_sql(),
+)
 O.CTES["firsts"] = f"SELECT {KEYS}, arg_min(name, ord) AS name FROM sig GROUP BY {KEYS}"
 register(
     "j03_flagged_files",
@@ -1023,10 +1107,6 @@ register(
         "ON f.repo = x.repo AND f.path = x.path"
     ),
 )
-O.CTES["wide"] = (
-    "SELECT repo, max(p) FILTER (content_type = 'code') AS code, max(p) FILTER (content_type = 'documentation') AS documentation, "
-    "max(p) FILTER (content_type = 'configuration') AS configuration FROM ccat GROUP BY repo"
-)
 register(
     "j05_summary_texts",
     repositories(lambda r: R.summary_texts(r.summary, r.categories).drop("band")),
