@@ -558,12 +558,18 @@ register(
 
 
 # ---------------------------------------------------------------- G3, G4: scorer and fallback
-def distinct_character_scorer(chunks: list[str]) -> list[float]:
-    """A stand-in model: the number of distinct characters of each chunk."""
-    return [float(len(set(c))) for c in chunks]
+def distinct_character_scorer() -> Callable[[list[str]], list[float]]:
+    """A stand-in model: the number of distinct characters of each chunk.
 
+    An inner function travels by value, so the workers need not import this package.
+    """
+    def score(chunks: list[str]) -> list[float]:
+        return [float(len(set(c))) for c in chunks]
 
-SCORER_CONFIG = ScoringConfig(enable_predictability=True, scorer=distinct_character_scorer)
+    return score
+
+
+SCORER_CONFIG = ScoringConfig(enable_predictability=True, scorer=distinct_character_scorer())
 
 
 def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
