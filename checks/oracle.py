@@ -6,7 +6,6 @@ import re
 
 from authorscope.functions.regex import WHITESPACE_CHARS
 from authorscope.operators import classify as K
-from authorscope.operators import commits as C
 from authorscope.operators import distribution as D
 from authorscope.operators import heuristics as H
 from authorscope.operators import intake
