@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP3_SQL, op3_decontamination
 from .near_dedup import op9_near_dedup
+from .quality import op10_quality
 from .sharding import op5_sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontamination": op3_decontamination,
     "op5_sharding": op5_sharding,
     "op9_near_dedup": op9_near_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
