@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP3_SQL, op3_decontamination
+from .mixing import op1_mixing
 from .near_dedup import op9_near_dedup
 from .quality import op10_quality
 from .sharding import op5_sharding
@@ -14,6 +15,7 @@ from .sharding import op5_sharding
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
     "op3_decontamination": op3_decontamination,
     "op5_sharding": op5_sharding,
     "op9_near_dedup": op9_near_dedup,
