@@ -119,18 +119,27 @@ def long_item_contexts(items: DataFrame) -> DataFrame:
 
 
 def long_hits(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(doc key, from, to, items) of extended hits."""
-    places = docs.select(*KEY, F.col("_words").alias("d_words"), F.col("_size").alias("d_size"), F.inline_outer("_kept"))
-    joined = places.withColumnRenamed("at", "d_at").join(contexts, "gram")
+    """(doc key, size, from, to, items) of extended hits, and of each document one row without a range: its size is
+    known here, and splitting the texts again to count words costs as much as all the rest."""
+    marked = F.concat("_kept", F.array(F.struct(F.lit(None).cast("bigint").alias("gram"), F.lit(0).alias("at"))))
+    places = docs.select(*KEY, F.col("_words").alias("d_words"), F.col("_size").alias("d_size"), F.inline_outer(marked))
+    joined = places.withColumnRenamed("at", "d_at").join(contexts, "gram", "left").where(F.col("items").isNotNull() | F.col("gram").isNull())
     before, gram_words, after = context("d")
     hits = (
-        joined.select(*KEY, "d_at", "items", "i_before", "i_gram", "i_after", before.alias("before"), gram_words.alias("words"), after.alias("after"))
-        .where(F.col("words") == F.col("i_gram"))
+        joined.select(*KEY, "gram", "d_size", "d_at", "items", "i_before", "i_gram", "i_after", before.alias("before"), gram_words.alias("words"), after.alias("after"))
+        .where((F.col("words") == F.col("i_gram")) | F.col("gram").isNull())
         .withColumn("left", agreeing(F.reverse(F.split("before", " ")), F.reverse(F.split("i_before", " "))))
         .withColumn("right", agreeing(F.split("after", " "), F.split("i_after", " ")))
-        .where(F.col("left") + F.col("right") + K >= WINDOW)
+        .where((F.col("left") + F.col("right") + K >= WINDOW) | F.col("gram").isNull())
+    )
+    ranged = lambda v: F.when(F.col("gram").isNotNull(), v)
+    return hits.select(
+        *KEY,
+        F.col("d_size").alias("size"),
+        ranged(F.col("d_at") - F.col("left")).alias("from"),
+        ranged(F.col("d_at") + K + F.col("right")).alias("to"),
+        "items",
     )
-    return hits.select(*KEY, (F.col("d_at") - F.col("left")).alias("from"), (F.col("d_at") + K + F.col("right")).alias("to"), "items")
 
 
 def short_hits(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
@@ -143,11 +152,11 @@ def short_hits(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
     )
     starts = F.when(F.col("_size") >= length, F.sequence(F.lit(0), F.col("_size") - length)).otherwise(F.array().cast("array<int>"))
     grams = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("_hashes", i + 1, length)).alias("gram"), i.alias("at")))
-    places = docs.withColumn("_all", grams).select(*KEY, "_words", F.inline_outer("_all"))
+    places = docs.withColumn("_all", grams).select(*KEY, "_words", "_size", F.inline_outer("_all"))
     return (
         places.join(maybe_broadcast(durable(windows, "short-items")), "gram")
         .where(folded(F.slice("_words", F.col("at") + 1, length)) == F.col("i_words"))
-        .select(*KEY, F.col("at").alias("from"), (F.col("at") + length).alias("to"), "items")
+        .select(*KEY, F.col("_size").alias("size"), F.col("at").alias("from"), (F.col("at") + length).alias("to"), "items")
     )
 
 
@@ -156,7 +165,8 @@ KEY = ("_id", "_text_hash")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Hit word ranges of documents: (_id, _text_hash, from, to, items), ``to`` exclusive."""
+    """Hit word ranges of documents: (_id, _text_hash, size, from, to, items), ``to`` exclusive; and per document a row
+    without a range."""
     keyed = docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(f"`{text}`").alias("_text_hash"), F.col(f"`{text}`").alias("_text"))
     keyed = with_fingerprints(keyed, "_text")
     items = with_fingerprints(benchmark.select("item_id", F.col("text").alias("_text")), "_text").where("_size > 0")
@@ -167,6 +177,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
     return found
 
 
+def with_right(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left`` with the columns of ``right`` that has the same key, nulls being equal."""
+    named = right.withColumnsRenamed({k: f"_right{k}" for k in KEY})
+    same = [left[k].eqNullSafe(named[f"_right{k}"]) for k in KEY]
+    return left.join(named, same, "left").drop(*[f"_right{k}" for k in KEY])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated.
 
@@ -174,7 +191,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     not listed; equal rows get equal results; items listed twice count once; an empty benchmark leaves all clean; columns
     named like one added here are replaced.
     """
-    ranges = durable(hits(docs, benchmark, key=key, text=text).distinct(), "hits")
+    seen = durable(hits(docs, benchmark, key=key, text=text).distinct(), "hits")
+    ranges = seen.where("to IS NOT NULL")
+    sizes = seen.where("to IS NULL").select(*KEY, "size")
     # words covered by overlapping ranges, counted once: a range adds what lies past all earlier ones
     before = Window.partitionBy(*KEY).orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1)
     spans = ranges.groupBy(*KEY, "from").agg(F.max("to").alias("to"))
@@ -189,27 +208,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
         .groupBy(*KEY)
         .agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("_items"))
     )
-    found = (
-        covered.join(listed, [covered[k].eqNullSafe(listed[k]) for k in KEY], "left")
-        .select(*[covered[k] for k in KEY], "_hit", "_items")
-        .withColumnsRenamed({"_id": "_hit_id", "_text_hash": "_hit_text_hash"})
+    found = with_right(with_right(sizes, covered), listed).withColumnsRenamed(
+        {"_id": "_hit_id", "_text_hash": "_hit_text_hash", "size": "_hit_size"}
     )
     rows = without(docs, *OWN).withColumn("_text_hash", F.xxhash64(f"`{text}`"))
-    size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = rows.withColumn("n_words", size)
     same = F.col(f"`{key}`").eqNullSafe(F.col("_hit_id")) & (F.col("_text_hash") == F.col("_hit_text_hash"))
     none = F.array().cast("array<string>")
     return (
         rows.join(found, same, "left")
         .withColumns(
             {
+                "n_words": F.col("_hit_size").cast("long"),
                 "n_hit": F.coalesce("_hit", F.lit(0)).cast("long"),
                 "n_items": F.size(F.coalesce("_items", none)).cast("long"),
                 "items_sha256": F.sha2(F.concat_ws(",", F.coalesce("_items", none)).cast("binary"), 256),
                 "contaminated": F.coalesce("_hit", F.lit(0)) > 0,
             }
         )
-        .drop("_text_hash", "_hit_id", "_hit_text_hash", "_hit", "_items")
+        .drop("_text_hash", "_hit_id", "_hit_text_hash", "_hit_size", "_hit", "_items")
     )
 
 

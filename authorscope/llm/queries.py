@@ -11,12 +11,14 @@ from .mixing import op1_mixing
 from .near_dedup import op9_near_dedup
 from .quality import op10_quality
 from .sharding import op5_sharding
+from .substring_dedup import OP4_SQL, op4_substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op3_decontamination": op3_decontamination,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
@@ -24,4 +26,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
 }
