@@ -12,6 +12,7 @@ from .near_dedup import op9_near_dedup
 from .quality import op10_quality
 from .sharding import op5_sharding
 from .substring_dedup import OP4_SQL, op4_substring_dedup
+from .toxicity import op7_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
+    "op7_toxicity": op7_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
 }
