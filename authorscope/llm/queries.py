@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP3_SQL, op3_decontamination
+from .html_extraction import op8_html_extraction
 from .mixing import op1_mixing
 from .near_dedup import op9_near_dedup
 from .quality import op10_quality
@@ -22,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
     "op7_toxicity": op7_toxicity,
+    "op8_html_extraction": op8_html_extraction,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
 }
