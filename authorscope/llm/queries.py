@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP3_SQL, op3_decontamination
+from .embedding_dedup import op6_embedding_dedup
 from .html_extraction import op8_html_extraction
 from .mixing import op1_mixing
 from .near_dedup import op9_near_dedup
@@ -22,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_html_extraction": op8_html_extraction,
     "op9_near_dedup": op9_near_dedup,
