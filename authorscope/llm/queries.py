@@ -14,12 +14,14 @@ from .near_dedup import op9_near_dedup
 from .quality import op10_quality
 from .sharding import op5_sharding
 from .substring_dedup import OP4_SQL, op4_substring_dedup
+from .token_packing import op2_token_packing
 from .toxicity import op7_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_token_packing": op2_token_packing,
     "op3_decontamination": op3_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
