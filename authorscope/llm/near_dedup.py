@@ -228,7 +228,7 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     same_head = F.col("_id").eqNullSafe(F.col("head._id")) & (F.col("_text_hash") == F.col("head._text_hash"))
     return (
         named.join(first, "component", "left")
-        .select(*KEY, "node", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("class")).alias("class"), F.coalesce(same_head, F.lit(True)).alias("stays"))
+        .select(*KEY, "node", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("class")).alias("class"), (F.col("node").isNull() | same_head).alias("stays"))
     )
 
 
