@@ -1,4 +1,4 @@
-"""Job options. Defaults are the values the scoring rules are defined with."""
+"""Job options. Defaults are the values the scoring rules are defined with; caps apply only when given."""
 
 from __future__ import annotations
 
@@ -17,10 +17,10 @@ class ScoringConfig:
     enable_predictability: bool = False
     enable_commit_analysis: bool = True
 
-    # Intake. ``None`` lifts a cap.
-    max_files: int | None = 500
-    max_file_size: int | None = 1024 * 1024
-    max_commits: int = 100
+    # Intake. Caps on files per repo, bytes per file and newest commits per repo; ``None`` is no cap.
+    max_files: int | None = None
+    max_file_size: int | None = None
+    max_commits: int | None = None
     ignore_patterns: tuple[str, ...] | None = None
 
     # Text guards
@@ -34,11 +34,13 @@ class ScoringConfig:
     text_perplexity_threshold: float = 30.0
     max_chunk_size: int = 512
     min_chunk_size: int = 50
-    max_chunks: int = 10
+    max_chunks: int | None = None
 
     # Commit bursts
     bulk_commit_window_hours: int = 1
     bulk_commit_threshold: int = 10
+    # Zone in which the busiest hour is told
+    time_zone: str = "UTC"
 
     # Aggregation
     code_weight: float = 0.5

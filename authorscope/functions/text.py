@@ -143,7 +143,7 @@ def positional_ngrams(token_array: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def chunks(content: Column, max_size: int = 512, min_size: int = 50, limit: int | None = 10) -> Column:
+def chunks(content: Column, max_size: int = 512, min_size: int = 50, limit: int | None = None) -> Column:
     """Greedy packing of paragraphs (or lines when there is no blank line) into chunks below ``max_size``.
 
     The joiner is not counted, a longer part is kept whole, chunks below ``min_size`` are dropped.

@@ -89,9 +89,7 @@ def repo_signals(history: DataFrame | None, markers: DataFrame, summary: DataFra
     )
     if history is None:
         return rows
-    return history.select(
-        "repo", F.lit(0).alias("phase"), F.lit("").alias("path"), F.posexplode("signals").alias("ord", "s")
-    ).unionByName(rows)
+    return history.select("repo", F.lit(0).alias("phase"), "path", "ord", "s").unionByName(rows)
 
 
 def commit_totals(signals: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Commit-history rules: per commit, then across the newest commits of each repo.
+"""Commit-history rules: per commit, then across all commits of each repo.
 
-The per-repo cap on commits bounds every array built here. Tasks prune to the cap before rows move, and the final
-shuffle by repo serves both the ranking and the grouping.
+Rules over one commit are projections. Rules over a repo are partial aggregates, counts per (repo, value) and distinct
+(repo, name) pairs; no row holds a history, so a repo with a third of all commits is spread like any other. A cap on
+the newest commits of each repo applies only when asked for.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScoringConfig
 from ..functions import text as T
-from ..functions.exprs import any_of, built_once, int_list, let, most_common, percent
+from ..functions.exprs import any_of, built_once, int_list, let, percent
 from ..functions.regex import SPACE, java_regex
-from ..schema import SIGNALS, signal
+from ..schema import signal
 from .markers import commit_marker_signals, compact, is_ai_author
 from .rules import first
 from .scoring import weighted_mean
@@ -59,9 +60,18 @@ AI_ADDRESSES = (("anthropic.com", "Anthropic"), ("copilot@github", "Copilot"))
 SIGNIFICANT_BURST = 5
 # ---- end of fixed values ----
 
+# The same language for Java, which would try every verb with every noun of a line: from the start of a line the
+# earliest verb and the earliest noun after it leave the most room, and are not given up again.
+LINE_WISE = {
+    "H9": r"(?m)^(?>.*?(?:implement|add|create|update))(?>.*?(?:functionality|feature|module|component)).*?(?:that|which|to)",
+}
+
 
 def newest_commits(commits: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
-    """The newest commits of each repo with their rank (0 = newest); messages stripped."""
+    """The newest ``max_commits`` commits of each repo with their rank (0 = newest); messages stripped. Without a cap
+    all commits, and no rank: nothing is moved."""
+    if config.max_commits is None:
+        return commits.withColumn("message", T.strip(F.col("message")))
     return leading_rows(
         commits, ["repo"], [F.col("date").desc_nulls_last(), "sha"], config.max_commits
     ).withColumns({"rank": F.col("rank") - 1, "message": T.strip(F.col("message"))})
@@ -103,7 +113,7 @@ def style_signals() -> Column:
     lowered = F.lower(message)
     out = [
         F.when(
-            lowered.rlike(java_regex(pattern, "i")),
+            lowered.rlike(java_regex(LINE_WISE.get(rule_id, pattern), "i")),
             signal(
                 rule_id, name, 0.6, weight, f"Commit message matches '{name}' pattern",
                 F.array(F.substring(message, 1, 50)),
@@ -151,45 +161,101 @@ def with_commit_markers(commits: DataFrame) -> DataFrame:
     ).withColumn("markers", _marker_array())
 
 
-def repo_history(commits: DataFrame) -> DataFrame:
-    """One row per repo: its kept commits as an array of derived fields, newest first.
+def top_value(commits: DataFrame, value: Column, name: str) -> DataFrame:
+    """``repo`` and the most frequent value as ``name`` (neg, first, value); ties go to the newest commit's."""
+    newest = F.struct(F.col("date").isNull(), -F.unix_micros("date"), F.col("sha"))
+    counts = commits.groupBy("repo", value.alias("value")).agg((-F.count("*")).alias("neg"), F.min(newest).alias("first"))
+    return counts.groupBy("repo").agg(F.min(F.struct("neg", "first", "value")).alias(name))
+
+
+def repo_statistics(commits: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
+    """One row per repo with what the rules across commits read. ``commits`` is the output of :func:`newest_commits`."""
+    marked = with_commit_markers(commits)
+    has_message = F.coalesce(F.length("message"), F.lit(0)) > 0
+    conventional = F.coalesce(F.lower("message").rlike(java_regex(CONVENTIONAL_PREFIX)), F.lit(False))
+    attributed = F.size("markers") > 0
+    totals = marked.groupBy("repo").agg(
+        F.count_if(attributed).cast("int").alias("ai_commits"),
+        F.count("*").cast("int").alias("total_commits"),
+        F.array_sort(F.collect_set(F.when(attributed & is_ai_author(F.col("_author")), F.col("author")))).alias("ai_authors"),
+        F.count_if(has_message).cast("int").alias("messages"),
+        F.count_if(has_message & conventional).cast("int").alias("conventional"),
+        F.count("date").cast("int").alias("dated"),
+    )
+    zone = F.lit(config.time_zone)
+    hour = F.hour(F.from_utc_timestamp(F.to_utc_timestamp("date", F.current_timezone()), zone))
+    words = top_value(commits.where(has_message), F.lower(F.regexp_extract("message", f"[^{SPACE}]+", 0)), "top_word")
+    hours = top_value(commits.where("date IS NOT NULL"), hour, "top_hour")
+    return (
+        totals.withColumn("ai_commit_ratio", F.col("ai_commits") / F.col("total_commits"))
+        .join(words, "repo", "left")
+        .join(hours, "repo", "left")
+        .join(burst_statistics(commits, config), "repo", "left")
+    )
+
 
-    ``commits`` is the output of :func:`newest_commits`; its window already placed each repo in one partition, so
-    this grouping adds no shuffle.
+def activity_pieces(commits: DataFrame, width: int, windows: int = 1024) -> DataFrame:
+    """(repo, piece, moments): stretches of commits no farther apart than ``width`` microseconds, named by their start.
+
+    A longer gap always starts a new window, so pieces can be folded apart. Equal moments are counted first; gaps are
+    found inside buckets of ``windows`` widths, and a table of bucket edges joins the buckets of a repo.
     """
-    fields = F.struct(
-        F.col("rank"),
-        F.unix_micros("date").alias("at"),
-        F.hour("date").alias("hour"),
-        (F.coalesce(F.length("message"), F.lit(0)) > 0).alias("has_message"),
-        F.coalesce(F.lower("message").rlike(java_regex(CONVENTIONAL_PREFIX)), F.lit(False)).alias("conventional"),
-        F.lower(F.regexp_extract("message", f"[^{SPACE}]+", 0)).alias("word"),
-        F.col("_author").alias("author"),
-        F.col("_email").alias("email"),
-        F.when((F.size("markers") > 0) & is_ai_author(F.col("_author")), F.col("author")).alias("ai_author"),
-        F.col("markers"),
+    bucket = F.floor(F.col("at") / (width * windows))
+    moments = (
+        commits.where("date IS NOT NULL").groupBy("repo", F.unix_micros("date").alias("at")).agg(F.count("*").cast("int").alias("n"))
+    ).withColumn("bucket", bucket)
+    by_bucket = W.partitionBy("repo").orderBy("bucket")
+    edges = moments.groupBy("repo", "bucket").agg(F.max("at").alias("last"))
+    edges = edges.select("repo", "bucket", F.lag("last").over(by_bucket).alias("last_before"))
+    inside = W.partitionBy("repo", "bucket").orderBy("at")
+    before = F.coalesce(F.lag("at").over(inside), F.col("last_before"))
+    starts = moments.join(edges, ["repo", "bucket"]).withColumn(
+        "start", F.when(before.isNull() | (F.col("at") - before > width), F.col("at"))
     )
-    return (
-        with_commit_markers(commits)
+    carried = starts.groupBy("repo", "bucket").agg(F.max("start").alias("start"))
+    carried = carried.select(
+        "repo", "bucket", F.max("start").over(by_bucket.rowsBetween(W.unboundedPreceding, -1)).alias("start_before")
+    )
+    so_far = F.max("start").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    placed = starts.join(carried, ["repo", "bucket"]).withColumn("piece", F.coalesce(so_far, F.col("start_before")))
+    return placed.groupBy("repo", "piece").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("moments"))
+
+
+def burst_statistics(commits: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
+    """Per repo with a burst worth counting: the largest, and the first five in time order."""
+    width = config.bulk_commit_window_hours * 3_600_000_000
+    sizes = burst_sizes(F.col("moments"), config.bulk_commit_window_hours)
+    bursts = (
+        activity_pieces(commits, width)
+        .select("repo", "piece", F.posexplode(sizes).alias("place", "size"))
+        .where(F.col("size") >= SIGNIFICANT_BURST)
+    )
+    leading = (
+        leading_rows(bursts, ["repo"], ["piece", "place"], 5)
         .groupBy("repo")
-        .agg(F.sort_array(F.collect_list(fields)).alias("history"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "size"))).alias("first"))
+    )
+    largest = bursts.groupBy("repo").agg(F.max("size").alias("largest_burst"))
+    return largest.join(leading, "repo").select(
+        "repo", "largest_burst", F.transform("first", lambda r: r["size"]).alias("first_bursts")
     )
 
 
 def burst_sizes(moments: Column, window_hours: int) -> Column:
     """Sizes of the windows anchored at the first commit outside the previous one, in time order.
 
-    ``moments`` are microseconds in ascending order.
+    ``moments`` are (at, n) in ascending order: microseconds, and how many commits have them.
     """
     width = window_hours * 3_600_000_000
     state = "struct<anchor:bigint,n:int,sizes:array<int>>"
 
-    def add(acc: Column, at: Column) -> Column:
+    def add(acc: Column, moment: Column) -> Column:
+        at, n = moment["at"], moment["n"]
         inside = acc["anchor"].isNotNull() & (at - acc["anchor"] <= width)
         closed = F.when(acc["n"] > 0, F.concat(acc["sizes"], F.array(acc["n"]))).otherwise(acc["sizes"])
         return F.struct(
             F.when(inside, acc["anchor"]).otherwise(at).alias("anchor"),
-            F.when(inside, acc["n"] + 1).otherwise(1).alias("n"),
+            F.when(inside, acc["n"] + n).otherwise(n).alias("n"),
             F.when(inside, acc["sizes"]).otherwise(closed).alias("sizes"),
         ).cast(state)
 
@@ -206,90 +272,64 @@ def burst_sizes(moments: Column, window_hours: int) -> Column:
     )
 
 
-def _field(name: str) -> Column:
-    return F.transform("history", lambda c: c[name])
-
-
 def burst_signal(config: ScoringConfig = DEFAULT) -> Column:
-    moments = F.sort_array(F.filter(_field("at"), lambda t: t.isNotNull()))
-    bursts = F.filter(
-        burst_sizes(moments, config.bulk_commit_window_hours), lambda n: n >= SIGNIFICANT_BURST
-    )
-
-    def make(sizes: Column) -> Column:
-        largest = F.array_max(sizes)
-        return F.when(
-            largest >= config.bulk_commit_threshold,
-            signal(
-                "H11",
-                "Bulk commit burst",
-                F.least(F.lit(0.7), F.lit(0.3) + largest * 0.03),
-                0.5,
-                F.concat(
-                    F.lit("Found burst of "), largest.cast("string"),
-                    F.lit(f" commits in {config.bulk_commit_window_hours}h window"),
-                ),
-                F.array(F.concat(F.lit("Burst sizes: "), int_list(first(sizes, 5)))),
+    """A burst of at least the threshold. Reads the statistics columns, like the rules below."""
+    largest = F.col("largest_burst")
+    return F.when(
+        (F.col("total_commits") >= config.bulk_commit_threshold) & (largest >= config.bulk_commit_threshold),
+        signal(
+            "H11",
+            "Bulk commit burst",
+            F.least(F.lit(0.7), F.lit(0.3) + largest * 0.03),
+            0.5,
+            F.concat(
+                F.lit("Found burst of "), largest.cast("string"),
+                F.lit(f" commits in {config.bulk_commit_window_hours}h window"),
             ),
-        )
-
-    return let(F.when(F.size("history") >= config.bulk_commit_threshold, bursts), make)
+            F.array(F.concat(F.lit("Burst sizes: "), int_list(F.col("first_bursts")))),
+        ),
+    )
 
 
 def message_pattern_signals() -> list[Column]:
     """Uniform conventional prefixes and one dominating first word; both need five messages."""
-    messages = F.filter("history", lambda c: c["has_message"])
-
-    def conventional(ms: Column) -> Column:
-        n = F.size(F.filter(ms, lambda c: c["conventional"]))
-        return F.when(
-            (F.size(ms) >= 5) & (n / F.greatest(F.size(ms), F.lit(1)) > 0.9),
-            signal(
-                "H12", "Uniform conventional commits", 0.4, 0.3,
-                F.concat(
-                    n.cast("string"), F.lit("/"), F.size(ms).cast("string"), F.lit(" commits use conventional format")
-                ),
-                F.array(F.lit("High consistency may indicate tooling or AI")),
-            ),
-        )
-
-    def repetitive(ms: Column) -> Column:
-        return let(
-            F.get(most_common(F.transform(ms, lambda c: c["word"]), 1), F.lit(0)),
-            lambda top: F.when(
-                (F.size(ms) >= 5) & (-top["neg"] / F.greatest(F.size(ms), F.lit(1)) > 0.5),
-                signal(
-                    "H13", "Repetitive commit prefixes", 0.45, 0.35,
-                    F.concat(
-                        F.lit("'"), top["value"], F.lit("' starts "), (-top["neg"]).cast("string"), F.lit("/"),
-                        F.size(ms).cast("string"), F.lit(" commits"),
-                    ),
-                ),
+    n, total, top = F.col("conventional"), F.col("messages"), F.col("top_word")
+    share = lambda count: count / F.greatest(total, F.lit(1))
+    conventional = F.when(
+        (total >= 5) & (share(n) > 0.9),
+        signal(
+            "H12", "Uniform conventional commits", 0.4, 0.3,
+            F.concat(n.cast("string"), F.lit("/"), total.cast("string"), F.lit(" commits use conventional format")),
+            F.array(F.lit("High consistency may indicate tooling or AI")),
+        ),
+    )
+    repetitive = F.when(
+        (total >= 5) & (share(-top["neg"]) > 0.5),
+        signal(
+            "H13", "Repetitive commit prefixes", 0.45, 0.35,
+            F.concat(
+                F.lit("'"), top["value"], F.lit("' starts "), (-top["neg"]).cast("string"), F.lit("/"),
+                total.cast("string"), F.lit(" commits"),
             ),
-        )
-
-    return [let(messages, conventional), let(messages, repetitive)]
+        ),
+    )
+    return [conventional, repetitive]
 
 
 def hour_signal() -> Column:
     """One hour of the day holds more than 40 % of at least ten dated commits."""
-    def make(hours: Column) -> Column:
-        return let(
-            F.get(most_common(hours, 1), F.lit(0)),
-            lambda top: F.when(
-                (F.size(hours) >= 10) & (-top["neg"] / F.greatest(F.size(hours), F.lit(1)) > 0.4),
-                signal(
-                    "H14", "Time-concentrated commits", 0.35, 0.25,
-                    F.concat(
-                        (-top["neg"]).cast("string"), F.lit("/"), F.size(hours).cast("string"), F.lit(" commits at "),
-                        top["value"].cast("string"), F.lit(":00"),
-                    ),
-                    F.array(F.lit("May indicate automated or batched work")),
-                ),
+    total, top = F.col("dated"), F.col("top_hour")
+    return F.when(
+        (total >= 10) & (-top["neg"] / F.greatest(total, F.lit(1)) > 0.4),
+        signal(
+            "H14", "Time-concentrated commits", 0.35, 0.25,
+            F.concat(
+                (-top["neg"]).cast("string"), F.lit("/"), total.cast("string"), F.lit(" commits at "),
+                top["value"].cast("string"), F.lit(":00"),
             ),
-        )
-
-    return let(F.filter(_field("hour"), lambda h: h.isNotNull()), make)
+            F.array(F.lit("May indicate automated or batched work")),
+        ),
+    )
 
 
 def ai_name_signals(names: Column) -> Column:
@@ -333,22 +373,34 @@ def ai_address_signals(addresses: Column) -> Column:
     return F.array_compact(F.transform(addresses, of))
 
 
-def bot_signal(names: Column) -> Column:
-    """Distinct names that look like bots and match no AI pattern."""
-    bots = F.filter(
-        names,
-        lambda a: any_of([a.rlike(java_regex(p)) for p in BOT_NAMES])
-        & ~any_of([a.rlike(java_regex(p, "i")) for p, _, _ in AI_NAMES]),
+def distinct_people(commits: DataFrame, field: str) -> DataFrame:
+    """Distinct (repo, name) pairs of the lower-cased ``author`` or ``author_email``; a missing one is empty."""
+    return commits.select("repo", F.lower(F.coalesce(F.col(field), F.lit(""))).alias("name")).distinct()
+
+
+def name_signals(commits: DataFrame) -> DataFrame:
+    """(repo, name, ord, s) of authors named like a model or vendor."""
+    return distinct_people(commits, "author").select("repo", "name", F.posexplode(ai_name_signals(F.array("name"))).alias("ord", "s"))
+
+
+def address_signals(commits: DataFrame) -> DataFrame:
+    """(repo, name, ord, s) of vendor addresses."""
+    return distinct_people(commits, "author_email").select(
+        "repo", "name", F.posexplode(ai_address_signals(F.array("name"))).alias("ord", "s")
     )
-    return let(
-        bots,
-        lambda bs: F.when(
-            F.size(bs) > 0,
-            signal(
-                "H17", "Bot authors detected", 0.3, 0.2,
-                F.concat(F.lit("Found bot-like author names: "), F.array_join(first(bs, 3), ", ")), first(bs, 3),
-            ),
-        ),
+
+
+def bot_signals(commits: DataFrame) -> DataFrame:
+    """(repo, s): distinct names that look like bots and match no AI pattern; the first three are shown."""
+    name = F.col("name")
+    bots = distinct_people(commits, "author").where(
+        any_of([name.rlike(java_regex(p)) for p in BOT_NAMES])
+        & ~any_of([name.rlike(java_regex(p, "i")) for p, _, _ in AI_NAMES])
+    )
+    shown = leading_rows(bots, ["repo"], ["name"], 3).groupBy("repo").agg(F.sort_array(F.collect_list("name")).alias("bots"))
+    return shown.select(
+        "repo",
+        signal("H17", "Bot authors detected", 0.3, 0.2, F.concat(F.lit("Found bot-like author names: "), F.array_join("bots", ", ")), F.col("bots")).alias("s"),
     )
 
 
@@ -382,41 +434,22 @@ def summary_signal() -> Column:
     )
 
 
-def with_statistics(history: DataFrame) -> DataFrame:
-    """Add attributed commits, all commits, their ratio, and the attributed author names in order."""
-    marked = F.size(F.filter("history", lambda c: F.size(c["markers"]) > 0))
-    authors = F.filter(_field("ai_author"), lambda a: a.isNotNull())
-    return history.withColumns(
-        {
-            "ai_commits": marked,
-            "total_commits": F.size("history"),
-            "ai_authors": F.array_sort(F.array_distinct(authors)),
-        }
-    ).withColumn("ai_commit_ratio", F.col("ai_commits") / F.col("total_commits"))
-
-
-def distinct_names(field: str) -> Column:
-    return F.array_sort(F.array_distinct(_field(field)))
-
-
-@built_once
-def history_signal_array(config: ScoringConfig = DEFAULT) -> Column:
-    """All commit-history signals of a repo in assembly order."""
-    per_commit = F.flatten(_field("markers"))
-    across = compact([burst_signal(config)] + message_pattern_signals() + [hour_signal()])
-    names = distinct_names("author")
-    return F.concat(
-        per_commit,
-        compact([ratio_signal()]),
-        across,
-        ai_name_signals(names),
-        ai_address_signals(distinct_names("email")),
-        compact([bot_signal(names)]),
-        compact([summary_signal()]),
-    ).cast(SIGNALS)
-
-
 def history_signals(commits: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
-    """``repo`` and its commit-history signals, from the newest commits of each repo."""
-    history = with_statistics(repo_history(newest_commits(commits, config)))
-    return history.select("repo", history_signal_array(config).alias("signals"))
+    """(repo, path, ord, s): every commit-history signal as a row; ``path`` and ``ord`` give the assembly order.
+
+    ``commits`` is the output of :func:`newest_commits`.
+    """
+    age = F.lpad((F.lit(9_000_000_000_000_000_000) - F.unix_micros("date")).cast("string"), 20, "0")
+    newest_first = F.concat(F.lit("0"), F.coalesce(age, F.lit("~")), F.lit(" "), F.col("sha"))
+    per_commit = with_commit_markers(commits).select("repo", newest_first.alias("path"), F.posexplode("markers").alias("ord", "s"))
+    statistics = repo_statistics(commits, config)
+    across = [ratio_signal(), burst_signal(config), *message_pattern_signals(), hour_signal()]
+    places = [F.struct(F.lit(str(i)).alias("path"), F.lit(0).alias("ord"), s.alias("s")) for i, s in enumerate([*across, summary_signal()], 1)]
+    places[-1] = F.struct(F.lit("9").alias("path"), F.lit(0).alias("ord"), summary_signal().alias("s"))
+    of_repo = statistics.select("repo", F.inline(F.filter(F.array(*places), lambda p: p["s"].isNotNull())))
+    named = lambda rows, digit: rows.select("repo", F.concat(F.lit(digit), "name").alias("path"), "ord", "s")
+    bots = bot_signals(commits).select("repo", F.lit("8").alias("path"), F.lit(0).alias("ord"), "s")
+    out = per_commit
+    for part in (of_repo, named(name_signals(commits), "6"), named(address_signals(commits), "7"), bots):
+        out = out.unionByName(part)
+    return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,53 +17,58 @@ from ..functions.regex import java_regex
 from ..schema import signal
 from .rules import PatternRule, capped, first, hits, instances, when_hit
 
-# ---- fixed values: phrase rules (pattern on lower-cased text, name, weight, literals) ----
-_PHRASES = (
+# ---- fixed values: phrase rules (id, pattern on lower-cased text, name, weight, literals) ----
+# In the order in which signals are told; the ids E10 to E14 and E22 follow topics instead.
+PHRASE_TABLE = (
     (
+        "E1",
         r"\bhere(?:'s| is) (?:a|an|the) (?:simple |basic |complete )?"
         r"(?:example|implementation|solution|code|function|class)\b",
         "AI intro phrase", 0.7, ("here's ", "here is "),
     ),
-    (r"\blet me (?:explain|show|help|create|write)\b", "AI conversational phrase", 0.8, ("let me ",)),
-    (r"\bi(?:'ll| will) (?:create|write|implement|show)\b", "AI action phrase", 0.75, ("i'll ", "i will ")),
+    ("E2", r"\blet me (?:explain|show|help|create|write)\b", "AI conversational phrase", 0.8, ("let me ",)),
+    ("E3", r"\bi(?:'ll| will) (?:create|write|implement|show)\b", "AI action phrase", 0.75, ("i'll ", "i will ")),
     (
+        "E4",
         r"\bas (?:requested|mentioned|you can see)\b",
         "AI reference phrase", 0.6, ("as requested", "as mentioned", "as you can see"),
     ),
     (
+        "E5",
         r"\bthis (?:function|class|method|code|implementation) (?:will |does |is designed to )",
         "AI explanation pattern", 0.65, (" will ", " does ", " is designed to "),
     ),
-    (r"\bthe above (?:code|function|implementation|example)\b", "AI reference pattern", 0.6, ("the above ",)),
-    (r"\bnote that\b", "AI note pattern", 0.3, ("note that",)),
-    (r"\bkeep in mind\b", "AI reminder pattern", 0.4, ("keep in mind",)),
-    (r"\bimportant(?:ly)?:\s", "AI emphasis pattern", 0.4, ("important:", "importantly:")),
-    (r"\bYOUR_[A-Z_]+_HERE\b", "AI placeholder pattern", 0.85, ("YOUR_",)),
-    (r"<your[_-].*?>", "AI placeholder pattern", 0.85, ("<your",)),
-    (r"\bfirst,?\s+(?:we |you |let's |I )", "AI step pattern", 0.5, ("first",)),
-    (r"\bnext,?\s+(?:we |you |let's |I )", "AI step pattern", 0.5, ("next",)),
-    (r"\bfinally,?\s+(?:we |you |let's |I )", "AI step pattern", 0.5, ("finally",)),
-    (r"\bhope this helps\b", "AI politeness", 0.9, ("hope this helps",)),
-    (r"\bfeel free to\b", "AI politeness", 0.7, ("feel free to",)),
-    (r"\bdon't hesitate to\b", "AI politeness", 0.8, ("don't hesitate to",)),
-    (r"\blet me know if\b", "AI politeness", 0.75, ("let me know if",)),
-    (r"\bhappy to help\b", "AI politeness", 0.85, ("happy to help",)),
+    ("E6", r"\bthe above (?:code|function|implementation|example)\b", "AI reference pattern", 0.6, ("the above ",)),
+    ("E7", r"\bnote that\b", "AI note pattern", 0.3, ("note that",)),
+    ("E8", r"\bkeep in mind\b", "AI reminder pattern", 0.4, ("keep in mind",)),
+    ("E9", r"\bimportant(?:ly)?:\s", "AI emphasis pattern", 0.4, ("important:", "importantly:")),
+    ("E12", r"\bfirst,?\s+(?:we |you |let's |I )", "AI step pattern", 0.5, ("first",)),
+    ("E13", r"\bnext,?\s+(?:we |you |let's |I )", "AI step pattern", 0.5, ("next",)),
+    ("E14", r"\bfinally,?\s+(?:we |you |let's |I )", "AI step pattern", 0.5, ("finally",)),
+    ("E15", r"\bhope this helps\b", "AI politeness", 0.9, ("hope this helps",)),
+    ("E16", r"\bfeel free to\b", "AI politeness", 0.7, ("feel free to",)),
+    ("E17", r"\bdon't hesitate to\b", "AI politeness", 0.8, ("don't hesitate to",)),
+    ("E18", r"\blet me know if\b", "AI politeness", 0.75, ("let me know if",)),
+    ("E19", r"\bhappy to help\b", "AI politeness", 0.85, ("happy to help",)),
     (
+        "E20",
         r"(?:this|which) (?:ensures?|guarantees?|makes? sure) that\b",
         "AI over-explanation", 0.5, ("ensure", "guarantee", " sure that"),
     ),
     (
+        "E21",
         r"\bfor (?:better |improved )?(?:readability|maintainability|performance|clarity)\b",
         "AI justification", 0.4, ("readability", "maintainability", "performance", "clarity"),
     ),
+    ("E10", r"\bYOUR_[A-Z_]+_HERE\b", "AI placeholder pattern", 0.85, ("YOUR_",)),
     (
+        "E22",
         r"\b(?:your|my)[-_]?(?:api[-_]?key|token|secret)\b",
         "AI placeholder pattern", 0.7, ("key", "token", "secret"),
     ),
-    (r"\breplace (?:this |with )?\byour\b", "AI placeholder instruction", 0.75, ("replace ",)),
+    ("E11", r"<your[_-].*?>", "AI placeholder pattern", 0.85, ("<your",)),
+    ("E23", r"\breplace (?:this |with )?\byour\b", "AI placeholder instruction", 0.75, ("replace ",)),
 )
-# Emission order of the phrase rules; ids E10-E14 and E22 are numbered by topic.
-_PHRASE_ORDER = (1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 10, 22, 11, 23)
 
 OBVIOUS_COMMENTS = (
     r"^(?:initialize|initializing|init)\s+(?:the\s+)?(?:variable|value|array|list|dict)",
@@ -130,11 +137,64 @@ PROSE_RULES = (
 PLACEHOLDERS = r"[\"'](?:your[-_]?|my[-_]?|example[-_]?|sample[-_]?)[\w-]+[\"']"
 # ---- end of fixed values ----
 
-_BY_NUMBER = {
-    number: PatternRule(f"E{number}", name, pattern, weight, needs)
-    for number, (pattern, name, weight, needs) in enumerate(_PHRASES, 1)
-}
-PHRASE_RULES = tuple(_BY_NUMBER[n] for n in _PHRASE_ORDER)
+PHRASE_RULES = tuple(PatternRule(rule_id, name, pattern, weight, needs) for rule_id, pattern, name, weight, needs in PHRASE_TABLE)
+
+
+def count_badges(text: str) -> int:
+    """Number of matches of ``BADGES``, in time that grows with the text alone.
+
+    A badge that starts at some place may end at any closing bracket of its line from the first possible one on, so a
+    chain of badges is a question of which ends are followed by another start. Three levels of sorted ends answer it.
+    """
+    starts = [m.start() for m in re.finditer(r"(?=\[!\[)", text)]
+    if len(starts) < 3:
+        return 0
+    inner, outer = ([m.start() for m in re.finditer(p, text)] for p in (r"\]\(", r"\)\]\("))
+    brackets, breaks = ([m.start() for m in re.finditer(p, text)] for p in (r"\)", r"\n"))
+
+    def at_least(places: list[int], low: int) -> int:
+        i = bisect.bisect_left(places, low)
+        return places[i] if i < len(places) else len(text)
+
+    first_end, line_end, follower = {}, {}, {}
+    for p in starts:
+        line_end[p] = at_least(breaks, p)
+        bracket = at_least(brackets, at_least(outer, at_least(inner, p + 3) + 2) + 3)
+        if bracket < line_end[p]:
+            first_end[p] = bracket + 1
+        before = p
+        while before and text[before - 1].isspace():
+            before -= 1
+        if before and text[before - 1] == ")":
+            follower[before] = p
+
+    def then(possible: Callable[[int], bool]) -> Callable[[int], int | None]:
+        """The first end, followed by a possible badge, that a badge starting at p can have."""
+        ends = sorted(e for e, p in follower.items() if possible(p))
+
+        def end(p: int) -> int | None:
+            if p not in first_end:
+                return None
+            e = at_least(ends, first_end[p])
+            return e if e <= line_end[p] and e in follower else None
+
+        return end
+
+    with_second = then(lambda p: p in first_end)
+    with_third = then(lambda p: with_second(p) is not None)
+    found, past = 0, 0
+    for p in starts:
+        if p < past:
+            continue
+        end = with_third(p)
+        if end is None:
+            continue
+        unit = follower[with_second(follower[end])]
+        past = first_end[unit]
+        while follower.get(past) in first_end:
+            past = first_end[follower[past]]
+        found += 1
+    return found
 
 
 @F.pandas_udf(StructType([StructField("badges", IntegerType()), StructField("feature_lists", IntegerType())]))
@@ -143,18 +203,15 @@ def markdown_lists(content: pd.Series) -> pd.DataFrame:
 
     Rows that lack the patterns' literals arrive as null and are skipped.
     """
-    badges = re.compile(BADGES, re.MULTILINE | re.IGNORECASE)
     features = re.compile(FEATURE_LIST, re.MULTILINE | re.IGNORECASE)
 
-    def count(pattern: re.Pattern, literal: str, value: str | None) -> int:
-        if value is None or literal not in value:
-            return 0
-        return sum(1 for _ in pattern.finditer(value))
+    def count_features(value: str | None) -> int:
+        return sum(1 for _ in features.finditer(value)) if value is not None and "**" in value else 0
 
     return pd.DataFrame(
         {
-            "badges": [count(badges, "[![", v) for v in content],
-            "feature_lists": [count(features, "**", v) for v in content],
+            "badges": [count_badges(v) if v is not None else 0 for v in content],
+            "feature_lists": [count_features(v) for v in content],
         }
     )
 

@@ -14,17 +14,13 @@ from .classify import content_type
 from .topk import leading_rows
 
 # ---- fixed values: git-style ignore patterns, hidden directories that stay, text bytes ----
-IGNORE_PATTERNS = tuple(
-    (
-        "node_modules/ vendor/ venv/ .venv/ __pycache__/ *.pyc .tox/ bower_components/ "
-        "dist/ build/ target/ out/ *.egg-info/ "
-        ".idea/ .vscode/ *.swp *.swo .project .classpath "
-        "*.png *.jpg *.jpeg *.gif *.ico *.svg *.pdf *.zip *.tar *.gz *.woff *.woff2 *.ttf *.eot "
-        "*.mp3 *.mp4 *.webm *.mov "
-        "package-lock.json yarn.lock pnpm-lock.yaml Pipfile.lock poetry.lock Cargo.lock Gemfile.lock "
-        "composer.lock go.sum "
-        ".git/ .DS_Store Thumbs.db *.log *.min.js *.min.css *.map coverage/ .coverage .nyc_output/"
-    ).split()
+IGNORE_PATTERNS = (
+    "node_modules/", "vendor/", "venv/", ".venv/", "__pycache__/", "*.pyc", ".tox/", "bower_components/", "dist/",
+    "build/", "target/", "out/", "*.egg-info/", ".idea/", ".vscode/", "*.swp", "*.swo", ".project", ".classpath",
+    "*.png", "*.jpg", "*.jpeg", "*.gif", "*.ico", "*.svg", "*.pdf", "*.zip", "*.tar", "*.gz", "*.woff", "*.woff2",
+    "*.ttf", "*.eot", "*.mp3", "*.mp4", "*.webm", "*.mov", "package-lock.json", "yarn.lock", "pnpm-lock.yaml",
+    "Pipfile.lock", "poetry.lock", "Cargo.lock", "Gemfile.lock", "composer.lock", "go.sum", ".git/", ".DS_Store",
+    "Thumbs.db", "*.log", "*.min.js", "*.min.css", "*.map", "coverage/", ".coverage", ".nyc_output/",
 )
 KEPT_HIDDEN_DIRECTORIES = (".claude", ".cursor", ".aider", ".codeium", ".ai", ".copilot", ".github")
 SNIFF_BYTES = 8192
@@ -32,23 +28,42 @@ NON_TEXT_CLASS = r"[\x00-\x06\x0b\x0e-\x1a\x1c-\x1f\x7f]"
 # ---- end of fixed values ----
 
 
+_GLOB_PARTS = re.compile(r"\[!?\]?[^\]/]*\]|.", re.DOTALL)
+
+
+def _glob_part(part: str) -> str:
+    if part in ("*", "?"):
+        return "[^/]*" if part == "*" else "[^/]"
+    if len(part) > 1:
+        negated, body = part.startswith("[!"), part[1:-1].removeprefix("!")
+        body = re.sub(r"([\[\]\\^&~])", r"\\\1", body)
+        return f"[^/{body}]" if negated else f"[{body}]"
+    return re.escape(part)
+
+
 def ignore_regex(patterns: tuple[str, ...] = IGNORE_PATTERNS) -> str:
     """One anchored regex for git-style names: ``name/`` drops a subtree, ``name`` a file or subtree.
 
-    Supports names with ``*`` and ``?`` and no inner slash, which is what the pattern list holds.
+    Supports ``*``, ``?``, bracket classes (``[co]``, ``[!a-z]``) and a slash at the start or inside, which ties the
+    pattern to the root of the tree. Negated patterns and ``**`` are refused.
     """
-    directories, names = [], []
+    directories, names, rooted = [], [], []
     for pattern in patterns:
-        if "/" in pattern.rstrip("/") or pattern.startswith("!"):
-            raise ValueError(f"only plain names are supported, got {pattern!r}")
-        body = re.escape(pattern.rstrip("/")).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-        (directories if pattern.endswith("/") else names).append(body)
+        if pattern.startswith("!") or "**" in pattern:
+            raise ValueError(f"negated patterns and ** are not supported, got {pattern!r}")
+        name = pattern.rstrip("/")
+        body = "".join(_glob_part(part) for part in _GLOB_PARTS.findall(name.lstrip("/")))
+        if "/" in name:
+            rooted.append(body + ("/" if pattern.endswith("/") else "(?:/|\\z)"))
+        else:
+            (directories if pattern.endswith("/") else names).append(body)
     alternatives = []
     if directories:
         alternatives.append(f"(?:{'|'.join(directories)})/")
     if names:
         alternatives.append(f"(?:{'|'.join(names)})(?:/|\\z)")
-    return f"(?:^|/)(?:{'|'.join(alternatives)})"
+    anywhere = [f"(?:^|/)(?:{'|'.join(alternatives)})"] if alternatives else []
+    return "|".join(anywhere + ([f"^(?:{'|'.join(rooted)})"] if rooted else []))
 
 
 def ignored(path: Column, patterns: tuple[str, ...] | None = None) -> Column:

@@ -102,20 +102,29 @@ def mean_perplexity(chunks: Column, scorer: Scorer) -> Column:
     """``struct(perplexity, failed)``: the mean over the scored chunks of each text, in one distributed pass.
 
     The chunks of a whole Arrow batch go to the scorer in one call, so a model runs on full batches; the scorer is
-    shipped once per Python worker. A failing scorer marks its texts as failed, which selects the fallback rules.
+    shipped once per Python worker. If that call fails, the batch is scored text by text, and only the texts that fail
+    by themselves are marked as failed, which selects the fallback rules; so a text's result does not depend on others.
     """
     @F.pandas_udf("struct<perplexity:double,failed:boolean>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            owner = [i for i, parts in enumerate(batch) for _ in parts]
-            flat = [part for parts in batch for part in parts]
+        def means(texts: list) -> list[float | None]:
+            owner = [i for i, parts in enumerate(texts) for _ in parts]
+            flat = [part for parts in texts for part in parts]
+            values = pd.Series(scorer(flat) if flat else [], index=owner, dtype="float64")
+            return values.dropna().groupby(level=0).mean().reindex(range(len(texts))).tolist()
+
+        def alone(parts: list) -> tuple[float | None, bool]:
             try:
-                values = pd.Series(scorer(flat) if flat else [], index=owner, dtype="float64")
-                means = values.dropna().groupby(level=0).mean().reindex(range(len(batch)))
-                failed = False
+                return means([parts])[0], False
             except Exception:  # noqa: BLE001 - any scorer error selects the fallback rules
-                means = pd.Series([None] * len(batch), dtype="float64")
-                failed = True
-            yield pd.DataFrame({"perplexity": means.to_numpy(), "failed": [failed] * len(batch)})
+                return None, True
+
+        for batch in batches:
+            texts = [[] if parts is None else list(parts) for parts in batch]
+            try:
+                found = [(value, False) for value in means(texts)]
+            except Exception:  # noqa: BLE001
+                found = [alone(parts) for parts in texts]
+            yield pd.DataFrame(found, columns=["perplexity", "failed"]).astype({"perplexity": "float64", "failed": "bool"})
 
     return score(chunks)

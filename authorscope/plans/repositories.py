@@ -49,9 +49,9 @@ def score_texts(
 
 
 def score_commits(commits: DataFrame, config: ScoringConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Per-commit scores and the per-repo history signals, over the newest commits of each repo."""
+    """Per-commit scores, and the history signals of each repo as rows (repo, path, ord, s)."""
     newest = C.newest_commits(commits, config)
-    return C.commit_scores(newest), C.history_signals(commits, config)
+    return C.commit_scores(newest), C.history_signals(newest, config)
 
 
 def score_repositories(
@@ -68,7 +68,7 @@ def score_repositories(
     history = None
     repos = files.select("repo").distinct()
     if commits is not None and config.enable_commit_analysis:
-        history = C.history_signals(commits, config)
+        history = C.history_signals(C.newest_commits(commits, config), config)
         repos = repos.union(commits.select("repo").distinct()).distinct()
     signals = durable(aggregate.repo_signals(history, marks, markers.multiple_markers(marks)), "repo-signals")
     return RepositoryScores(

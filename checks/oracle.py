@@ -52,7 +52,7 @@ def type_case(path_ready: str = "") -> str:
     return f"""CASE
   WHEN {NAME} IN {tuple(K.DOC_FILENAMES)} THEN 'documentation'
   WHEN {NAME} IN {tuple(K.CONFIG_FILENAMES)} THEN 'configuration'
-  WHEN list_has_any({PARTS}, {K.DOC_DIRECTORIES}) AND {EXT} IN {tuple(K.DOC_EXTENSIONS)} THEN 'documentation'
+  WHEN list_has_any({PARTS}, {list(K.DOC_DIRECTORIES)}) AND {EXT} IN {tuple(K.DOC_EXTENSIONS)} THEN 'documentation'
   WHEN {EXT} IN {tuple(K.CODE_EXTENSIONS)} THEN 'code'
   WHEN {EXT} IN {tuple(K.DOC_EXTENSIONS)} THEN 'documentation'
   WHEN {EXT} IN {tuple(K.CONFIG_EXTENSIONS)} THEN 'configuration'
@@ -63,7 +63,7 @@ def type_case(path_ready: str = "") -> str:
 
 
 LIKELY_CONFIG = (
-    f"(({NAME} LIKE '.%' AND {NAME} NOT LIKE '..%') OR list_has_any({PARTS}, {K.CONFIG_DIRECTORIES}) "
+    f"(({NAME} LIKE '.%' AND {NAME} NOT LIKE '..%') OR list_has_any({PARTS}, {list(K.CONFIG_DIRECTORIES)}) "
     f"OR ({NAME} LIKE '%rc' AND length({NAME}) > 2))"
 )
 LIKELY_DOC = any_contains(NAME, K.DOC_NAME_PARTS)
@@ -115,7 +115,7 @@ def top_gram_cte(n: int) -> str:
 CTES: dict[str, str] = {
     "files": corpus.FILES_SQL,
     "typed": f"SELECT *, {type_case()} AS content_type, len(str_split(content, {LF})) AS line_count FROM files",
-    "kept": f"SELECT * FROM typed WHERE size <= 1048576 AND NOT {IGNORED} AND NOT {HIDDEN}",
+    "kept": f"SELECT * FROM typed WHERE NOT {IGNORED} AND NOT {HIDDEN}",
     "elig": "SELECT *, lower(content) AS low FROM kept "
     "WHERE length(content) > 0 AND content_type <> 'unknown' AND line_count >= 5",
     "ln": f"SELECT {KEYS}, i, line, {strip('line')} AS s FROM (SELECT {KEYS}, unnest(range(len(l))) AS i, unnest(l) AS line "
@@ -170,7 +170,7 @@ CTES["chunk"] = f"""
     CASE WHEN length(cur) + length(p[i]) < 512 OR length(cur) < 50 THEN out ELSE list_append(out, cur) END
   FROM chunk WHERE i <= len(p)"""
 CTES["chunks"] = (
-    f"SELECT {KEYS}, content_type, (CASE WHEN length(cur) >= 50 THEN list_append(out, cur) ELSE out END)[1:10] AS ch "
+    f"SELECT {KEYS}, content_type, CASE WHEN length(cur) >= 50 THEN list_append(out, cur) ELSE out END AS ch "
     "FROM chunk WHERE i = len(p) + 1"
 )
 CTES["ppl"] = (

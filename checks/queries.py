@@ -234,7 +234,7 @@ register(
     with_ctes(f"SELECT repo, path, {O.LIKELY_DOC} AS likely FROM files"),
 )
 _lang = " ".join(
-    f"WHEN e IN ({', '.join(corpus.quoted(x) for x in exts.split())}) THEN '{name}'"
+    f"WHEN e IN ({', '.join(corpus.quoted(x) for x in exts)}) THEN '{name}'"
     for name, exts in K.LANGUAGES.items()
 )
 register(
@@ -432,7 +432,7 @@ register(
 # commit markers
 O.CTES["newest"] = (
     f"SELECT * REPLACE ({O.strip('message')} AS message), lower(author) AS la, lower(author_email) AS le "
-    f"FROM (SELECT *, {_NEWEST} AS rank FROM commits) WHERE rank < 100"
+    f"FROM (SELECT *, {_NEWEST} AS rank FROM commits)"
 )
 _d4 = [
     f"SELECT repo, sha, rank, {i} AS k, 'Commit: {r.name}' AS name, {r.score} AS score, 0.95 AS weight FROM newest "
@@ -476,7 +476,7 @@ O.CTES["cstat"] = f"""SELECT repo, count(DISTINCT sha) FILTER (marked) AS ai_com
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.with_statistics(C.repo_history(C.newest_commits(corpus.commits(spark, sf_dir))))
+    return C.repo_statistics(C.newest_commits(corpus.commits(spark, sf_dir)))
 
 
 def history_rule(column: Callable[[], Column]) -> Query:
@@ -730,21 +730,29 @@ O.CTES["hmail"] = (
 )
 
 
-def name_rows(column: str, make: Callable[[Column], Column]) -> Query:
+def name_rows(make: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return history(spark, sf_dir).select("repo", F.explode(make(C.distinct_names(column))).alias("s")).select(
+        return make(C.newest_commits(corpus.commits(spark, sf_dir))).select(
             "repo", F.get("s.evidence", F.lit(0)).alias("who"), F.col("s.name").alias("name"), F.col("s.score").alias("score")
         )
 
     return in_utc(run)
 
 
+def bot_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits = corpus.commits(spark, sf_dir)
+    return commits.select("repo").distinct().join(C.bot_signals(C.newest_commits(commits)), "repo", "left").select(
+        "repo", r6("s.score").alias("score"), F.col("s.weight").alias("weight"),
+        F.col("s.description").alias("description"), F.array_join("s.evidence", "|").alias("evidence"),
+    )
+
+
 register(
-    "h15_ai_names", name_rows("author", C.ai_name_signals),
+    "h15_ai_names", name_rows(C.name_signals),
     with_ctes("SELECT repo, who, name, score::DOUBLE AS score FROM hname"),
 )
 register(
-    "h16_ai_addresses", name_rows("email", C.ai_address_signals),
+    "h16_ai_addresses", name_rows(C.address_signals),
     with_ctes("SELECT repo, who, name, score::DOUBLE AS score FROM hmail"),
 )
 _bot = " OR ".join(f"regexp_matches(la, {O.rx(p)})" for p in C.BOT_NAMES)
@@ -754,7 +762,7 @@ O.CTES["hbot"] = (
 )
 register(
     "h17_bot_authors",
-    history_rule(lambda: C.bot_signal(C.distinct_names("author"))),
+    in_utc(bot_rule),
     repo_rule_sql(
         "SELECT * FROM hbot", "b IS NOT NULL", "0.3", 0.2, "'Found bot-like author names: ' || array_to_string(b, ', ')",
         "array_to_string(b, '|')",
@@ -776,13 +784,15 @@ _HORDER = "o1, CASE WHEN o1 = 0 THEN '' ELSE o2 END, o3, o4"
 register(
     "h18_assembled_signals",
     in_utc(
-        lambda s, d: score_commits(corpus.commits(s, d))[1]
-        .select("repo", F.posexplode("signals").alias("ord", "s"))
-        .select("repo", "ord", F.col("s.name").alias("name"), r6("s.score").alias("score"), F.col("s.weight").alias("weight"))
+        lambda s, d: score_commits(corpus.commits(s, d))[1].select(
+            "repo", F.left("path", F.lit(1)).cast("int").alias("phase"),
+            F.when(F.col("path").startswith("0"), F.substring_index("path", " ", -1)).otherwise(F.expr("substring(path, 2)")).alias("who"),
+            F.col("s.name").alias("name"), r6("s.score").alias("score"), F.col("s.weight").alias("weight"),
+        )
     ),
     with_ctes(
-        f"SELECT repo, (row_number() OVER (PARTITION BY repo ORDER BY {_HORDER}) - 1)::INT AS ord, name, round(score, 6) AS score, "
-        "weight::DOUBLE AS weight FROM hall"
+        "SELECT h.repo, o1 AS phase, CASE WHEN o1 = 0 THEN n.sha ELSE o2 END AS who, name, round(score, 6) AS score, weight::DOUBLE AS weight "
+        "FROM hall h LEFT JOIN newest n ON o1 = 0 AND h.repo = n.repo AND h.o3 = n.rank"
     ),
 )
 
@@ -1243,9 +1253,12 @@ register(
 register(
     "k04_commit_history",
     in_utc(
-        lambda s, d: score_commits(corpus.commits(s, d))[1].select(
-            "repo", F.size("signals").cast("long").alias("n"), r6(weighted_mean(F.col("signals"))).alias("mean")
-        )
+        lambda s, d: corpus.commits(s, d).select("repo").distinct().join(
+            score_commits(corpus.commits(s, d))[1].groupBy("repo").agg(
+                F.count("*").alias("n"), r6(F.sum(F.col("s.score") * F.col("s.weight")) / F.sum("s.weight")).alias("mean")
+            ),
+            "repo", "left",
+        ).select("repo", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean")
     ),
     with_ctes(
         "SELECT r.repo, coalesce(n, 0) AS n, round(m, 6) AS mean FROM (SELECT DISTINCT repo FROM newest) r LEFT JOIN (SELECT repo, count(*) AS n, "

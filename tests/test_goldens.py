@@ -202,12 +202,14 @@ def test_commit_score(spark):
 
 
 def test_burst_windows(spark):
-    df = spark.createDataFrame([([s * 1_000_000 for s in (0, 3600, 3601, 3700, 7201, 7202)],)], "t array<bigint>")
-    assert one(df.select(commits.burst_sizes(F.col("t"), 1).alias("b"))).b == [2, 3, 1]
+    df = spark.createDataFrame(
+        [([(s * 1_000_000, n) for s, n in ((0, 1), (3600, 1), (3601, 1), (3700, 2), (7201, 1), (7202, 1))],)], "t array<struct<at:bigint,n:int>>"
+    )
+    assert one(df.select(commits.burst_sizes(F.col("t"), 1).alias("b"))).b == [2, 4, 1]
 
 
 def signals_of(spark, rows, config=ScoringConfig()):
-    return {s.rule_id: s for s in one(score_commits(history(spark, *rows), config)[1]).signals}
+    return {r.s.rule_id: r.s for r in score_commits(history(spark, *rows), config)[1].collect()}
 
 
 def test_burst_and_hour_rules(spark):
@@ -229,7 +231,8 @@ def test_ai_commit_ratio(spark):
 
 def test_commit_cap(spark):
     rows = [("r", f"{i:03d}", "m", "a", "b", at(i), 1) for i in range(120)]
-    assert score_commits(history(spark, *rows))[0].count() == 100
+    assert score_commits(history(spark, *rows))[0].count() == 120
+    assert score_commits(history(spark, *rows), ScoringConfig(max_commits=100))[0].count() == 100
 
 
 def test_file_cap_keeps_the_first_paths(spark):
