@@ -121,24 +121,24 @@ def long_item_contexts(items: DataFrame) -> DataFrame:
 def long_hits(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """(doc key, size, from, to, items) of extended hits, and of each document one row without a range: its size is
     known here, and splitting the texts again to count words costs as much as all the rest."""
-    marked = F.concat("_kept", F.array(F.struct(F.lit(None).cast("bigint").alias("gram"), F.lit(0).alias("at"))))
+    marked = F.concat("_kept", F.array(F.struct(F.xxhash64(*KEY).alias("gram"), F.lit(None).cast("int").alias("at"))))
     places = docs.select(*KEY, F.col("_words").alias("d_words"), F.col("_size").alias("d_size"), F.inline_outer(marked))
-    joined = places.withColumnRenamed("at", "d_at").join(contexts, "gram", "left").where(F.col("items").isNotNull() | F.col("gram").isNull())
+    joined = places.withColumnRenamed("at", "d_at").join(contexts, "gram", "left").where(F.col("items").isNotNull() | F.col("d_at").isNull())
     before, gram_words, after = context("d")
     hits = (
-        joined.select(*KEY, "gram", "d_size", "d_at", "items", "i_before", "i_gram", "i_after", before.alias("before"), gram_words.alias("words"), after.alias("after"))
-        .where((F.col("words") == F.col("i_gram")) | F.col("gram").isNull())
+        joined.select(*KEY, "d_size", "d_at", "items", "i_before", "i_gram", "i_after", before.alias("before"), gram_words.alias("words"), after.alias("after"))
+        .where((F.col("words") == F.col("i_gram")) | F.col("d_at").isNull())
         .withColumn("left", agreeing(F.reverse(F.split("before", " ")), F.reverse(F.split("i_before", " "))))
         .withColumn("right", agreeing(F.split("after", " "), F.split("i_after", " ")))
-        .where((F.col("left") + F.col("right") + K >= WINDOW) | F.col("gram").isNull())
+        .where((F.col("left") + F.col("right") + K >= WINDOW) | F.col("d_at").isNull())
     )
-    ranged = lambda v: F.when(F.col("gram").isNotNull(), v)
+    ranged = lambda v: F.when(F.col("d_at").isNotNull(), v)
     return hits.select(
         *KEY,
         F.col("d_size").alias("size"),
         ranged(F.col("d_at") - F.col("left")).alias("from"),
         ranged(F.col("d_at") + K + F.col("right")).alias("to"),
-        "items",
+        ranged(F.col("items")).alias("items"),
     )
 
 
