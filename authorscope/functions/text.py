@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .exprs import any_of, let, run_counts
+from .exprs import any_of, let, run_bounds, run_counts
 from .regex import SPACE, WHITESPACE_CHARS, WORD, java_regex
 
 
@@ -143,6 +143,17 @@ def positional_ngrams(token_array: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def token_counts(token_array: Column) -> Column:
+    """(token, n) of each distinct token, in order; counted inside the row."""
+    return let(
+        F.sort_array(token_array),
+        lambda ts: F.transform(
+            run_bounds(ts, lambda t: t),
+            lambda r: F.struct(F.get(ts, r["b"]).alias("token"), (r["e"] - r["b"]).cast("long").alias("n")),
+        ),
+    )
+
+
 def chunks(content: Column, max_size: int = 512, min_size: int = 50, limit: int | None = None) -> Column:
     """Greedy packing of paragraphs (or lines when there is no blank line) into chunks below ``max_size``.
 

@@ -89,20 +89,21 @@ def change_totals(commit_files: DataFrame) -> DataFrame:
 def file_history(commits: DataFrame, commit_files: DataFrame, max_commits: int = 10) -> DataFrame:
     """The newest commits touching each path: short sha, subject line, author, date."""
     newest = W.partitionBy("repo", "path").orderBy(F.col("date").desc_nulls_last(), "sha")
-    return (
+    leading = (
         commit_files.select("repo", "sha", "path")
-        .join(commits.select("repo", "sha", "message", "author", "date"), ["repo", "sha"])
+        .join(commits.select("repo", "sha", "date"), ["repo", "sha"])
         .withColumn("rank", F.row_number().over(newest))
         .where(F.col("rank") <= max_commits)
-        .select(
-            "repo",
-            "path",
-            "rank",
-            F.substring("sha", 1, 8).alias("sha"),
-            F.substring_index(T.strip(F.col("message")), "\n", 1).alias("subject"),
-            "author",
-            "date",
-        )
+    )
+    # messages and authors are joined to the kept rows only
+    return leading.join(commits.select("repo", "sha", "message", "author"), ["repo", "sha"]).select(
+        "repo",
+        "path",
+        "rank",
+        F.substring("sha", 1, 8).alias("sha"),
+        F.substring_index(T.strip(F.col("message")), "\n", 1).alias("subject"),
+        "author",
+        "date",
     )
 
 

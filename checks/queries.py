@@ -252,14 +252,12 @@ _PROSE = f"regexp_extract_all(lower(content), '[{O.WORD}]+')"
 _CODE = f"regexp_extract_all(lower(content), '[{O.WORD}]+|[^{O.WORD}{O.SPACE}]')"
 register(
     "c01_prose_tokens",
-    _docs(lambda d: d.select("doc_id", F.explode(T.prose_tokens(F.lower("content"))).alias("token"))
-          .groupBy("doc_id", "token").agg(F.count("*").alias("n"))),
+    _docs(lambda d: d.select("doc_id", F.inline(T.token_counts(T.prose_tokens(F.lower("content")))))),
     f"{_DOCS_SQL} SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_PROSE}) AS token FROM d) GROUP BY ALL",
 )
 register(
     "c02_code_tokens",
-    _docs(lambda d: d.select("doc_id", F.explode(T.code_tokens(F.lower("content"))).alias("token"))
-          .groupBy("doc_id", "token").agg(F.count("*").alias("n"))),
+    _docs(lambda d: d.select("doc_id", F.inline(T.token_counts(T.code_tokens(F.lower("content")))))),
     f"{_DOCS_SQL} SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_CODE}) AS token FROM d) GROUP BY ALL",
 )
 register(
@@ -304,9 +302,11 @@ def _ngram_rows(d: DataFrame) -> DataFrame:
     ])
     return (
         tokens.select("doc_id", F.inline(grams))
-        .select("doc_id", "n", F.explode("g").alias("gram"))
-        .groupBy("doc_id", "n")
-        .agg(F.count("*").alias("grams"), F.count_distinct("gram").alias("distinct_grams"), F.max("gram").alias("last_gram"))
+        .where(F.size("g") > 0)
+        .select(
+            "doc_id", "n", F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("distinct_grams"),
+            F.array_max("g").alias("last_gram"),
+        )
     )
 
 
@@ -348,8 +348,14 @@ register(
 )
 register(
     "c11_character_counts",
-    _docs(lambda d: d.select("doc_id", F.explode(T.character_counts(F.col("content"))).alias("n"))
-          .groupBy("doc_id").agg(F.count("*").alias("distinct_chars"), F.sum("n").alias("chars"), F.max("n").cast("long").alias("top"))),
+    _docs(
+        lambda d: d.select("doc_id", T.character_counts(F.col("content")).alias("n"))
+        .where(F.size("n") > 0)
+        .select(
+            "doc_id", F.size("n").cast("long").alias("distinct_chars"),
+            F.aggregate("n", F.lit(0).cast("long"), lambda a, b: a + b).alias("chars"), F.array_max("n").cast("long").alias("top"),
+        )
+    ),
     f"{_DOCS_SQL} SELECT doc_id, count(*) AS distinct_chars, sum(c)::BIGINT AS chars, max(c) AS top FROM (SELECT doc_id, ch, count(*) AS c "
     "FROM (SELECT doc_id, unnest(regexp_extract_all(content, '(?s).')) AS ch FROM d) GROUP BY doc_id, ch) GROUP BY doc_id",
 )
