@@ -110,6 +110,19 @@ def test_mixing(spark, documents):
     assert all(abs(taken[s] - target[s]) <= 1.5 * mixing.BLOCK for s in names)
 
 
+def test_mixed_documents_hold_what_is_taken(spark, documents):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = {r["_id"]: r["taken"] for r in mixing.taken_words(mixing.mix(docs)).collect() if r["taken"]}
+    got, source = {}, {r["doc_id"]: r["text"].split() for r in documents}
+    for r in mixing.mixed_documents(docs).collect():
+        taken = r["text"].split()
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(taken)
+        assert r["n_chars"] == len(r["text"])
+        rest = iter(source[r["doc_id"]])
+        assert all(word in rest for word in taken)  # in the order of the document
+    assert got == want
+
+
 def test_embeddings(spark):
     """All pairs by one matrix product, with cells small enough to need many of them."""
     vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet")
