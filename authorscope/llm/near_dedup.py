@@ -11,8 +11,9 @@ as the threshold leaves room for, and L / (n + m - L) >= 0.8. This is the Jaccar
 which only those that keep their order count.
 
 Texts with the same words are one node from the start. In each bucket of a sketch all nodes are first compared with the
-smallest; nodes of a bucket that are still in different groups are then compared with each other. Pairs inside a group
-are never made, so a group of copies costs as many alignments as it has members.
+smallest. Buckets that still hold several groups are then gone through in blocks of ``BLOCK`` nodes, a task for each
+two blocks: it counts the shingles that its nodes share, and aligns those pairs of different groups that share enough.
+No table of pairs is made; a task returns the links that join groups.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ MINIMA = 3
 TABLES = 16
 #: Keys of 24 bytes broadcast below this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Nodes of a bucket that one task compares with as many others.
+BLOCK = 128
 LAST = np.iinfo(U).max
 KEY = ("_id", "_text_hash")
 
@@ -157,6 +160,74 @@ def shingle_lists(column: pa.Array) -> Iterator[np.ndarray]:
             yield found[first[i] : first[i + 1]]
 
 
+def shared_counts(labels: list[np.ndarray]) -> np.ndarray:
+    """Number of labelled shingles that each two texts share."""
+    text = np.repeat(np.arange(len(labels)), [len(x) for x in labels])
+    every = np.concatenate(labels)
+    order = np.argsort(every, kind="stable")
+    every, text = every[order], text[order]
+    edges = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]]))
+    found = np.zeros((len(labels), len(labels)), np.int32)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a > 1:
+            rows = text[a:b]
+            found[rows[:, None], rows] += 1
+    return found
+
+
+def linked_in_bucket(texts: list[np.ndarray], labels: list[np.ndarray], group: np.ndarray, part: np.ndarray, earlier: np.ndarray, across: bool) -> list[tuple[int, int]]:
+    """Links that join the groups of a bucket's nodes. ``earlier`` are the sketches of tables before this one: pairs
+    that agree there were compared there. ``across``: only nodes of different parts are compared."""
+    sizes = np.array([len(x) for x in labels])
+    shared = shared_counts(labels)
+    a, b = np.nonzero(np.triu(9 * shared >= 4 * (sizes[:, None] + sizes[None]), 1))
+    want = group[a] != group[b]
+    if across:
+        want &= part[a] != part[b]
+    a, b = a[want], b[want]
+    fresh = ~(earlier[a] == earlier[b]).any(axis=1)
+    root, links = {g: g for g in group.tolist()}, []
+
+    def top(g: int) -> int:
+        while root[g] != g:
+            root[g] = root[root[g]]
+            g = root[g]
+        return g
+
+    for i, j in zip(a[fresh].tolist(), b[fresh].tolist(), strict=True):
+        x, y = top(int(group[i])), top(int(group[j]))
+        if x != y and similar(texts[i], texts[j]):
+            root[x] = y
+            links.append((i, j))
+    return links
+
+
+LINK = pa.schema([("a", pa.string()), ("b", pa.string())])
+
+
+def compared_blocks(table: pa.Table) -> pa.Table:
+    """Of the nodes of some whole buckets, or of two blocks of one: links between groups."""
+    table = table.sort_by([("table", "ascending"), ("sketch", "ascending")]).combine_chunks()
+    found, labels = [], []
+    for _, _, data, offsets in text_chunks(table["_text"]):
+        some, first = shingles(Words(data, offsets, PUNCTUATION, fold=True))
+        marks = labelled(some, first)
+        found += [some[first[i] : first[i + 1]] for i in range(len(first) - 1)]
+        labels += [marks[first[i] : first[i + 1]] for i in range(len(first) - 1)]
+    number, sketch, part = (table[c].to_numpy() for c in ("table", "sketch", "part"))
+    across = (table["low"].to_numpy() != table["high"].to_numpy())[0]
+    group = np.unique(np.array(table["component"].to_pylist()), return_inverse=True)[1]
+    drawn = table["sketches"].combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
+    edges = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (sketch[1:] != sketch[:-1]), [True]]))
+    left, right = [], []
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        links = linked_in_bucket(found[x:y], labels[x:y], group[x:y], part[x:y], drawn[x:y, : number[x]], across)
+        left += [x + i for i, _ in links]
+        right += [x + j for _, j in links]
+    nodes = table["node"].combine_chunks()
+    return pa.Table.from_arrays([nodes.take(pa.array(side, pa.int64())) for side in (left, right)], schema=LINK)
+
+
 def maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -165,19 +236,47 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(f"`{text}`").alias("_text_hash"), F.col(f"`{text}`").alias("_text"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that alignment confirms, their texts read again from ``docs``."""
-    pairs = durable(pairs, "candidates")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = durable(nodes.join(asked, "node").select("node", "one.*"), "asked")
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, _text) of the nodes in ``wanted``, read again from ``docs``."""
+    asked = durable(nodes.join(wanted.select("node").distinct(), "node").select("node", "one.*"), "asked")
     same = docs["_id"].eqNullSafe(asked["_id"]) & (docs["_text_hash"] == asked["_text_hash"])
-    texts = durable(docs.join(maybe_broadcast(asked), same).select("node", "_text").dropDuplicates(["node"]), "texts")
+    return durable(docs.join(maybe_broadcast(asked), same).select("node", "_text").dropDuplicates(["node"]), "texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` that alignment confirms."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), "b"
     )
     return both.select("a", "b", "text_a", "text_b").mapInArrow(aligned_batches, "a string, b string")
 
 
+def links_in_blocks(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the groups of buckets that hold several, from (table, sketch, node, component)."""
+    mixed = (
+        placed.groupBy("table", "sketch")
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
+        .where("least != most")
+        .select("table", "sketch", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    )
+    rows = durable(placed.join(mixed, ["table", "sketch"]), "mixed")
+    batches = F.lit(max(1, rows.where("parts = 1").count() // (2 * BLOCK)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    bucket = F.xxhash64("table", "sketch")
+    rows = rows.withColumns(
+        {
+            "low": F.least("part", "other"),
+            "high": F.greatest("part", "other"),
+            # small buckets go through a task by the hundred, a block pair of a large one alone
+            "batch": F.when(F.col("parts") == 1, F.pmod(bucket, batches)).otherwise(bucket),
+        }
+    )
+    joined = rows.join(nodes.select("node", "sketches"), "node").join(texts, "node")
+    columns = ["table", "sketch", "node", "component", "part", "low", "high", "sketches", "_text"]
+    return joined.groupBy("batch", "parts", "low", "high").applyInArrow(lambda t: compared_blocks(t.select(columns)), "a string, b string")
+
+
 def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _text_hash, node, class, stays) of each distinct (key, text): the class is the smallest key of the group,
     and exactly one of them stays.
@@ -202,21 +301,12 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         .select(F.col("head.node").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
-    links = durable(verified(star, nodes, docs), "links")
+    star = durable(star, "candidates")
+    texts = texts_of(members, nodes, docs)
+    links = durable(verified(star, texts), "links")
     groups = components(links)
-    placed = members.join(groups, "node", "left").select("table", "sketch", "node", "shingles", F.coalesce("component", "node").alias("component"))
-    placed = durable(placed, "placed")
-    mixed = placed.groupBy("table", "sketch").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    open_members = placed.join(mixed.select("table", "sketch"), ["table", "sketch"])
-    left, right = (open_members.select("table", "sketch", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "shingles", "component")]) for side in "ab")
-    rest = (
-        left.join(right, ["table", "sketch"])
-        .where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & near_length(F.col("shingles_a"), F.col("shingles_b")))
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .distinct()
-    )
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = durable(verified(rest, nodes, docs), "links")
+    placed = members.join(groups, "node", "left").select("table", "sketch", "node", F.coalesce("component", "node").alias("component"))
+    more = durable(links_in_blocks(durable(placed, "placed"), nodes, texts), "links")
     if more.limit(1).count():
         groups = components(links.unionByName(more))
     named = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
