@@ -214,8 +214,9 @@ def compared_blocks(table: pa.Table) -> pa.Table:
         marks = labelled(some, first)
         found += [some[first[i] : first[i + 1]] for i in range(len(first) - 1)]
         labels += [marks[first[i] : first[i + 1]] for i in range(len(first) - 1)]
-    number, sketch, part = (table[c].to_numpy() for c in ("table", "sketch", "part"))
-    across = (table["low"].to_numpy() != table["high"].to_numpy())[0]
+    number, sketch = (table[c].to_numpy() for c in ("table", "sketch"))
+    part = np.unique(np.array(table["part"].to_pylist()), return_inverse=True)[1]
+    across = table["low"][0].as_py() != table["high"][0].as_py()
     group = np.unique(np.array(table["component"].to_pylist()), return_inverse=True)[1]
     drawn = table["sketches"].combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
     edges = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (sketch[1:] != sketch[:-1]), [True]]))
@@ -253,23 +254,37 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links_in_blocks(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between the groups of buckets that hold several, from (table, sketch, node, component)."""
+    bucket = ["table", "sketch"]
     mixed = (
-        placed.groupBy("table", "sketch")
+        placed.groupBy(*bucket)
         .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
         .where("least != most")
-        .select("table", "sketch", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+        .select(*bucket, "size")
     )
-    rows = durable(placed.join(mixed, ["table", "sketch"]), "mixed")
-    batches = F.lit(max(1, rows.where("parts = 1").count() // (2 * BLOCK)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    bucket = F.xxhash64("table", "sketch")
+    rows = durable(placed.join(mixed, bucket), "mixed")
+    # a group with more nodes than a block has blocks of its own, which need not meet each other; the rest is pooled
+    large = rows.groupBy(*bucket, "component").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    large = durable(large.withColumn("own_parts", F.ceil(F.col("n") / BLOCK).cast("int")), "large-groups")
+    listed = large.groupBy(*bucket).agg(F.collect_list(F.struct("component", "own_parts")).alias("big"), F.sum("n").alias("big_n"))
+    rows = rows.join(listed, bucket, "left").join(large.select(*bucket, "component", "own_parts"), [*bucket, "component"], "left")
+    pool_parts = F.ceil((F.col("size") - F.coalesce("big_n", F.lit(0))) / BLOCK).cast("int")
+    numbered = lambda owner, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(owner, F.lit(":"), i.cast("string")))
+    none = F.array().cast("array<string>")
+    pool = F.when(pool_parts > 0, numbered(F.lit(""), pool_parts)).otherwise(none)
+    of_large = F.flatten(F.transform("big", lambda g: numbered(g["component"], g["own_parts"])))
+    owner = F.when(F.col("own_parts").isNotNull(), F.col("component")).otherwise(F.lit(""))
+    turn = F.pmod(F.xxhash64("node"), F.coalesce("own_parts", pool_parts)).cast("string")
+    rows = rows.withColumns({"blocks": F.concat(pool, F.coalesce(of_large, none)), "owner": owner, "part": F.concat(owner, F.lit(":"), turn)})
+    batches = F.lit(max(1, rows.where(F.size("blocks") == 1).count() // (2 * BLOCK)))
+    met = F.filter("blocks", lambda x: (F.col("owner") == "") | ~x.startswith(F.concat(F.col("owner"), F.lit(":"))))
+    rows = rows.withColumn("parts", F.size("blocks")).withColumn("other", F.explode(met))
+    bucket_hash = F.xxhash64(*bucket)
     rows = rows.withColumns(
         {
             "low": F.least("part", "other"),
             "high": F.greatest("part", "other"),
             # small buckets go through a task by the hundred, a block pair of a large one alone
-            "batch": F.when(F.col("parts") == 1, F.pmod(bucket, batches)).otherwise(bucket),
+            "batch": F.when(F.col("parts") == 1, F.pmod(bucket_hash, batches)).otherwise(bucket_hash),
         }
     )
     joined = rows.join(nodes.select("node", "sketches"), "node").join(texts, "node")

@@ -72,6 +72,26 @@ def test_near_dedup(spark, documents):
     assert got == want
 
 
+def test_blocks_of_a_mixed_bucket(spark, monkeypatch):
+    """Blocks of three nodes: groups with blocks of their own, pooled nodes, and every link that joins two groups."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(30):
+        own = list(base)
+        for k in range(i % 7):
+            own[(17 * i + 40 * k) % 120] = f"x{i}{k}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    lists = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in map(words, texts)]
+    symbols = {}
+    arrays = [np.array([symbols.setdefault(s, len(symbols)) for s in x]) for x in lists]
+    linked = np.array([[near_dedup.similar(a, b) for b in arrays] for a in arrays])
+    root = embedding_dedup.forest(len(arrays), [np.nonzero(linked)])
+    got = {r["_id"]: r["class"] for r in near_dedup.near_classes(docs).collect()}
+    assert got == {i: int(r) for i, r in enumerate(root)} and 1 < len(set(got.values())) < 30
+
+
 def plain_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
