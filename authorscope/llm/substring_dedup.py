@@ -164,12 +164,20 @@ def suspects(bitmaps, cells: int, id_type: pa.DataType) -> Callable:
         rank = np.empty(len(ids), np.int64)
         rank[order.to_numpy()] = np.arange(len(ids))
         by = np.lexsort((at, rank[text], h2, h1))
-        h1, h2, text, at = h1[by], h2[by], text[by], at[by]
+        again = (h1[by][1:] == h1[by][:-1]) & (h2[by][1:] == h2[by][:-1])
         sure = np.zeros(len(h1), bool)
-        sure[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        sure[by[1:][again]] = True
+        # in the order of the texts, where ids repeat, and without hashes where none is needed: this is written
         take = pa.array(text)
         return pa.RecordBatch.from_arrays(
-            [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids.take(take), text_ids.take(take), pa.array(at.astype(np.int32)), pa.array(sure)],
+            [
+                pa.array(h1.view(np.int64), mask=sure),
+                pa.array(h2.view(np.int64), mask=sure),
+                ids.take(take),
+                text_ids.take(take),
+                pa.array(at.astype(np.int32)),
+                pa.array(sure),
+            ],
             names=["h1", "h2", *KEY, "at", "sure"],
         )
 
