@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, ScoringConfig
+from ..config import ScoringConfig
 from ..functions.exprs import fixed, percent, thousands
 from ..operators.topk import leading_rows
 from ..plans.repositories import RepositoryScores
@@ -175,42 +175,66 @@ def snippet_view(scored: DataFrame, key: str, limit: int = 10) -> DataFrame:
     )
 
 
+def _report_struct(
+    scores: RepositoryScores, analyzed_at: Column | None, url: Column | None, duration_seconds: float | None
+) -> tuple[DataFrame, list[Column]]:
+    """(a row per repo, the fields of its document but for the files)."""
+    wide = scores.summary.join(wide_categories(scores.categories), "repo", "left")
+    stamp = F.date_format(F.current_timestamp() if analyzed_at is None else analyzed_at, "yyyy-MM-dd'T'HH:mm:ss")
+    fields = [
+        F.col("repo").alias("repository"),
+        (F.col("repo") if url is None else url).alias("url"),
+        stamp.alias("timestamp"),
+        F.struct(
+            "overall_ai_probability", F.col("overall_confidence").alias("confidence"), "total_files", "total_lines",
+            F.lit(duration_seconds).cast("double").alias("analysis_duration_seconds"),
+        ).alias("summary"),
+        F.struct(*SCORED_TYPES).alias("breakdown"),
+        F.col("top_ai_signals"),
+        F.col("top_human_signals"),
+    ]
+    return wide, fields
+
+
+def json_report_lines(
+    scores: RepositoryScores,
+    analyzed_at: Column | None = None,
+    url: Column | None = None,
+    duration_seconds: float | None = None,
+) -> DataFrame:
+    """The report of every repo as rows (repo, path, line), sorted by (repo, path): a header line per repo, whose path
+    is null, and one line per file. No row holds more than one file, and the sort spreads a repo over many tasks.
+
+    ``url`` is an expression over ``repo``; the duration is that of the whole job, as measured by the caller.
+    """
+    wide, fields = _report_struct(scores, analyzed_at, url, duration_seconds)
+    header = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    heads = wide.select("repo", F.lit(None).cast("string").alias("path"), header.alias("line"))
+    lines = scores.file_scores.select("repo", "path", F.to_json(_file_struct(), {"ignoreNullFields": "false"}).alias("line"))
+    return heads.unionByName(lines).orderBy("repo", F.col("path").asc_nulls_first())
+
+
 def json_reports(
     scores: RepositoryScores,
-    config: ScoringConfig = DEFAULT,
+    config: ScoringConfig | None = None,
     analyzed_at: Column | None = None,
     url: Column | None = None,
     duration_seconds: float | None = None,
 ) -> DataFrame:
-    """One JSON document per repo. The file list is bounded by ``max_files``, which must be set.
+    """One JSON document per repo, with all its files in one row: for repos whose file list fits in a row.
 
-    Without a cap use :func:`json_file_lines`, which writes one line per file. ``url`` is an expression over
-    ``repo``; the duration is that of the whole job, as measured by the caller.
+    Where that is not known use :func:`json_report_lines`, which has the same contents as rows. A ``config``, if given,
+    must bound the list by ``max_files``. ``url`` and the duration are as there.
     """
-    if config.max_files is None:
-        raise ValueError("per-repo documents need max_files; use json_file_lines for uncapped tables")
+    if config is not None and config.max_files is None:
+        raise ValueError("this config sets no max_files; use json_report_lines for uncapped tables")
     files = scores.file_scores.select("repo", "path", _file_struct().alias("f"))
     listed = files.groupBy("repo").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("path", "f"))), lambda x: x["f"]).alias("files")
     )
-    wide = (
-        scores.summary.join(wide_categories(scores.categories), "repo", "left")
-        .join(listed, "repo", "left")
-    )
-    stamp = F.date_format(F.current_timestamp() if analyzed_at is None else analyzed_at, "yyyy-MM-dd'T'HH:mm:ss")
-    document = F.struct(
-        F.col("repo").alias("repository"),
-        (F.col("repo") if url is None else url).alias("url"),
-        stamp.alias("timestamp"),
-        F.struct(
-            "overall_ai_probability", F.col("overall_confidence").alias("confidence"), "total_files", "total_lines",
-            F.lit(duration_seconds).cast("double").alias("analysis_duration_seconds"),
-        ).alias("summary"),
-        F.struct(*SCORED_TYPES).alias("breakdown"),
-        "top_ai_signals",
-        "top_human_signals",
-        F.coalesce("files", F.array().cast(listed.schema["files"].dataType)).alias("files"),
-    )
+    wide, fields = _report_struct(scores, analyzed_at, url, duration_seconds)
+    document = F.struct(*fields, F.coalesce("files", F.array().cast(listed.schema["files"].dataType)).alias("files"))
+    wide = wide.join(listed, "repo", "left")
     return wide.select("repo", F.to_json(document, {"ignoreNullFields": "false"}).alias("report"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authorscope import DEFAULT, ScoringConfig, score_commits, score_files, score_repositories, score_texts
+from authorscope import ScoringConfig, score_commits, score_files, score_repositories, score_texts
 from authorscope.functions import text as T
 from authorscope.functions.exprs import entropy_of_counts, run_counts
 from authorscope.operators import aggregate as A
@@ -1025,21 +1025,30 @@ O.CTES["wide"] = (
     "max(p) FILTER (content_type = 'configuration') AS configuration FROM ccat GROUP BY repo"
 )
 _STAMP = "2024-01-01"
-_DOCUMENT = (
+_HEADER = (
     "struct<repository:string,timestamp:string,summary:struct<overall_ai_probability:double,confidence:string,total_files:bigint,"
     "total_lines:bigint>,breakdown:struct<code:struct<ai_probability:double,top_signals:array<string>>,documentation:struct<"
     "ai_probability:double,top_signals:array<string>>,configuration:struct<ai_probability:double,top_signals:array<string>>>,"
-    "top_ai_signals:array<string>,files:array<struct<path:string,type:string,ai_probability:double,signals:array<struct<name:string>>>>>"
+    "top_ai_signals:array<string>>"
 )
+_FILE_LINE = "struct<path:string,type:string,ai_probability:double,signals:array<struct<name:string>>>"
 
 
 def json_contents(scores) -> DataFrame:
-    """The JSON documents read back, so their contents can be checked."""
-    report = R.json_reports(scores, DEFAULT, F.lit(_STAMP).cast("timestamp")).select(
-        "repo", F.from_json("report", _DOCUMENT).alias("d")
+    """The JSON lines read back, so their contents can be checked. The SQL has a row per repo, so the names of files and
+    signals, not the lines, are gathered here for the comparison; the report itself stays rows."""
+    lines = R.json_report_lines(scores, F.lit(_STAMP).cast("timestamp"))
+    heads = lines.where("path IS NULL").select("repo", F.from_json("line", _HEADER).alias("d"))
+    f = F.from_json("line", _FILE_LINE)
+    names = F.array_join(F.transform(F.col("f.signals"), lambda x: x["name"]), "|")
+    files = (
+        lines.where("path IS NOT NULL")
+        .select("repo", "path", f.alias("f"))
+        .select("repo", "path", F.concat_ws(" ", "f.path", "f.type", names).alias("text"))
+        .groupBy("repo")
+        .agg(F.sort_array(F.collect_list(F.struct("path", "text"))).alias("files"))
     )
-    names = lambda f: F.array_join(F.transform(f["signals"], lambda x: x["name"]), "|")
-    return report.select(
+    return heads.join(files, "repo", "left").select(
         "repo",
         F.col("d.repository").alias("repository"),
         F.col("d.timestamp").alias("timestamp"),
@@ -1048,9 +1057,7 @@ def json_contents(scores) -> DataFrame:
         *[r6(f"d.breakdown.{t}.ai_probability").alias(t) for t in ("code", "documentation", "configuration")],
         F.array_join("d.breakdown.code.top_signals", "|").alias("code_top"),
         F.array_join("d.top_ai_signals", "|").alias("top_ai_signals"),
-        F.array_join(
-            F.transform("d.files", lambda f: F.concat_ws(" ", f["path"], f["type"], names(f))), "; "
-        ).alias("files"),
+        F.coalesce(F.array_join(F.col("files.text"), "; "), F.lit("")).alias("files"),
     )
 
 

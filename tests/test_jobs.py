@@ -55,6 +55,20 @@ def test_json_lines_cover_every_file(scores):
     assert len(lines) == scores.file_scores.count() == 4
 
 
+def test_json_report_lines_of_an_uncapped_config(scores):
+    found = reports.json_report_lines(scores, F.lit("2024-01-01").cast("timestamp"), duration_seconds=1.5)
+    rows = found.collect()
+    assert [(r.repo, r.path) for r in rows] == [
+        ("one", None), ("one", "CLAUDE.md"), ("one", "README.md"), ("one", "src/a.py"), ("three", None), ("two", None), ("two", "b.py"),
+    ]
+    lines = [json.loads(r.line) for r in rows]
+    documents = {r.repo: json.loads(r.report) for r in reports.json_reports(scores, None, F.lit("2024-01-01").cast("timestamp"), None, 1.5).collect()}
+    for repo, document in documents.items():
+        own = [line for r, line in zip(rows, lines) if r.repo == repo]
+        assert own[0] | {"files": own[1:]} == document
+    assert "collect_list(struct(path" not in plan_of(found)
+
+
 def test_markdown_report(scores):
     docs = {r.repo: r.report for r in reports.markdown_reports(scores, F.lit("2024-01-01").cast("timestamp")).collect()}
     lines = docs["one"].split("\n")
