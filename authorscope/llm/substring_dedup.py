@@ -268,6 +268,14 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     copies = durable(copies, "copies")
     copy = F.col("_id").eqNullSafe(F.col("_copy_id")) & (F.col("_text_hash") == F.col("_copy_hash"))
     distinct = keyed.join(maybe_broadcast(copies), copy, "left_anti")
+    # of rows equal in key and text one goes on; only these texts are shuffled
+    doubles = long_.groupBy(*KEY).agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("_id").alias("_double_id"), F.col("_text_hash").alias("_double_hash"))
+    doubles = durable(doubles, "doubles")
+    if not doubles.isEmpty():
+        doubles = maybe_broadcast(doubles)
+        double = F.col("_id").eqNullSafe(F.col("_double_id")) & (F.col("_text_hash") == F.col("_double_hash"))
+        once = distinct.join(doubles, double, "left_semi").groupBy(*KEY).agg(F.min("_text").alias("_text"))
+        distinct = distinct.join(doubles, double, "left_anti").unionByName(once)
     if cells is None:
         total = int(long_.agg(F.sum(F.col("n") - WINDOW + 1)).first()[0] or 0)
         cells = min(max(1 << max(total // 2, 1).bit_length(), MIN_CELLS), MAX_CELLS)

@@ -124,6 +124,18 @@ def test_substring_dedup(stored, nothing):
     assert substring_dedup.without_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_substring_dedup_keeps_repeated_rows(spark, parts):
+    """Rows equal in key and text are one document, so none is a repeat of the other; a later document is."""
+    text, other, tail = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(1, text), (1, text), (None, other), (None, other), (2, text), (3, f"{text} {tail}"), (3, f"{text} {tail}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.without_repeats(docs).collect()]
+    want = [(1, 30, 0, sha(text))] * 2 + [(None, 30, 0, sha(other))] * 2 + [(2, 30, 30, EMPTY_SHA)] + [(3, 60, 30, sha(tail))] * 2
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_embeddings(spark):
     rows = [
         (1, [1.0, 0.0], 1, "x"),
