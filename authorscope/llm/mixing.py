@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, ascii_words, durable, read
@@ -77,11 +77,16 @@ class Mix:
     pieces: DataFrame
 
 
-def placed_rows(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(_row, _id, source, size) of every document. _row numbers the rows of a stored table: a scan of the same files
-    in one application deals them alike, also when a task runs again."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with their numbers, ``_row``, written once. A second scan may be split otherwise, as when executors come
+    or go, so numbers are never made anew: whoever needs number and text reads both from here."""
+    return durable(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
+
+
+def placed_rows(docs: DataFrame, key: str, text: str, source: str, row: Column) -> DataFrame:
+    """(_row, _id, source, size) of every document."""
     return docs.select(
-        F.monotonically_increasing_id().alias("_row"),
+        row.alias("_row"),
         F.col(f"`{key}`").alias("_id"),
         F.xxhash64(f"`{text}`").alias("_text_hash"),
         F.col(f"`{source}`").cast("string").alias("source"),
@@ -99,15 +104,18 @@ def mix(
     block: int = BLOCK,
     shards: int = SHARDS,
     seed: int = SEED,
+    row: str | None = None,
 ) -> Mix:
-    """The mix of ``docs``, a stored table.
+    """The mix of ``docs``. ``row`` is the column that numbers them, stored with them (:func:`numbered`); without it rows
+    are numbered here, and the numbers hold in the tables returned, not in ``docs``.
 
     pieces: (shard, slot, source_no, pass, block, _row, start, words): ``words`` words of row ``_row`` from word
     ``start`` on fill part of a slot. Defined cases: null and empty texts have no words and are never taken; a null
     source is a source, last in order; equal rows are rows of their own; an empty table gives an empty mix.
     """
     spark = docs.sparkSession
-    rows = durable(placed_rows(docs, key, text, source), "mix-rows")
+    number = F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")
+    rows = durable(placed_rows(docs, key, text, source, number), "mix-rows")
     sizes = [(r["source"], r["size"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()]
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
@@ -186,13 +194,13 @@ def mixed_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     A document taken whole keeps its text as it is; of one taken in part, the words taken, joined by a space. ``length``,
     where there is such a column, is the new text's number of characters. Documents of which nothing is taken go.
     """
-    found = mix(docs, key=key, text=text, source=source)
+    rows = numbered(docs)
+    found = mix(rows, key=key, text=text, source=source, row="_row")
     takes = (
         found.pieces.groupBy("_row", "pass")
         .agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("_parts"), F.sum("words").alias("_taken"))
         .select(F.col("_row").alias("_taken_row"), "_parts", "_taken")
     )
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
     joined = rows.join(takes, F.col("_row") == F.col("_taken_row"))
     whole = F.col("_taken") == ascii_words(F.col(f"`{text}`"))
     part = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_split"), p["start"].cast("int") + 1, p["words"].cast("int")))), " ")

@@ -77,6 +77,34 @@ def test_mixing(spark, stored, nothing):
     assert mixing.mix(nothing).pieces.count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def test_mixed_documents_when_scans_are_split_anew(spark, tmp_path, monkeypatch):
+    """A second scan that packs files differently neither loses documents nor cuts others."""
+    path = str(tmp_path / "docs")
+    texts = {i: " ".join(f"w{i}n{k}" for k in range(20 + 37 * i % 300)) for i in range(64)}
+    rows = spark.createDataFrame([(i, t, "abc"[i % 3]) for i, t in texts.items()], "doc_id long, text string, source string")
+    rows.repartition(8).write.parquet(path)
+    write, first = mixing.durable, spark.conf.get("spark.sql.files.minPartitionNum", None)
+
+    def then_more_cores(df, name):
+        out = write(df, name)
+        spark.conf.set("spark.sql.files.minPartitionNum", "64")
+        return out
+
+    held = []
+    kept = mixing.mix
+    monkeypatch.setattr(mixing, "durable", then_more_cores)
+    monkeypatch.setattr(mixing, "mix", lambda *a, **b: held.append(kept(*a, **b)) or held[-1])
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        got = {}
+        for r in mixing.mixed_documents(spark.read.parquet(path)).collect():
+            got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].split())
+            assert set(r["text"].split()) <= set(texts[r["doc_id"]].split())
+        assert got == {r["_id"]: r["taken"] for r in mixing.taken_words(held[0]).collect() if r["taken"]}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if first is None else spark.conf.set("spark.sql.files.minPartitionNum", first)
+
+
 def test_shared_targets():
     assert mixing.shared_targets([100, 100], [1, 2], 200) == pytest.approx([200 / 3, 400 / 3])
     # the small source stops at three times its size, the others take the rest by weight
