@@ -3,9 +3,12 @@
 The pages of a host are merged into one tree: a node is a path of element labels (tag and class), with the texts seen
 at it and the sequences of child labels seen under it. A node whose texts differ from page to page is important, one
 that repeats is not: its importance is the normalized entropy of its texts, with a share of the entropy of its parent's
-styles. Hosts with few pages are shrunk toward the mean of all hosts for the same path. What HTML itself says weighs
-more than entropy: paths through navigation, headers, footers, forms and the like lose one, paths through an article
-gain one. Branches below the threshold are removed from each page of the host, and the other blocks joined.
+styles. Hosts with few pages are shrunk toward all hosts for the same path: the
+mean of their entropies, or the entropy of their texts together where that is less. A text counts once for each
+distinct page it is on; a node met with one text on one page says nothing (0.5). What HTML itself says shifts a
+branch's importance, by less than the range of entropy: most for elements such as navigation and footers, less for
+class names and articles. Page, body, article and main never lose by it, nor does a form or a named wrapper that holds
+most of the page's text. Blocks below the threshold are removed from each page of the host, and the others joined.
 
 Texts are counted by (host, path, text hash), so a host with a third of all pages is spread by its texts; a host's
 removed paths, as many as its templates have, are broadcast with the others below ``BROADCAST_ROWS`` rows. Pages are
@@ -30,6 +33,10 @@ CONTENT_SHARE = 0.9
 #: Observations at which a host's own entropy counts as much as the mean of all hosts.
 SHRINKAGE = 50.0
 THRESHOLD = 0.5
+#: Importance of a node seen once.
+UNKNOWN = 0.5
+#: Shift of importance by kind: an element that HTML defines as no main text, a name that hints at it, none, an article.
+HINTS = {-2: -0.75, -1: -0.35, 0: 0.0, 1: 0.45}
 BROADCAST_ROWS = 200_000
 OWN = ("text", "n_chars")
 
@@ -48,6 +55,10 @@ NOISE_NAMES = frozenset(
     ).split()
 )
 CONTENT_TAGS = frozenset(("article", "main"))
+#: Elements that hold a page, whatever their names.
+FRAMES = CONTENT_TAGS | {"html", "body"}
+#: Noise elements that may wrap a whole page.
+WRAPPERS = frozenset(("form", "fieldset"))
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 TOKEN = re.compile(
@@ -58,27 +69,42 @@ NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 
 
 class Element:
-    __slots__ = ("tag", "label", "path", "kind", "children")
+    __slots__ = ("tag", "label", "path", "parent", "kind", "wrapper", "number", "chars", "blocks", "children")
 
-    def __init__(self, tag: str, label: str, parent: Element | None, kind: int):
-        self.tag, self.label = tag, label
+    def __init__(self, tag: str, label: str, parent: Element | None, kind: int, wrapper: bool = False):
+        self.tag, self.label, self.parent, self.wrapper = tag, label, parent, wrapper
         self.path = f"{parent.path}/{label}" if parent else label
-        # once inside navigation and the like, always; else inside an article, always
-        self.kind = min(kind, parent.kind) if parent and -1 in (kind, parent.kind) else max(kind, parent.kind if parent else 0)
+        # the strongest hint against a branch holds in all of it; else that of an article
+        self.kind = min(kind, parent.kind) if parent and min(kind, parent.kind) < 0 else max(kind, parent.kind if parent else 0)
+        self.number, self.chars, self.blocks = -1, 0, 0
         self.children: list[str] = []
 
 
-def opened(tag: str, attributes: str, parent: Element) -> Element:
+def opened(tag: str, attributes: str, parent: Element, free: bool = False) -> Element:
+    """The element; a ``free`` one carries no hint against it."""
     names = [w for m in NAMES.finditer(attributes) for w in re.split(r"[\s_\-]+", (m[1] or m[2] or m[3] or "").lower())] if attributes else []
     names = [w.strip("0123456789") for w in names]
-    noisy = tag in NOISE_TAGS or not NOISE_NAMES.isdisjoint(names)
-    kind = -1 if noisy else int(tag in CONTENT_TAGS or (tag not in INLINE and "main" in names))
+    kind = int(tag in CONTENT_TAGS or (tag not in INLINE and "main" in names))
+    if tag not in FRAMES and not free:
+        kind = -2 if tag in NOISE_TAGS else kind if NOISE_NAMES.isdisjoint(names) else -1
     label = ".".join([tag, *sorted({w for w in names if w})])
-    return Element(tag, label, parent, kind)
+    return Element(tag, label, parent, kind, kind == -1 or (kind == -2 and tag in WRAPPERS))
 
 
 def parsed(source: str) -> tuple[list[tuple[str, int, str]], list[Element]]:
     """Blocks of text in page order as (path, kind, text), and all elements that are no inline ones."""
+    free: set[int] = set()
+    while True:
+        blocks, elements = walked(source, free)
+        total = elements[0].chars
+        more = {e.number for e in elements if e.wrapper and e.blocks > 1 and 2 * e.chars > total}
+        if not more:
+            return blocks, elements
+        free |= more
+
+
+def walked(source: str, free: set[int]) -> tuple[list[tuple[str, int, str]], list[Element]]:
+    """As :func:`parsed`; the elements numbered in ``free`` carry no hint against them."""
     root = Element("", "", None, 0)
     stack, inline, elements, blocks, buffer = [root], [], [root], [], []
 
@@ -88,6 +114,10 @@ def parsed(source: str) -> tuple[list[tuple[str, int, str]], list[Element]]:
             if text:
                 owner = inline[-1] if inline and inline[-1].kind < 0 else stack[-1]
                 blocks.append((owner.path, owner.kind, text))
+                holder = stack[-1]
+                while holder:
+                    holder.chars, holder.blocks = holder.chars + len(text), holder.blocks + 1
+                    holder = holder.parent
             buffer.clear()
 
     place, end = 0, len(source)
@@ -149,7 +179,8 @@ def parsed(source: str) -> tuple[list[tuple[str, int, str]], list[Element]]:
                         break
             if tag in VOID:
                 continue
-            element = opened(tag, token[3], stack[-1])
+            element = opened(tag, token[3], stack[-1], len(elements) in free)
+            element.number = len(elements)
             stack[-1].children.append(element.label)
             stack.append(element)
             elements.append(element)
@@ -157,7 +188,7 @@ def parsed(source: str) -> tuple[list[tuple[str, int, str]], list[Element]]:
     return blocks, elements
 
 
-NODES = "host string, path string, parent string, kind int, sort string, seen bigint"
+NODES = "host string, path string, parent string, kind int, sort string, seen bigint, share double"
 
 
 def hashed(text: str) -> int:
@@ -165,18 +196,22 @@ def hashed(text: str) -> int:
 
 
 def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (host, html): a row for each text and each style met in a page's tree."""
-    names = ["host", "path", "parent", "kind", "sort", "seen"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64()]
+    """Of (host, html, share): a row for each text and each style met in a page's tree, once a page."""
+    names = ["host", "path", "parent", "kind", "sort", "seen", "share"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.float64()]
     for batch in batches:
         rows: list[tuple] = []
-        for host, page in zip(batch.column(0), batch.column(1), strict=True):
-            host, blocks_elements = host.as_py(), parsed(page.as_py() or "")
-            for path, kind, text in blocks_elements[0]:
-                rows.append((host, path, path.rpartition("/")[0], kind, "text", hashed(text)))
-            for element in blocks_elements[1]:
+        for host, page, share in zip(*batch.columns, strict=True):
+            host, share, (blocks, elements) = host.as_py(), share.as_py(), parsed(page.as_py() or "")
+            met: dict[tuple, int] = {}
+            for path, kind, text in blocks:
+                node = (path, path.rpartition("/")[0], "text", hashed(text))
+                met[node] = min(kind, met.get(node, kind))
+            for element in elements:
                 if element.children:
-                    rows.append((host, element.path, "", element.kind, "style", hashed(" ".join(dict.fromkeys(element.children)))))
+                    node = (element.path, "", "style", hashed(" ".join(dict.fromkeys(element.children))))
+                    met[node] = min(element.kind, met.get(node, element.kind))
+            rows += [(host, path, parent, kind, sort, seen, share) for (path, parent, sort, seen), kind in met.items()]
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                 rows = []
@@ -184,20 +219,39 @@ def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
+def shared(pages: DataFrame) -> DataFrame:
+    """(host, html, share) of pages (host, html): the n copies of a page count 1 / n each."""
+    page = F.xxhash64("html")
+    copies = pages.groupBy(F.col("host").alias("_copy_host"), page.alias("_copy")).agg(F.count("*").alias("_n")).where("_n > 1")
+    copies = durable(copies, "page-copies")
+    if copies.count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
+    joined = pages.join(copies, (F.col("host") == F.col("_copy_host")) & (page == F.col("_copy")), "left")
+    return joined.select("host", "html", (F.lit(1.0) / F.coalesce("_n", F.lit(1))).alias("share"))
+
+
 def importances(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, importance) of the nodes that hold text, from pages (host, html)."""
-    seen = pages.mapInArrow(node_rows, NODES).groupBy("host", "path", "parent", "kind", "sort", "seen").agg(F.count("*").alias("c"))
-    nodes = seen.groupBy("host", "path", "parent", "kind", "sort").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log(F.col("c"))).alias("clogc"))
-    entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("clogc") / F.col("n")) / F.log("n")).otherwise(1.0)
+    """(host, path, kind, importance) of the nodes that hold text, from pages (host, html): the importance without the
+    hint, and the least kind met at the path."""
+    seen = shared(pages).mapInArrow(node_rows, NODES).groupBy("host", "path", "parent", "sort", "seen")
+    seen = durable(seen.agg(F.greatest(F.round(F.sum("share")), F.lit(1.0)).alias("c"), F.min("kind").alias("kind")), "seen")
+    nodes = seen.groupBy("host", "path", "parent", "sort").agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.log(F.col("c"))).alias("clogc"), F.min("kind").alias("kind")
+    )
+    entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("clogc") / F.col("n")) / F.log("n")).otherwise(UNKNOWN)
     nodes = durable(nodes.withColumn("entropy", entropy), "nodes")
-    overall = nodes.groupBy("path", "sort").agg((F.sum(F.col("entropy") * F.col("n")) / F.sum("n")).alias("mean"))
+    means = nodes.groupBy("path", "sort").agg((F.sum(F.col("entropy") * F.col("n")) / F.sum("n")).alias("mean"))
+    # hosts with few pages hardly repeat a text that many hosts share: the texts of all hosts together tell
+    pooled = seen.groupBy("path", "sort", "seen").agg(F.sum("c").alias("c")).groupBy("path", "sort")
+    pooled = pooled.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log(F.col("c"))).alias("clogc")).select("path", "sort", entropy.alias("pooled"))
+    overall = means.join(pooled, ["path", "sort"]).select("path", "sort", F.least("mean", "pooled").alias("mean"))
     shrunk = nodes.join(overall, ["path", "sort"]).withColumn(
         "shrunk", (F.col("entropy") * F.col("n") + F.col("mean") * SHRINKAGE) / (F.col("n") + SHRINKAGE)
     )
     styles = shrunk.where("sort = 'style'").select("host", F.col("path").alias("parent"), F.col("shrunk").alias("style"))
     texts = shrunk.where("sort = 'text'").select("host", "path", "parent", "kind", "shrunk")
     own = F.lit(CONTENT_SHARE) * F.col("shrunk") + F.lit(1 - CONTENT_SHARE) * F.coalesce("style", "shrunk")
-    return texts.join(styles, ["host", "parent"], "left").select("host", "path", "kind", (own + F.col("kind")).alias("importance"))
+    return texts.join(styles, ["host", "parent"], "left").select("host", "path", "kind", F.round(own, 9).alias("importance"))
 
 
 def host_of(url: str) -> Column:
@@ -209,8 +263,9 @@ def main_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for page, removed in zip(batch.column(0), batch.column(1), strict=True):
-            gone = set(removed.as_py() or ())
-            texts.append(" ".join(text for path, _, text in parsed(page.as_py() or "")[0] if path not in gone))
+            low = {r["path"]: r["importance"] for r in removed.as_py() or ()}
+            blocks = parsed(page.as_py() or "")[0]
+            texts.append(" ".join(text for path, kind, text in blocks if low.get(path, THRESHOLD + 1) + HINTS[kind] >= THRESHOLD))
         yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "text"])
 
 
@@ -224,8 +279,9 @@ def extract(pages: DataFrame, *, url: str = "url", source: str = "html") -> Data
     rows = without(pages, *OWN)
     hosted = rows.withColumn("_host", host_of(url))
     found = importances(hosted.select(F.col("_host").alias("host"), F.col(f"`{source}`").alias("html")))
-    low = durable(found.where(F.col("importance") < THRESHOLD).select("host", "path"), "low")
-    removed = low.groupBy("host").agg(F.collect_set("path").alias("_removed")).withColumnRenamed("host", "_removed_host")
+    hint = F.element_at(F.create_map(*[F.lit(x) for pair in HINTS.items() for x in pair]), F.col("kind"))
+    low = durable(found.where(F.col("importance") + hint < THRESHOLD).select("host", "path", "importance"), "low")
+    removed = low.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("_removed")).withColumnRenamed("host", "_removed_host")
     if low.count() <= BROADCAST_ROWS:
         removed = F.broadcast(removed)
     joined = hosted.join(removed, F.col("_host") == F.col("_removed_host"), "left")

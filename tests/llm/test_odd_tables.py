@@ -206,6 +206,27 @@ def test_html(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+FRAME = {
+    "body": "<body class='single right-sidebar comments-open'><p>{}</p><nav>menu</nav></body>",
+    "article": "<body><article class='post has-sidebar'><p>{}</p></article><nav>menu</nav></body>",
+    "wrapper": "<body><form><nav>menu</nav><div class='post has-sidebar'><p>{0}</p><p>the <b>se</b>cond {0}</p></div></form></body>",
+    "varied": "<body><div class='share'>{}</div><section><p>a longer text than the other one, {}</p></section></body>",
+}
+
+
+@pytest.mark.parametrize("frame", sorted(FRAME))
+def test_html_names_do_not_decide(spark, frame):
+    """Varied texts stay whatever the names around them; copies of a page do not make its text a template."""
+    said = [" ".join(hashlib.sha256(f"{i}{k}".encode()).hexdigest()[:7] for k in range(6)) for i in range(40)]
+    rows = [(i, "http://h.example/a", FRAME[frame].format(t, t)) for i, t in enumerate(said)]
+    rows += [(100, "http://h.example/a", rows[0][2])] * 200
+    got = {}
+    for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got.setdefault(r["page_id"], set()).add(r["text"])
+    want = {"wrapper": "{0} the second {0}", "varied": "{0} a longer text than the other one, {0}"}.get(frame, "{0}")
+    assert all(got[i] == {want.format(t)} for i, t in enumerate(said)) and got[100] == got[0]
+
+
 def test_token_packing(stored, nothing):
     out = token_packing.pack_tokens(stored, row=64)
     parts = {}
