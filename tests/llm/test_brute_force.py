@@ -6,7 +6,8 @@ import zlib
 import numpy as np
 import pytest
 
-from authorscope.llm import embedding_dedup, html_extraction, mixing, near_dedup, quality, sharding, token_packing, toxicity
+from authorscope.llm import embedding_dedup, filter_audit, html_extraction, license_scan, mixing, near_dedup, quality, sharding
+from authorscope.llm import token_packing, toxicity, whitening
 from authorscope.llm.permutation import grid, permuted, permuted_value
 from authorscope.llm.queries import ORACLES, QUERIES
 from checks.compare import compare, duck
@@ -25,8 +26,8 @@ def test_query_equals_sql(spark, key):
     assert ok, line
 
 
-def test_ten_queries():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+def test_a_query_for_each_operator():
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000])
@@ -233,3 +234,99 @@ def test_toxicity_threshold():
 def test_html_truncated():
     blocks, _ = html_extraction.parsed("<article><p>text</p><p cla")
     assert [b[2] for b in blocks] == ["text"]
+
+
+@pytest.mark.parametrize("table", ["embeddings", "copies"])
+def test_whitening(spark, table):
+    """Exact sums in Python integers, the covariance in fractions, eigenvectors by numpy; signs are free."""
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    if table == "copies":  # a third of all rows are one vector, which is fitted once
+        first = vectors.orderBy("vec_id").limit(1).crossJoin(spark.range(200)).select((F.col("id") + 10_000).alias("vec_id"), "embedding", "label")
+        vectors = vectors.unionByName(first)
+    got = {r["vec_id"]: r for r in whitening.whiten(vectors).collect()}
+    rows = {r["vec_id"]: [int(np.floor(64 * float(c))) + 1_000_000 for c in r["embedding"]] for r in vectors.collect()}
+    fit = sorted(set(map(tuple, rows.values())))
+    n, sums = len(fit), [sum(c) for c in zip(*fit)]
+    centred = np.array([[n * v - s for v, s in zip(x, sums)] for x in fit], object)
+    cov = np.array([[float(Fraction(int(v), n**3)) for v in row] for row in centred.T.dot(centred)])
+    values, axes = np.linalg.eigh(cov)
+    values, axes = values[::-1][:16], axes[:, ::-1][:, :16]
+    y = np.array([[float(Fraction(n * v - s, n)) for v, s in zip(rows[k], sums)] for k in sorted(rows)])
+    want = y @ axes / np.sqrt(values)
+    have = np.array([got[k]["whitened"] for k in sorted(rows)])
+    assert np.allclose(have * np.sign((have * want).sum(axis=0)), want, rtol=0, atol=1e-9)
+    assert {k: r["deviation"] for k, r in got.items()} == {k: sum((n * v - s) ** 2 for v, s in zip(x, sums)) for k, x in rows.items()}
+    some = got[min(got)]
+    assert some["n"] == n and some["identity_error"] < 1e-9
+    assert some["explained"] == pytest.approx(values / np.trace(cov), rel=1e-9)
+
+
+def test_whitening_of_large_entries():
+    """Squares that pass 64 bits, and sums of them in limbs."""
+    random = np.random.default_rng(5)
+    y = random.integers(-(2**40), 2**40, (50, 4))
+    want = [sum((int(r[i]) + (int(r[j]) if i != j else 0)) ** 2 for r in y) for i in range(4) for j in range(i, 4)]
+    assert whitening.squares(y) == want
+    for value in [0, 1, -1, 2**130 + 17, -(2**130) - 17, *want]:
+        assert sum(d << (40 * i) for i, d in enumerate(whitening.limbs(value))) == value
+    for width, x in [(1, [127, -128]), (2, [128]), (4, [2**31 - 1]), (8, [-(2**31) - 1])]:
+        packed = whitening.packed(np.array(x))
+        assert packed[0] == width and whitening.unpacked([packed]).tolist() == [x]
+
+
+def test_blocks_of_a_license(spark):
+    """Every block against every template by plain sets, on texts that scatter, repeat and cut notices."""
+    random = np.random.default_rng(7)
+    known = license_scan.templates()
+    pool = sorted({w for t in known for w in t.words}) + [f"w{i}" for i in range(40)]
+    texts = [" ".join(random.choice(pool, random.integers(1, 90))) for _ in range(150)]
+    for _ in range(150):
+        t = known[random.integers(len(known))]
+        said = [w for w in t.words if random.random() > 0.06]
+        at = random.integers(0, 30)
+        texts.append(" ".join([*random.choice(pool, at), *said, *random.choice(pool, random.integers(0, 20))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs, known).collect()}
+    seen = 0
+    for i, text in enumerate(texts):
+        w = text.split()
+        base = [(s, t.label) for t in known if t.phrase for s in range(len(w)) if tuple(w[s : s + len(t.words)]) == t.words]
+        found, score = {label for _, label in base}, 1.0 if base else 0.0
+        for t in known:
+            m, distinct = len(t.words), set(t.words)
+            for k in range(0 if t.phrase else -(-len(w) // m)):
+                common = len(distinct & set(w[k * m : (k + 2) * m]))
+                if common >= t.needed:
+                    found.add(t.label)
+                    score = max(score, common / len(distinct))
+        seen += bool(found)
+        r = got[i]
+        assert (r["n_base"], r["base_labels"], r["labels"]) == (len(base), ",".join(sorted({b for _, b in base})), ",".join(sorted(found)))
+        assert r["score"] == pytest.approx(score)
+        assert (r["first_word"], r["last_word"]) == ((min(base)[0], max(base)[0]) if base else (None, None))
+    assert seen > 50
+
+
+def test_orders_of_filters():
+    """The contractions against documents counted one by one."""
+    random = np.random.default_rng(2)
+    cells = random.integers(0, 32, 400)
+    tensors = np.zeros((1, 32, 3), np.int64)
+    good = random.random(400) < 0.3
+    for c, g in zip(cells, good):
+        tensors[0, c] += (1, g, not g)
+    frame = filter_audit.audit_rows(["p"], tensors.reshape(-1, 2, 2, 2, 2, 2, 3).transpose(0, 5, 4, 3, 2, 1, 6))
+    totals = {}
+    for r in frame.itertuples():
+        bits = [1 << "ABCDE".index(x) for x in r.filter_order]
+        earlier, here = sum(bits[: r.step - 1]), bits[r.step - 1]
+        removed = (cells & here > 0) & (cells & earlier == 0)
+        assert (r.kept, r.removed) == (np.sum(cells & (earlier | here) == 0), removed.sum())
+        assert (r.redundant, r.unique_fails) == (np.sum((cells & here > 0) & (cells & earlier > 0)), np.sum(cells == here))
+        assert (r.good_lost, r.toxic_lost) == (np.sum(removed & good), np.sum(removed & ~good))
+        totals[r.filter_order[r.step - 1]] = totals.get(r.filter_order[r.step - 1], 0) + r.removed
+    assert all(r.shapley == totals[r.filter_order[r.step - 1]] for r in frame.itertuples()) and len(frame) == 600

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from authorscope.llm import decontamination, embedding_dedup, html_extraction, mixing, near_dedup, quality, sharding, substring_dedup
-from authorscope.llm import token_packing, toxicity
+from authorscope.llm import decontamination, embedding_dedup, filter_audit, html_extraction, license_scan, mixing, near_dedup, quality
+from authorscope.llm import sharding, substring_dedup, token_packing, toxicity, whitening
 
 from .conftest import LONG, SMALL
 
@@ -253,3 +253,89 @@ def test_stage(spark, stored, nothing, number):
 def test_columns_may_be_more(stored):
     out = sharding.shard_rows(stored.withColumn("Shard", F.lit(1)))
     assert [c.lower() for c in out.columns].count("shard") == 1
+
+
+def test_filter_audit(spark, stored, nothing):
+    said = [(1, 1, 0), (1, 0, 0), (5, None, 1), (6, 0, None), (None, 1, 1), (99, 1, 1)]
+    labels = spark.createDataFrame(said, "doc_id long, quality int, toxic int").withColumn("source", F.lit("theirs"))
+    rows = filter_audit.filter_audit(stored, labels).collect()
+    assert len(rows) == 600 * 4 and {r["part"] for r in rows} == {"", "a", "b", "c"}
+    got = {(r["part"], r["filter_order"], r["step"]): r for r in rows}
+    # a: two equal rows and another text of one id, and a long text of five words that repeat; neither equal row is a copy
+    step = lambda part, order, at: tuple(got[part, order, at][c] for c in filter_audit.COUNTS[:6])
+    assert step("a", "ABCDE", 1) == (1, 3, 0, 3, 3, 0) and step("a", "ABCDE", 2) == (0, 1, 0, 1, 0, 1)
+    assert step("a", "EDCBA", 1) == (4, 0, 0, 0, 0, 0)
+    # the empty part: a null text of id 2, the same without an id, and a text without an id; none is a copy of another
+    assert step("", "ABCDE", 1) == (0, 3, 0, 3, 0, 0)
+    # b: the empty text of id 3 has a smaller id, 2, whose text is null; white space is another text
+    assert step("b", "EABCD", 1) == (1, 1, 0, 0, 0, 0) and step("b", "ABCDE", 5) == (0, 0, 1, 0, 0, 0)
+    # c: "One ... TWELVE!" has 7 capitals in 64 characters
+    assert step("c", "CABDE", 1)[:2] == (1, 1)
+    assert filter_audit.filter_audit(nothing, labels).count() == 0
+    assert {r["good_lost"] + r["toxic_lost"] for r in filter_audit.filter_audit(stored, labels.limit(0)).collect()} == {0}
+
+
+def test_license_scan(spark, stored, nothing):
+    rows = license_scan.license_scan(stored).collect()
+    assert len(rows) == 11 and {(r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) for r in rows} == {
+        (0, None, None, "", "", 0.0)
+    }
+    assert sorted(r["n_words"] for r in rows) == [0, 0, 0, 0, 4, 6, 11, 12, 12, 12, 60_000]
+    assert license_scan.license_scan(nothing).count() == 0
+    texts = [
+        (1, "Under the MIT license, under the mit-LICENSE"),
+        (1, "Under the MIT license, under the mit-LICENSE"),
+        (2, "cc by-nc " * 30_000),
+        (None, "APACHE LICENSE: version 2"),
+        (3, "under the \u212a mit license"),
+        (4, "released und\u00e9r the mit license and cc \u0130by nc"),
+        (5, "the license: licensed under GNU, general public"),
+        (6, "cc by nc apache license version 2"),
+        (7, "w " * 13 + "cc by nc 4 0 under licensed"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit("theirs") for c in ("label", "place", "_words", "word", "m")})
+    got = {}
+    for r in license_scan.license_scan(docs).collect():
+        got.setdefault(r["doc_id"], []).append(tuple(r[c] for c in license_scan.OWN))
+        assert r["label"] == r["_words"] == "theirs"
+    assert got[1] == [(8, 2, 0, 4, "mit", "mit", 1.0)] * 2
+    assert got[2] == [(90_000, 30_000, 0, 89_997, "cc-by-nc", "cc-by-nc", 1.0)]
+    assert got[None] == [(4, 1, 0, 0, "apache-2", "apache-2", 1.0)]
+    assert got[3][0][1] == 0 and got[4][0][1:] == (0, None, None, "", "", 0.0)
+    assert got[5] == [(7, 0, None, None, "", "gpl", 1.0)]
+    assert got[6] == [(7, 2, 0, 3, "apache-2,cc-by-nc", "apache-2,cc-by-nc", 1.0)]
+    assert got[7][0][5] == "cc-by-nc"
+    assert {r["labels"] for r in license_scan.license_scan(docs, []).collect()} == {""}
+
+
+def test_whitening(spark):
+    rows = [
+        (1, [0.1, 0.2], "x"),
+        (1, [0.1, 0.2], "x"),
+        (2, [0.5, -0.2], "x"),
+        (None, [0.3, 0.9], "x"),
+        (3, None, "x"),
+        (4, [], "x"),
+        (5, [1.0, None], "x"),
+        (6, [1.0, float("nan")], "x"),
+        (7, [float("-inf"), 1.0], "x"),
+        (8, [1e30, 1.0], "x"),
+        (9, [1.0, 2.0, 3.0], "x"),
+        (10, [1.0, 2.5, 3.0], "x"),
+        (11, [7.0], "x"),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n string").withColumns({c: F.lit("mine") for c in ("dims", "x", "at", "_v")})
+    out = whitening.whiten(df)
+    assert set(df.columns) <= set(out.columns)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["vec_id"], []).append(r)
+        assert r["dims"] == r["_v"] == "mine"
+    assert set(got) == {1, 2, None, 4, 9, 10, 11} and len(got[1]) == 2
+    assert [got[k][0]["n"] for k in (1, None, 4, 9, 11)] == [3, 3, 1, 2, 1]
+    assert [len(got[k][0]["whitened"]) for k in (1, 4, 9, 11)] == [2, 0, 1, 0]
+    assert got[1][0]["identity_error"] < 1e-9 and got[9][0]["explained"] == [1.0] and got[11][0]["deviation"] == 0
+    assert abs(got[9][0]["whitened"][0]) == pytest.approx(1) and got[9][0]["deviation"] == 32 * 32
+    assert whitening.whiten(df.limit(0)).count() == 0
+    far = spark.createDataFrame([(1, [1e16]), (2, [-1e16])], "vec_id long, embedding array<double>")
+    assert [(r["deviation"], abs(round(r["whitened"][0], 9))) for r in whitening.whiten(far).collect()] == [(None, 1.0)] * 2
