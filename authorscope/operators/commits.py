@@ -1,12 +1,15 @@
 """Commit-history rules: per commit, then across all commits of each repo.
 
-Rules over one commit are projections. Rules over a repo are partial aggregates, counts per (repo, value) and distinct
-(repo, name) pairs; no row holds a history, so a repo with a third of all commits is spread like any other. A cap on
-the newest commits of each repo applies only when asked for.
+Rules over one commit are projections. Rules over a repo read two tables that one pass over the messages makes: a row
+per commit with its markers, and a count per (repo, kind, value) of first words, hours, names, addresses and moments.
+No row holds a history, so a repo with a third of all commits is spread like any other. A cap on the newest commits of
+each repo applies only when asked for.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +18,10 @@ from ..config import DEFAULT, ScoringConfig
 from ..functions import text as T
 from ..functions.exprs import any_of, built_once, int_list, let, percent
 from ..functions.regex import SPACE, java_regex
+from ..plans.durable import durable
 from ..schema import signal
-from .markers import commit_marker_signals, compact, is_ai_author
+from .bursts import burst_statistics
+from .markers import commit_markers, compact, is_ai_author
 from .rules import first
 from .scoring import weighted_mean
 from .topk import leading_rows
@@ -60,6 +65,7 @@ AI_ADDRESSES = (("anthropic.com", "Anthropic"), ("copilot@github", "Copilot"))
 SIGNIFICANT_BURST = 5
 # ---- end of fixed values ----
 
+
 # The same language for Java, which would try every verb with every noun of a line: from the start of a line the
 # earliest verb and the earliest noun after it leave the most room, and are not given up again.
 LINE_WISE = {
@@ -149,7 +155,7 @@ def commit_scores(commits: DataFrame) -> DataFrame:
 
 @built_once
 def _marker_array() -> Column:
-    return compact(commit_marker_signals(F.col("message"), F.col("_author"), F.col("_email")))
+    return commit_markers(F.col("message"), F.col("_author"), F.col("_email"))
 
 
 def with_commit_markers(commits: DataFrame) -> DataFrame:
@@ -162,114 +168,85 @@ def with_commit_markers(commits: DataFrame) -> DataFrame:
     ).withColumn("markers", _marker_array())
 
 
-def top_value(commits: DataFrame, value: Column, name: str) -> DataFrame:
-    """``repo`` and the most frequent value as ``name`` (neg, first, value); ties go to the newest commit's."""
-    newest = F.struct(F.col("date").isNull(), -F.unix_micros("date"), F.col("sha"))
-    counts = commits.groupBy("repo", value.alias("value")).agg((-F.count("*")).alias("neg"), F.min(newest).alias("first"))
-    return counts.groupBy("repo").agg(F.min(F.struct("neg", "first", "value")).alias(name))
+#: Kinds of values that the rules across commits count.
+WORD, HOUR, NAME, ADDRESS, AI_NAME, MOMENT = "word", "hour", "name", "address", "ai", "moment"
+RANKED = (WORD, HOUR)
+
 
+@dataclass(frozen=True)
+class History:
+    """What the rules across commits read: ``marked`` has a row per commit without its message, ``values`` a row (repo,
+    kind, value, n, first) per distinct value. Both are written once, so messages are read and matched once."""
 
-def repo_statistics(commits: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
-    """One row per repo with what the rules across commits read. ``commits`` is the output of :func:`newest_commits`."""
-    marked = with_commit_markers(commits)
+    marked: DataFrame
+    values: DataFrame
+
+    def of(self, kind: str) -> DataFrame:
+        return self.values.where(F.col("kind") == kind)
+
+
+def history(commits: DataFrame, config: ScoringConfig = DEFAULT) -> History:
+    """``commits`` is the output of :func:`newest_commits`."""
     has_message = F.coalesce(F.length("message"), F.lit(0)) > 0
-    conventional = F.coalesce(F.lower("message").rlike(java_regex(CONVENTIONAL_PREFIX)), F.lit(False))
-    attributed = F.size("markers") > 0
-    totals = marked.groupBy("repo").agg(
-        F.count_if(attributed).cast("int").alias("ai_commits"),
+    local = F.from_utc_timestamp(F.to_utc_timestamp("date", F.current_timezone()), F.lit(config.time_zone))
+    marked = with_commit_markers(commits).select(
+        "repo",
+        "sha",
+        F.unix_micros("date").alias("at"),
+        "author",
+        "_author",
+        "_email",
+        "markers",
+        has_message.alias("has_message"),
+        (has_message & F.coalesce(F.lower("message").rlike(java_regex(CONVENTIONAL_PREFIX)), F.lit(False))).alias("conventional"),
+        F.when(has_message, F.lower(F.regexp_extract("message", f"[^{SPACE}]+", 0))).alias("word"),
+        F.hour(local).cast("string").alias("hour"),
+    )
+    marked = durable(marked, "marked-commits")
+    attributed = (F.size("markers") > 0) & is_ai_author(F.col("_author"))
+    kinds = {
+        WORD: F.col("word"),
+        HOUR: F.col("hour"),
+        NAME: F.col("_author"),
+        ADDRESS: F.col("_email"),
+        AI_NAME: F.when(attributed, F.col("author")),
+        MOMENT: F.col("at").cast("string"),
+    }
+    facts = F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in kinds.items() if kind not in RANKED])
+    counts = marked.select("repo", F.inline(facts)).where("value IS NOT NULL").groupBy("repo", "kind", "value").agg(F.count("*").alias("n"))
+    # the order of commits settles ties of words and hours
+    newest = F.struct(F.col("at").isNull().alias("undated"), (-F.col("at")).alias("age"), "sha")
+    ranked = F.array(*[F.struct(F.lit(kind).alias("kind"), kinds[kind].alias("value"), newest.alias("newest")) for kind in RANKED])
+    ranks = marked.select("repo", F.inline(ranked)).where("value IS NOT NULL").groupBy("repo", "kind", "value")
+    values = ranks.agg(F.count("*").alias("n"), F.min("newest").alias("first")).unionByName(counts, allowMissingColumns=True)
+    return History(marked, durable(values, "history-values"))
+
+
+def top_value(values: DataFrame, name: str) -> DataFrame:
+    """``repo`` and the most frequent value as ``name`` (neg, first, value); ties go to the newest commit's."""
+    return values.groupBy("repo").agg(F.min(F.struct((-F.col("n")).alias("neg"), "first", "value")).alias(name))
+
+
+def repo_statistics(found: History, config: ScoringConfig = DEFAULT) -> DataFrame:
+    """One row per repo with what the rules across commits read."""
+    totals = found.marked.groupBy("repo").agg(
+        F.count_if(F.size("markers") > 0).cast("int").alias("ai_commits"),
         F.count("*").cast("int").alias("total_commits"),
-        F.array_sort(F.collect_set(F.when(attributed & is_ai_author(F.col("_author")), F.col("author")))).alias("ai_authors"),
-        F.count_if(has_message).cast("int").alias("messages"),
-        F.count_if(has_message & conventional).cast("int").alias("conventional"),
-        F.count("date").cast("int").alias("dated"),
+        F.count_if("has_message").cast("int").alias("messages"),
+        F.count_if("conventional").cast("int").alias("conventional"),
+        F.count("at").cast("int").alias("dated"),
     )
-    zone = F.lit(config.time_zone)
-    hour = F.hour(F.from_utc_timestamp(F.to_utc_timestamp("date", F.current_timezone()), zone))
-    words = top_value(commits.where(has_message), F.lower(F.regexp_extract("message", f"[^{SPACE}]+", 0)), "top_word")
-    hours = top_value(commits.where("date IS NOT NULL"), hour, "top_hour")
+    ai_authors = found.of(AI_NAME).groupBy("repo").agg(F.array_sort(F.collect_set("value")).alias("ai_authors"))
+    words = top_value(found.of(WORD), "top_word")
+    hours = top_value(found.of(HOUR), "top_hour")
+    moments = found.of(MOMENT).select("repo", F.col("value").cast("long").alias("at"), "n")
     return (
         totals.withColumn("ai_commit_ratio", F.col("ai_commits") / F.col("total_commits"))
+        .join(ai_authors, "repo", "left")
+        .withColumn("ai_authors", F.coalesce("ai_authors", F.array().cast("array<string>")))
         .join(words, "repo", "left")
         .join(hours, "repo", "left")
-        .join(burst_statistics(commits, config), "repo", "left")
-    )
-
-
-def activity_pieces(commits: DataFrame, width: int, windows: int = 1024) -> DataFrame:
-    """(repo, piece, moments): stretches of commits no farther apart than ``width`` microseconds, named by their start.
-
-    A longer gap always starts a new window, so pieces can be folded apart. Equal moments are counted first; gaps are
-    found inside buckets of ``windows`` widths, and a table of bucket edges joins the buckets of a repo.
-    """
-    bucket = F.floor(F.col("at") / (width * windows))
-    moments = (
-        commits.where("date IS NOT NULL").groupBy("repo", F.unix_micros("date").alias("at")).agg(F.count("*").cast("int").alias("n"))
-    ).withColumn("bucket", bucket)
-    by_bucket = W.partitionBy("repo").orderBy("bucket")
-    edges = moments.groupBy("repo", "bucket").agg(F.max("at").alias("last"))
-    edges = edges.select("repo", "bucket", F.lag("last").over(by_bucket).alias("last_before"))
-    inside = W.partitionBy("repo", "bucket").orderBy("at")
-    before = F.coalesce(F.lag("at").over(inside), F.col("last_before"))
-    starts = moments.join(edges, ["repo", "bucket"]).withColumn(
-        "start", F.when(before.isNull() | (F.col("at") - before > width), F.col("at"))
-    )
-    carried = starts.groupBy("repo", "bucket").agg(F.max("start").alias("start"))
-    carried = carried.select(
-        "repo", "bucket", F.max("start").over(by_bucket.rowsBetween(W.unboundedPreceding, -1)).alias("start_before")
-    )
-    so_far = F.max("start").over(inside.rowsBetween(W.unboundedPreceding, 0))
-    placed = starts.join(carried, ["repo", "bucket"]).withColumn("piece", F.coalesce(so_far, F.col("start_before")))
-    return placed.groupBy("repo", "piece").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("moments"))
-
-
-def burst_statistics(commits: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
-    """Per repo with a burst worth counting: the largest, and the first five in time order."""
-    width = config.bulk_commit_window_hours * 3_600_000_000
-    sizes = burst_sizes(F.col("moments"), config.bulk_commit_window_hours)
-    bursts = (
-        activity_pieces(commits, width)
-        .select("repo", "piece", F.posexplode(sizes).alias("place", "size"))
-        .where(F.col("size") >= SIGNIFICANT_BURST)
-    )
-    leading = (
-        leading_rows(bursts, ["repo"], ["piece", "place"], 5)
-        .groupBy("repo")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "size"))).alias("first"))
-    )
-    largest = bursts.groupBy("repo").agg(F.max("size").alias("largest_burst"))
-    return largest.join(leading, "repo").select(
-        "repo", "largest_burst", F.transform("first", lambda r: r["size"]).alias("first_bursts")
-    )
-
-
-def burst_sizes(moments: Column, window_hours: int) -> Column:
-    """Sizes of the windows anchored at the first commit outside the previous one, in time order.
-
-    ``moments`` are (at, n) in ascending order: microseconds, and how many commits have them.
-    """
-    width = window_hours * 3_600_000_000
-    state = "struct<anchor:bigint,n:int,sizes:array<int>>"
-
-    def add(acc: Column, moment: Column) -> Column:
-        at, n = moment["at"], moment["n"]
-        inside = acc["anchor"].isNotNull() & (at - acc["anchor"] <= width)
-        closed = F.when(acc["n"] > 0, F.concat(acc["sizes"], F.array(acc["n"]))).otherwise(acc["sizes"])
-        return F.struct(
-            F.when(inside, acc["anchor"]).otherwise(at).alias("anchor"),
-            F.when(inside, acc["n"] + n).otherwise(n).alias("n"),
-            F.when(inside, acc["sizes"]).otherwise(closed).alias("sizes"),
-        ).cast(state)
-
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("anchor"),
-        F.lit(0).alias("n"),
-        F.array().cast("array<int>").alias("sizes"),
-    ).cast(state)
-    return F.aggregate(
-        moments,
-        start,
-        add,
-        lambda acc: F.when(acc["n"] > 0, F.concat(acc["sizes"], F.array(acc["n"]))).otherwise(acc["sizes"]),
+        .join(burst_statistics(moments, config.bulk_commit_window_hours, SIGNIFICANT_BURST), "repo", "left")
     )
 
 
@@ -374,27 +351,22 @@ def ai_address_signals(addresses: Column) -> Column:
     return F.array_compact(F.transform(addresses, of))
 
 
-def distinct_people(commits: DataFrame, field: str) -> DataFrame:
-    """Distinct (repo, name) pairs of the lower-cased ``author`` or ``author_email``; a missing one is empty."""
-    return commits.select("repo", F.lower(F.coalesce(F.col(field), F.lit(""))).alias("name")).distinct()
-
-
-def name_signals(commits: DataFrame) -> DataFrame:
+def name_signals(found: History) -> DataFrame:
     """(repo, name, ord, s) of authors named like a model or vendor."""
-    return distinct_people(commits, "author").select("repo", "name", F.posexplode(ai_name_signals(F.array("name"))).alias("ord", "s"))
+    names = found.of(NAME).withColumnRenamed("value", "name")
+    return names.select("repo", "name", F.posexplode(ai_name_signals(F.array("name"))).alias("ord", "s"))
 
 
-def address_signals(commits: DataFrame) -> DataFrame:
+def address_signals(found: History) -> DataFrame:
     """(repo, name, ord, s) of vendor addresses."""
-    return distinct_people(commits, "author_email").select(
-        "repo", "name", F.posexplode(ai_address_signals(F.array("name"))).alias("ord", "s")
-    )
+    names = found.of(ADDRESS).withColumnRenamed("value", "name")
+    return names.select("repo", "name", F.posexplode(ai_address_signals(F.array("name"))).alias("ord", "s"))
 
 
-def bot_signals(commits: DataFrame) -> DataFrame:
+def bot_signals(found: History) -> DataFrame:
     """(repo, s): distinct names that look like bots and match no AI pattern; the first three are shown."""
     name = F.col("name")
-    bots = distinct_people(commits, "author").where(
+    bots = found.of(NAME).select("repo", F.col("value").alias("name")).where(
         any_of([name.rlike(java_regex(p)) for p in BOT_NAMES])
         & ~any_of([name.rlike(java_regex(p, "i")) for p, _, _ in AI_NAMES])
     )
@@ -440,17 +412,18 @@ def history_signals(commits: DataFrame, config: ScoringConfig = DEFAULT) -> Data
 
     ``commits`` is the output of :func:`newest_commits`.
     """
-    age = F.lpad((F.lit(9_000_000_000_000_000_000) - F.unix_micros("date")).cast("string"), 20, "0")
+    found = history(commits, config)
+    age = F.lpad((F.lit(9_000_000_000_000_000_000) - F.col("at")).cast("string"), 20, "0")
     newest_first = F.concat(F.lit("0"), F.coalesce(age, F.lit("~")), F.lit(" "), F.col("sha"))
-    per_commit = with_commit_markers(commits).select("repo", newest_first.alias("path"), F.posexplode("markers").alias("ord", "s"))
-    statistics = repo_statistics(commits, config)
+    per_commit = found.marked.select("repo", newest_first.alias("path"), F.posexplode("markers").alias("ord", "s"))
+    statistics = repo_statistics(found, config)
     across = [ratio_signal(), burst_signal(config), *message_pattern_signals(), hour_signal()]
     places = [F.struct(F.lit(str(i)).alias("path"), F.lit(0).alias("ord"), s.alias("s")) for i, s in enumerate([*across, summary_signal()], 1)]
     places[-1] = F.struct(F.lit("9").alias("path"), F.lit(0).alias("ord"), summary_signal().alias("s"))
     of_repo = statistics.select("repo", F.inline(F.filter(F.array(*places), lambda p: p["s"].isNotNull())))
     named = lambda rows, digit: rows.select("repo", F.concat(F.lit(digit), "name").alias("path"), "ord", "s")
-    bots = bot_signals(commits).select("repo", F.lit("8").alias("path"), F.lit(0).alias("ord"), "s")
+    bots = bot_signals(found).select("repo", F.lit("8").alias("path"), F.lit(0).alias("ord"), "s")
     out = per_commit
-    for part in (of_repo, named(name_signals(commits), "6"), named(address_signals(commits), "7"), bots):
+    for part in (of_repo, named(name_signals(found), "6"), named(address_signals(found), "7"), bots):
         out = out.unionByName(part)
     return out

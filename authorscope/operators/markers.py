@@ -156,13 +156,14 @@ def multiple_markers(markers: DataFrame) -> DataFrame:
     )
 
 
-def commit_marker_signals(message: Column, author: Column, email: Column) -> list[Column]:
-    """Signals of one commit: attribution patterns in the message, then author name and e-mail patterns.
+#: Any of the author patterns, in one scan of a name.
+ANY_AUTHOR = java_regex("|".join(f"(?:{pattern})" for pattern, _, _ in AUTHORS), "i")
 
-    ``author`` and ``email`` are lower-cased.
-    """
+
+def message_marker_signals(message: Column) -> list[Column]:
+    """Attribution patterns in the message of one commit."""
     lowered = F.lower(message)
-    out = [
+    return [
         F.when(
             may_match(lowered, rule.needs) & message.rlike(java_regex(rule.pattern, "i")),
             signal(
@@ -176,6 +177,11 @@ def commit_marker_signals(message: Column, author: Column, email: Column) -> lis
         )
         for rule in ATTRIBUTION_RULES
     ]
+
+
+def person_marker_signals(author: Column, email: Column) -> list[Column]:
+    """Patterns of author names and addresses of one commit; both are lower-cased."""
+    out = []
     for i, (pattern, name, score) in enumerate(AUTHORS, 1):
         regex = java_regex(pattern, "i")
         out.append(
@@ -199,8 +205,15 @@ def commit_marker_signals(message: Column, author: Column, email: Column) -> lis
     return out
 
 
+def commit_markers(message: Column, author: Column, email: Column) -> Column:
+    """Signals of one commit: attribution patterns in the message, then author name and e-mail patterns. The patterns
+    for people are only gone through where one of them matches."""
+    people = F.when(is_ai_author(author) | is_ai_author(email), compact(person_marker_signals(author, email)))
+    return F.concat(compact(message_marker_signals(message)), F.coalesce(people, F.array().cast(SIGNALS)))
+
+
 def is_ai_author(author: Column) -> Column:
-    return any_of([author.rlike(java_regex(p, "i")) for p, _, _ in AUTHORS])
+    return author.rlike(ANY_AUTHOR)
 
 
 def compact(signals: list[Column]) -> Column:

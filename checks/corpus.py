@@ -169,7 +169,7 @@ def pick(values: list, index: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", spread=name in {"documents", "conversations"})
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread=name in {"documents", "conversations", "events"})
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -482,7 +482,7 @@ O.CTES["cstat"] = f"""SELECT repo, count(DISTINCT sha) FILTER (marked) AS ai_com
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.repo_statistics(C.newest_commits(corpus.commits(spark, sf_dir)))
+    return C.repo_statistics(C.history(C.newest_commits(corpus.commits(spark, sf_dir))))
 
 
 def history_rule(column: Callable[[], Column]) -> Query:
@@ -738,7 +738,7 @@ O.CTES["hmail"] = (
 
 def name_rows(make: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return make(C.newest_commits(corpus.commits(spark, sf_dir))).select(
+        return make(C.history(C.newest_commits(corpus.commits(spark, sf_dir)))).select(
             "repo", F.get("s.evidence", F.lit(0)).alias("who"), F.col("s.name").alias("name"), F.col("s.score").alias("score")
         )
 
@@ -747,7 +747,7 @@ def name_rows(make: Callable[[DataFrame], DataFrame]) -> Query:
 
 def bot_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = corpus.commits(spark, sf_dir)
-    return commits.select("repo").distinct().join(C.bot_signals(C.newest_commits(commits)), "repo", "left").select(
+    return commits.select("repo").distinct().join(C.bot_signals(C.history(C.newest_commits(commits))), "repo", "left").select(
         "repo", r6("s.score").alias("score"), F.col("s.weight").alias("weight"),
         F.col("s.description").alias("description"), F.array_join("s.evidence", "|").alias("evidence"),
     )

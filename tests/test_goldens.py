@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from authorscope import ScoringConfig, score_commits, score_files, score_repositories, score_texts
 from authorscope.functions import text as T
 from authorscope.operators import aggregate, classify, commits, intake, markers
+from authorscope.operators.bursts import burst_statistics
 from authorscope.operators.scoring import with_score
 from authorscope.schema import FILES_SCHEMA, SIGNALS
 
@@ -202,10 +203,10 @@ def test_commit_score(spark):
 
 
 def test_burst_windows(spark):
-    df = spark.createDataFrame(
-        [([(s * 1_000_000, n) for s, n in ((0, 1), (3600, 1), (3601, 1), (3700, 2), (7201, 1), (7202, 1))],)], "t array<struct<at:bigint,n:int>>"
-    )
-    assert one(df.select(commits.burst_sizes(F.col("t"), 1).alias("b"))).b == [2, 4, 1]
+    moments = [("r", s * 1_000_000, n) for s, n in ((0, 1), (3600, 1), (3601, 1), (3700, 2), (7201, 1), (7202, 1))]
+    df = spark.createDataFrame(moments, "repo string, at long, n int")
+    found = one(burst_statistics(df, 1, least=1))
+    assert (found.largest_burst, found.first_bursts) == (4, [2, 4, 1])
 
 
 def signals_of(spark, rows, config=ScoringConfig()):

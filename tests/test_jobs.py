@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from authorscope import ScoringConfig, score_files, score_repositories, score_texts
 from authorscope.operators import commits, intake, markers
+from authorscope.operators.bursts import burst_statistics
 from authorscope.operators.topk import leading_rows
 from authorscope.plans.durable import durable, shared_folder
 from authorscope.schema import FILES_SCHEMA
@@ -195,30 +197,68 @@ def test_marker_and_cap_plans_read_paths_only(spark, tmp_path):
 
 
 def test_commit_rules_gather_no_history(spark):
-    """Only distinct names, burst sizes and the moments of one stretch of activity are ever collected into a row."""
-    statistics = commits.repo_statistics(commits.newest_commits(corpus.commits(spark, SF)))
-    plan = plan_of(statistics)
-    gathered = set(re.findall(r"collect_list\(([^,]*)", plan))
-    assert all("struct(at" in g or "struct(rank" in g or g.startswith("named_struct") for g in gathered), gathered
-    assert "markers" not in " ".join(gathered)
-
-
-def test_activity_pieces_over_bucket_edges(spark):
-    """Cutting the time line changes no burst: against one fold over the whole history, with small buckets."""
-    width = 3_600_000_000
-    rows = [("r", str(i), "m", "a", "b", (i * i * 37_000_003) % (400 * width), 1) for i in range(900)] + [("s", "x", "m", "a", "b", 5, 1)]
-    df = spark.createDataFrame(rows, "repo string, sha string, message string, author string, author_email string, us long, n int")
-    df = df.withColumn("date", F.timestamp_micros("us"))
-    pieces = commits.activity_pieces(df, width, windows=2).select("repo", "piece", F.posexplode(commits.burst_sizes(F.col("moments"), 1)))
-    got = [r["col"] for r in pieces.where("repo = 'r'").orderBy("piece", "pos").collect()]
-    anchor, want = None, []
-    for at in sorted(r[5] for r in rows if r[0] == "r"):
+    """Only distinct names and a few bursts or bots are ever collected into a row; messages are read once."""
+    found = commits.history(commits.newest_commits(corpus.commits(spark, SF)))
+    plan = plan_of(commits.repo_statistics(found))
+    assert "collect_list" not in plan and "message#" not in plan
+    assert set(re.findall(r"collect_set\(([^,)]*)", plan)) <= {f"value#{n}" for n in re.findall(r"value#(\d+)", plan)}
+    assert set(found.values.columns) == {"repo", "kind", "value", "n", "first"}
+
+
+def bursts_one_by_one(moments, width):
+    """Sizes of the windows, by one step per moment in time order."""
+    anchor, sizes = None, []
+    for at, n in sorted(moments):
         if anchor is not None and at - anchor <= width:
-            want[-1] += 1
+            sizes[-1] += n
         else:
             anchor = at
-            want.append(1)
-    assert got == want and len(want) > 100
+            sizes.append(n)
+    return sizes
+
+
+@pytest.mark.parametrize("hours", [1, 3, 0])
+def test_bursts_of_chained_buckets(spark, hours):
+    """Against one walk over the whole history: without a pause, with pauses, over edges of buckets and of groups of
+    buckets, before 1970, and with commits at the same moment."""
+    rng, hour = random.Random(hours), 3_600_000_000
+    repos = {"hot": [(rng.randrange(3000 * hour), rng.randrange(1, 4)) for _ in range(12_000)]}
+    repos["second"] = [(i * 977_000_000, 1) for i in range(20_000)]
+    repos["edges"] = [(16 * hour * i + d, 1) for i in range(-3, 70) for d in (-1, 0, 1, hour - 1, hour, hour + 1)]
+    repos["old"] = [(-(10**16) + rng.randrange(40 * hour), 2) for _ in range(300)]
+    repos["one"] = [(5, 7)]
+    for i in range(60):
+        gap = rng.choice([hour // 7, hour, 20 * hour, 1500 * hour])
+        repos[f"r{i}"] = [(sum(rng.randrange(gap) for _ in range(2)) * k, 1 + k % 3) for k in range(rng.randrange(1, 40))]
+    rows = [(r, at, n) for r, moments in repos.items() for at, n in moments]
+    df = spark.createDataFrame(rows, "repo string, at long, n long").groupBy("repo", "at").agg(F.sum("n").alias("n"))
+    got = {r.repo: (r.largest_burst, r.first_bursts) for r in burst_statistics(df, hours, 5).collect()}
+    want = {}
+    for repo, moments in repos.items():
+        large = [x for x in bursts_one_by_one(moments, hours * hour) if x >= 5]
+        if large:
+            want[repo] = (max(large), large[:5])
+    assert got == want and len(want) > 20
+
+
+def test_one_busy_repo_is_spread_over_tasks(spark):
+    """A third of all commits in one repo that never rests: no task gets more than its share of time."""
+    rows = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("r"), F.col("id") % 500)).alias("repo"),
+        (F.col("id") * 60_000_000).alias("at"),
+        F.lit(1).alias("n"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        buckets = rows.where("repo = 'hot'").withColumn("bucket", F.floor(F.col("at") / (16 * 3_600_000_000)))
+        sizes = [r["n"] for r in buckets.repartition("repo", "bucket").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) < 4000 and len(sizes) > 30
+        found = {r.repo: r.largest_burst for r in burst_statistics(rows, 1, 5).collect()}
+        assert found == {"hot": 21}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_leading_rows_of_one_group_over_many_tasks(spark):
