@@ -22,6 +22,8 @@ class ScoringConfig:
     max_file_size: int | None = None
     max_commits: int | None = None
     ignore_patterns: tuple[str, ...] | None = None
+    # Bytes at the start of a file that tell text from binary; ``None`` looks at the whole content.
+    sniff_bytes: int | None = 8192
 
     # Text guards
     min_content_length: int = 50

@@ -79,7 +79,7 @@ def newest_commits(commits: DataFrame, config: ScoringConfig = DEFAULT) -> DataF
     if config.max_commits is None:
         return commits.withColumn("message", T.strip(F.col("message")))
     return leading_rows(
-        commits, ["repo"], [F.col("date").desc_nulls_last(), "sha"], config.max_commits
+        commits, ["repo"], [F.col("date").isNull(), -F.unix_micros("date"), "sha"], config.max_commits
     ).withColumns({"rank": F.col("rank") - 1, "message": T.strip(F.col("message"))})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -28,10 +29,17 @@ NON_TEXT_CLASS = r"[\x00-\x06\x0b\x0e-\x1a\x1c-\x1f\x7f]"
 # ---- end of fixed values ----
 
 
-_GLOB_PARTS = re.compile(r"\[!?\]?[^\]/]*\]|.", re.DOTALL)
+#: The bytes of the class above.
+NON_TEXT_BYTES = bytes(b for b in range(256) if re.match(NON_TEXT_CLASS, chr(b)))
+
+_GLOB_PARTS = re.compile(r"\[!?\]?[^\]/]*\]|\A\*\*/|/\*\*\Z|/\*\*/|.", re.DOTALL)
+#: Any number of folders: before the rest, after it, or between two parts.
+_ANY_FOLDERS = {"**/": "(?:[^/]*/)*", "/**": "/[^/]", "/**/": "/(?:[^/]*/)*"}
 
 
 def _glob_part(part: str) -> str:
+    if part in _ANY_FOLDERS:
+        return _ANY_FOLDERS[part]
     if part in ("*", "?"):
         return "[^/]*" if part == "*" else "[^/]"
     if len(part) > 1:
@@ -41,19 +49,25 @@ def _glob_part(part: str) -> str:
     return re.escape(part)
 
 
-def ignore_regex(patterns: tuple[str, ...] = IGNORE_PATTERNS) -> str:
+def negates(patterns: tuple[str, ...] | None) -> bool:
+    return any(p.startswith("!") for p in patterns or ())
+
+
+def ignore_regex(patterns: tuple[str, ...] | None = None) -> str:
     """One anchored regex for git-style names: ``name/`` drops a subtree, ``name`` a file or subtree.
 
-    Supports ``*``, ``?``, bracket classes (``[co]``, ``[!a-z]``) and a slash at the start or inside, which ties the
-    pattern to the root of the tree. Negated patterns and ``**`` are refused.
+    Supports ``*``, ``?``, bracket classes (``[co]``, ``[!a-z]``), ``**`` as a whole part of the path, and a slash at
+    the start or inside, which ties the pattern to the root of the tree. Negated patterns need :func:`ignored`.
     """
     directories, names, rooted = [], [], []
-    for pattern in patterns:
-        if pattern.startswith("!") or "**" in pattern:
-            raise ValueError(f"negated patterns and ** are not supported, got {pattern!r}")
+    for pattern in patterns or IGNORE_PATTERNS:
+        if pattern.startswith("!"):
+            raise ValueError(f"a negated pattern has no regex of its own, got {pattern!r}")
         name = pattern.rstrip("/")
-        body = "".join(_glob_part(part) for part in _GLOB_PARTS.findall(name.lstrip("/")))
-        if "/" in name:
+        body = "".join(_glob_part(part) for part in _GLOB_PARTS.findall(name.removeprefix("/")))
+        if pattern.endswith("/**"):
+            rooted.append(body)
+        elif "/" in name:
             rooted.append(body + ("/" if pattern.endswith("/") else "(?:/|\\z)"))
         else:
             (directories if pattern.endswith("/") else names).append(body)
@@ -67,7 +81,12 @@ def ignore_regex(patterns: tuple[str, ...] = IGNORE_PATTERNS) -> str:
 
 
 def ignored(path: Column, patterns: tuple[str, ...] | None = None) -> Column:
-    return path.rlike(ignore_regex(patterns or IGNORE_PATTERNS))
+    """The last pattern that matches decides; ``!pattern`` takes a path back. Neighbours of one kind are one regex."""
+    verdict = F.lit(False)
+    for negated, some in itertools.groupby(patterns or IGNORE_PATTERNS, key=lambda p: p.startswith("!")):
+        hit = path.rlike(ignore_regex(tuple(p.removeprefix("!") for p in some)))
+        verdict = verdict & ~hit if negated else verdict | hit
+    return verdict
 
 
 def in_hidden_directory(path: Column) -> Column:
@@ -83,13 +102,14 @@ def within_size(size: Column, limit: int | None) -> Column:
     return F.lit(True) if limit is None else size <= limit
 
 
-def looks_binary(content: Column) -> Column:
-    """NUL in the first bytes, or more than 30 % of them outside the text set. Null content counts as binary.
+def looks_binary(content: Column, sniff_bytes: int | None = SNIFF_BYTES) -> Column:
+    """NUL in the first bytes (``None``: in the whole content), or more than 30 % of them outside the text set. Null
+    content counts as binary.
 
     Latin-1 maps each byte to one character, so the byte test becomes a character-class count in the JVM.
     """
-    head = F.decode(F.substring(content, 1, SNIFF_BYTES), "ISO-8859-1")
-    size = F.octet_length(F.substring(content, 1, SNIFF_BYTES))
+    start = content if sniff_bytes is None else F.substring(content, 1, sniff_bytes)
+    head, size = F.decode(start, "ISO-8859-1"), F.octet_length(start)
     non_text = F.regexp_count(head, F.lit(NON_TEXT_CLASS))
     return F.when(content.isNull(), True).when(size == 0, False).otherwise(
         head.rlike(r"\x00") | (non_text / size > 0.3)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,25 @@ def test_markdown_list_rules(spark, texts):
         assert row.m.feature_lists == len(re.findall(H.FEATURE_LIST, text, I | MULTI))
 
 
+def test_feature_lists_equal_the_pattern():
+    rng = random.Random(11)
+    pieces = ["- **a**: b\n", "* **", "**", "**:", " ", "\n", "x", "- ", "*", "- **a**\n", "- **a** \n", "\n\n", "- **a**:\n", "\t", "- \n **q** z\n", "\u2028", "\x0b"]
+    found = 0
+    for _ in range(6000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 22)))
+        want = sum(1 for _ in re.finditer(H.FEATURE_LIST, text, I | MULTI))
+        assert H.count_feature_lists(text) == want, text
+        found += want > 0
+    assert found > 300
+
+
+@pytest.mark.parametrize("text", ["* ** x ** x " * 90_000 + "\n", "* " + "** x " * 200_000 + "\n", "*" * 1_000_000, "- **" * 250_000, "- **a**" + "\n" * 1_000_000, "- **a**\n" * 120_000])
+def test_feature_lists_of_hostile_texts(text):
+    start = time.process_time()
+    H.count_feature_lists(text)
+    assert time.process_time() - start < 2  # the pattern itself would take hours
+
+
 def test_long_inputs_do_not_exhaust_the_stack(spark):
     rows = [
         ("code", "a" + "Bc" * 20000), ("code", "a" + "_b" * 20000),
