@@ -1,10 +1,11 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
-A word's vector is the sum of two hashed embeddings, of the word and of its first bytes, so unseen inflections of a
-word are near it. Filters of several widths run over the whole text, each keeps its largest response, and a logistic
-unit weighs them. Training takes a bounded, balanced sample of labelled rows. The score is shifted by a threshold
-calibrated for the language that the text's function words suggest, so that 0.5 is the border in each language; the
-language column is not read.
+A word's vector is the sum of hashed embeddings, of the word and of its beginnings of two lengths, so unseen inflections
+of a word are near it. Filters of several widths run over the whole text, each keeps its largest response, and a logistic
+unit weighs them. Training takes a bounded sample of labelled rows in batches of equal parts of both classes; words and
+beginnings met in few documents of the sample have no vector, so no document is learned by its rarities. The score is
+shifted by a threshold calibrated for the language that the text's function words suggest, so that 0.5 is the border in
+each language; it is calibrated on scores of rows by networks that did not learn them. The language column is not read.
 """
 
 from __future__ import annotations
@@ -23,17 +24,26 @@ from .hashing import PUNCTUATION, U, Words, text_chunks
 
 #: Labelled rows of each class that are learned from, at most; taken in the order of a hash of their id.
 SAMPLE_ROWS = 3000
-BUCKETS = 1 << 15
+#: Embedding rows of words, and of their beginnings of each length in bytes.
+WORD_ROWS, PREFIX_ROWS = 1 << 14, 1 << 13
+PREFIX_BYTES = (4, 7)
+BUCKETS = WORD_ROWS + PREFIX_ROWS * len(PREFIX_BYTES)
+#: Documents of the sample in which a word or beginning must occur to have a vector.
+LEAST_DOCUMENTS = 5
 SIZE = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 16
-PREFIX_BYTES = 4
-EPOCHS = 6
+EPOCHS = 5
 BATCH = 32
 RATE = 0.08
-#: Bytes of text convolved at once.
+DECAY = 1e-3
+#: Bytes of text convolved at once, words likewise, and bytes after which a long text is cut at the next border of words.
 CHUNK = 1 << 18
+STEP = 1 << 15
+PIECE = 1 << 20
 FOLDS = 5
+#: Networks by whose scores of rows they did not learn the thresholds are set.
+CALIBRATION_FOLDS = 3
 #: Function words by which a language is told, fixed values; a text with none is of no known language.
 FUNCTION_WORDS = {
     "en": ("the", "of", "and", "to", "is", "that", "with"),
@@ -41,19 +51,22 @@ FUNCTION_WORDS = {
     "fr": ("le", "les", "des", "et", "est", "dans", "pour"),
     "es": ("el", "los", "las", "del", "y", "se", "por"),
 }
-#: Calibration rows of a language below which the threshold of all languages is used.
-LEAST_ROWS = 40
+#: Calibration rows of each class of a language below which the threshold of all languages is used.
+LEAST_ROWS = 20
 OWN = ("held_out", "score", "predicted")
 
 
 @dataclass
 class Tokens:
-    """Two embedding rows per word; each text ends in ``max(WIDTHS)`` empty ones, so no filter spans two texts."""
+    """Embedding rows per word (kind, word); each text ends in ``max(WIDTHS)`` empty ones, so no filter spans two texts."""
 
-    word: np.ndarray
-    prefix: np.ndarray
+    rows: np.ndarray
     starts: np.ndarray
-    language: np.ndarray
+    votes: np.ndarray  # function words of each language, per text
+
+    @property
+    def language(self) -> np.ndarray:
+        return np.where(self.votes.max(axis=1) > 0, self.votes.argmax(axis=1), len(LANGUAGE_HASHES))
 
 
 def _language_hashes() -> list[np.ndarray]:
@@ -74,13 +87,32 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     sizes = words.counts + pad
     starts = np.cumsum(sizes) - sizes
     at = np.repeat(starts - words.first[:-1], words.counts) + np.arange(len(hashes))
-    word, prefix = (np.full(sizes.sum(), BUCKETS, np.int64) for _ in range(2))
-    word[at] = (hashes % U(BUCKETS // 2)).astype(np.int64)
-    prefix[at] = (words.prefix_hashes(PREFIX_BYTES) % U(BUCKETS // 2)).astype(np.int64) + BUCKETS // 2
+    rows = np.full((1 + len(PREFIX_BYTES), sizes.sum()), BUCKETS, np.int32)
+    rows[0, at] = (hashes % U(WORD_ROWS)).astype(np.int32)
+    for i, size in enumerate(PREFIX_BYTES):
+        rows[1 + i, at] = (words.prefix_hashes(size) % U(PREFIX_ROWS)).astype(np.int32) + WORD_ROWS + i * PREFIX_ROWS
     votes = [np.diff(np.concatenate([[0], np.cumsum(np.isin(hashes, known))])[words.first]) for known in LANGUAGE_HASHES]
-    votes = np.stack(votes, axis=1)
-    language = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), len(LANGUAGE_HASHES))
-    return Tokens(word, prefix, starts, language)
+    return Tokens(rows, starts, np.stack(votes, axis=1))
+
+
+def cuts(data: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the pieces of a long text: cut between words, each begins with the last words of the one before,
+    as many as the widest filter needs to span the cut."""
+    found, start = [], 0
+    while start < len(data):
+        stop = min(start + PIECE, len(data))
+        while stop < len(data) and not PUNCTUATION[data[stop]]:
+            ahead = np.flatnonzero(PUNCTUATION[data[stop : stop + PIECE]])
+            stop = stop + int(ahead[0]) if len(ahead) else min(stop + PIECE, len(data))
+        begin = start
+        if start:
+            inside = ~PUNCTUATION[data[max(found[-1][0], start - PIECE) : start + 1]]
+            words = np.flatnonzero(inside[1:-1] & ~inside[:-2]) + 1  # where words begin, but for the one at the edge
+            words = np.concatenate([[0] if inside[0] else [], words]).astype(int)
+            begin = start - (len(inside) - 1) + int(words[-min(len(words), max(WIDTHS) - 1)]) if len(words) else start
+        found.append((begin, stop))
+        start = stop
+    return found
 
 
 @dataclass
@@ -92,31 +124,60 @@ class Network:
     bias: float
     thresholds: np.ndarray  # per language, the last for none
 
-    def responses(self, tokens: Tokens) -> tuple[np.ndarray, list[np.ndarray]]:
-        x = self.embedding[tokens.word] + self.embedding[tokens.prefix]
-        found = []
+    def responses(self, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        x = self.embedding[rows[0]]
+        for beginnings in rows[1:]:
+            x += self.embedding[beginnings]
+        # one product for all filters; what a filter says of its next words moves up to its first
+        said = x @ np.hstack([step for kernel in self.filters for step in kernel])
+        found, at = [], 0
         for kernel, offset in zip(self.filters, self.offsets, strict=True):
-            h = x @ kernel[0]
+            h = said[:, at : at + FILTERS] + offset
             for step in range(1, len(kernel)):
-                h[:-step] += x[step:] @ kernel[step]
-            found.append(np.maximum(h + offset, 0))
+                h[:-step] += said[step:, at + step * FILTERS : at + (step + 1) * FILTERS]
+            found.append(np.maximum(h, 0, out=h))
+            at += len(kernel) * FILTERS
         return x, found
 
+    def pooled(self, tokens: Tokens) -> np.ndarray:
+        """Each filter's largest response in each text, ``STEP`` words at a time."""
+        out = np.zeros((len(tokens.starts), FILTERS * len(WIDTHS)), np.float32)
+        size = tokens.rows.shape[1]
+        for low in range(0, size, STEP):
+            high = min(low + STEP, size)
+            _, found = self.responses(tokens.rows[:, low : high + max(WIDTHS) - 1])
+            first, last = np.searchsorted(tokens.starts, low, "right") - 1, np.searchsorted(tokens.starts, high)
+            at = np.maximum(tokens.starts[first:last] - low, 0)
+            largest = np.maximum.reduceat(np.hstack([h[: high - low] for h in found]), at, axis=0)
+            out[first:last] = np.maximum(out[first:last], largest)
+        return out
+
     def logits(self, tokens: Tokens) -> np.ndarray:
-        if not len(tokens.starts):
-            return np.zeros(0)
-        _, found = self.responses(tokens)
-        pooled = np.hstack([np.maximum.reduceat(h, tokens.starts, axis=0) for h in found])
-        return pooled.astype(float) @ self.out + self.bias
+        return self.pooled(tokens).astype(float) @ self.out + self.bias
 
-    def scores(self, tokens: Tokens) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(tokens) - self.thresholds[tokens.language], -30, 30)))
+    def scores(self, logits: np.ndarray, language: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(logits - self.thresholds[language], -30, 30)))
 
+    def scores_of(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Scores of texts; one that is longer than a piece is convolved piece by piece and pooled over all of it."""
+        if len(data) <= PIECE:
+            tokens = tokens_of(data, offsets)
+            return self.scores(self.logits(tokens), tokens.language)
+        found = []
+        for begin, end in zip(offsets[:-1], offsets[1:]):
+            pooled, votes = np.zeros((1, FILTERS * len(WIDTHS)), np.float32), np.zeros((1, len(LANGUAGE_HASHES)), np.int64)
+            for low, high in cuts(data[begin:end]) or [(0, 0)]:
+                tokens = tokens_of(data[begin + low : begin + high], np.array([0, high - low]))
+                pooled, votes = np.maximum(pooled, self.pooled(tokens)), votes + tokens.votes
+            tokens = Tokens(np.zeros((1, 0), np.int64), np.zeros(1, np.int64), votes)
+            found.append(self.scores(pooled.astype(float) @ self.out + self.bias, tokens.language))
+        return np.concatenate(found)
 
-def fresh(seed: int = 1) -> Network:
+
+def fresh(seed: int, known: np.ndarray) -> Network:
     random = np.random.default_rng(seed)
     table = (random.standard_normal((BUCKETS + 1, SIZE)) * 0.1).astype(np.float32)
-    table[-1] = 0
+    table[~known] = 0
     kernels = [(random.standard_normal((w, SIZE, FILTERS)) * 0.2).astype(np.float32) for w in WIDTHS]
     return Network(
         table,
@@ -135,10 +196,11 @@ def tokens_of_texts(texts: list[str]) -> Tokens:
 
 
 class Learner:
-    """Adagrad on the log loss; a filter learns only where its response was largest."""
+    """Adagrad on the log loss, with decay; a filter learns only where its response was largest. Rows of the embedding
+    that are not ``known`` stay empty."""
 
-    def __init__(self, network: Network):
-        self.n = network
+    def __init__(self, network: Network, known: np.ndarray):
+        self.n, self.unknown = network, ~known
         self.squares = {name: np.full_like(value, 1e-3) for name, value in self.parts().items()}
 
     def parts(self) -> dict[str, np.ndarray]:
@@ -149,8 +211,9 @@ class Learner:
 
     def step(self, tokens: Tokens, labels: np.ndarray) -> None:
         n = self.n
-        x, found = n.responses(tokens)
-        stops = np.append(tokens.starts[1:], len(tokens.word))
+        x, found = n.responses(tokens.rows)
+        size = tokens.rows.shape[1]
+        stops = np.append(tokens.starts[1:], size)
         places = [np.stack([a + h[a:b].argmax(axis=0) for a, b in zip(tokens.starts, stops, strict=True)]) for h in found]
         pooled = np.hstack([np.take_along_axis(h, at, axis=0) for h, at in zip(found, places, strict=True)]).astype(float)
         error = (1 / (1 + np.exp(-np.clip(pooled @ n.out + n.bias, -30, 30))) - labels) / len(labels)
@@ -161,14 +224,15 @@ class Learner:
             slopes[f"offsets{i}"] = own.sum(axis=0)
             kernel = np.zeros_like(n.filters[i])
             for step in range(WIDTHS[i]):
-                where = np.minimum(at + step, len(tokens.word) - 1)
+                where = np.minimum(at + step, size - 1)
                 kernel[step] = np.einsum("bf,bfd->df", own, x[where])
                 to_words = own[:, :, None] * n.filters[i][step].T[None]
-                for rows in (tokens.word, tokens.prefix):
+                for rows in tokens.rows:
                     np.add.at(slopes["embedding"], rows[where], to_words)
             slopes[f"filters{i}"] = kernel
-        slopes["embedding"][-1] = 0
+        slopes["embedding"][self.unknown] = 0
         for name, value in self.parts().items():
+            slopes[name] = slopes[name] + DECAY * value
             self.squares[name] += slopes[name] ** 2
             value -= (RATE * slopes[name] / np.sqrt(self.squares[name])).astype(value.dtype)
         n.bias -= RATE * float(error.sum())
@@ -186,33 +250,63 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(edges[best[len(best) // 2]])
 
 
+def together(texts: list[Tokens]) -> Tokens:
+    sizes = [t.rows.shape[1] for t in texts]
+    starts = np.cumsum(sizes) - sizes
+    return Tokens(np.concatenate([t.rows for t in texts], axis=1), starts, np.concatenate([t.votes for t in texts]))
+
+
+def known_rows(texts: list[Tokens]) -> np.ndarray:
+    """Embedding rows whose words or beginnings occur in ``LEAST_DOCUMENTS`` of the texts or more."""
+    met = np.zeros(BUCKETS + 1, np.int64)
+    for tokens in texts:
+        met[np.unique(tokens.rows)] += 1
+    met[-1] = 0
+    return met >= min(LEAST_DOCUMENTS, max(len(texts) // 8, 1))
+
+
+def learned(texts: list[Tokens], labels: np.ndarray, seed: int) -> Network:
+    """A network fitted on batches that hold half of each class; an epoch has as many rows as there are texts."""
+    known = known_rows(texts)
+    network = fresh(seed, known)
+    learner = Learner(network, known)
+    random = np.random.default_rng(seed)
+    sides = [np.flatnonzero(labels == y) for y in (0, 1)]
+    half = BATCH // 2
+    for _ in range(EPOCHS):
+        steps = max(1, len(texts) // BATCH)
+        drawn = [np.concatenate([random.permutation(side) for _ in range(-(-steps * half // len(side)))]) for side in sides]
+        for i in range(steps):
+            rows = np.concatenate([d[i * half : (i + 1) * half] for d in drawn])
+            learner.step(together([texts[r] for r in rows]), labels[rows])
+    return network
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Network:
-    """A network fitted on four fifths of the texts, its thresholds on all. One class alone gives its own rate."""
-    network = fresh(seed)
-    if len(set(labels.tolist())) < 2:
+    """A network fitted on all texts; its thresholds on scores of rows by networks of the same kind that had not learned
+    them. One class alone gives its own rate."""
+    if len(set(labels.tolist())) < 2 or min(np.bincount(labels.astype(int))) < CALIBRATION_FOLDS:
+        network = fresh(seed, np.zeros(BUCKETS + 1, bool))
         network.out[:] = 0
-        network.bias = 2.0 if len(labels) and labels[0] else -2.0
+        network.bias = 2.0 if len(labels) and labels.mean() > 0.5 else -2.0
         return network
-    random = np.random.default_rng(seed)
-    order = random.permutation(len(texts))
-    apart = len(order) // 5
-    learner = Learner(network)
-    learned = order[apart:]
-    for _ in range(EPOCHS):
-        learned = random.permutation(learned)
-        for i in range(0, len(learned), BATCH):
-            rows = learned[i : i + BATCH]
-            learner.step(tokens_of_texts([texts[r] for r in rows]), labels[rows])
-    found, language = [], []
-    for i in range(0, len(texts), BATCH):
-        tokens = tokens_of_texts(texts[i : i + BATCH])
-        found.append(network.logits(tokens))
-        language.append(tokens.language)
-    found, language = np.concatenate(found), np.concatenate(language)
+    fold = np.empty(len(texts), int)
+    for y in (0, 1):  # both classes in each fold
+        side = np.random.default_rng(seed).permutation(np.flatnonzero(labels == y))
+        fold[side] = np.arange(len(side)) % CALIBRATION_FOLDS
+    tokens = [tokens_of_texts([t]) for t in texts]  # the sample is bounded, and each text is read in every epoch
+    found, language = np.zeros(len(texts)), np.concatenate([t.language for t in tokens])
+    for number in range(CALIBRATION_FOLDS):
+        apart, rest = np.flatnonzero(fold == number), np.flatnonzero(fold != number)
+        network = learned([tokens[r] for r in rest], labels[rest], seed + number)
+        for i in range(0, len(apart), BATCH):
+            rows = apart[i : i + BATCH]
+            found[rows] = network.logits(together([tokens[r] for r in rows]))
+    network = learned(tokens, labels, seed)
     network.thresholds[:] = best_threshold(found, labels)
     for code in range(len(FUNCTION_WORDS)):
         own = language == code
-        if own.sum() >= LEAST_ROWS and len(set(labels[own].tolist())) == 2:
+        if min(np.bincount(labels[own].astype(int), minlength=2)) >= LEAST_ROWS:
             network.thresholds[code] = best_threshold(found[own], labels[own])
     return network
 
@@ -225,9 +319,12 @@ def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: st
     """A network that learned from at most ``rows`` documents of each class, none of them held out."""
     usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_label_id"), "toxic")
     order = [F.xxhash64("_label_id"), "_label_id"]
+    # an id once per class, and of its texts the first: the sample is the same whatever the order of rows
+    usable = usable.distinct()
     sample = usable.where("toxic = 1").orderBy(*order).limit(rows).unionByName(usable.where("toxic = 0").orderBy(*order).limit(rows))
     texts = docs.select(F.col(f"`{key}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    got = texts.join(F.broadcast(sample), F.col("_id") == F.col("_label_id")).select("_id", "_text", "toxic").limit(4 * rows).collect()
+    joined = texts.join(F.broadcast(sample), F.col("_id") == F.col("_label_id"))
+    got = joined.groupBy("_id", "toxic").agg(F.min("_text").alias("_text")).collect()  # at most 2 * rows
     got.sort(key=lambda r: (r["_id"], r["_text"]))
     return fit([r["_text"] for r in got], np.array([float(r["toxic"]) for r in got]))
 
@@ -235,7 +332,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: st
 def scorer(network: Network, at: int) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [network.scores(tokens_of(data, offsets)) for _, _, data, offsets in text_chunks(batch.column(at), CHUNK)]
+            found = [network.scores_of(data, offsets) for _, _, data, offsets in text_chunks(batch.column(at), CHUNK)]
             scores = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
