@@ -13,6 +13,7 @@ starts, from which positions are reset.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from .common import read
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How this public vocabulary splits texts before merging; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space as the pattern sees it, long enough to be cut out.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 ROW = 2048
 #: Tokens a task packs together.
 HELD = 1 << 22
@@ -89,10 +92,24 @@ def best_fit_decreasing(sizes: list[int], row: int) -> list[list[int]]:
 
 
 def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], np.ndarray]:
+    """Ids of a text. The pattern takes a run of white space whole, but for its last character where text follows, and
+    gives one character back at a time to find that; on long runs its engine gives up. They are cut out before it."""
     import tiktoken
 
     encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: np.asarray(encoding.encode_to_numpy(text, disallowed_special=()), np.uint32)
+    plain = lambda text: np.asarray(encoding.encode_to_numpy(text, disallowed_special=()), np.uint32)
+    if pattern != PATTERN:
+        return plain
+
+    def encode(text: str) -> np.ndarray:
+        found, past = [], 0
+        for run in LONG_SPACE.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            found += [plain(text[past : run.start()]), np.asarray(encoding._encode_single_piece(text[run.start() : stop]), np.uint32)]
+            past = stop
+        return np.concatenate([*found, plain(text[past:])]) if found else plain(text)
+
+    return encode
 
 
 def decoded(ids: list[int], vocabulary: str = VOCABULARY) -> str:
@@ -183,5 +200,45 @@ def positions(cu_seqlens: list[int], starts: list[int]) -> np.ndarray:
     return np.concatenate([np.arange(s, s + b - a) for a, b, s in zip(cu_seqlens, cu_seqlens[1:], starts, strict=False)] or [np.zeros(0, int)])
 
 
+SHARD = "shard_id bigint, n_rows int, ids binary, cu_seqlens binary, row_of binary, resets binary"
+
+
+def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows, at most ``BATCH`` of them, as one row of flat arrays."""
+    names, kinds = [c.split()[0] for c in SHARD.split(", ")], (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            some = batch.slice(at, BATCH).to_pydict()
+            row_of = np.repeat(np.arange(len(some["ids"])), [len(c) for c in some["cu_seqlens"]])
+            arrays = [
+                b"".join(some["ids"]),
+                np.concatenate(some["cu_seqlens"]).astype("<i4").tobytes(),
+                row_of.astype("<i4").tobytes(),
+                np.concatenate(some["starts"]).astype("<i8").tobytes(),
+            ]
+            values = (some["pack_id"][0], len(some["ids"]), *arrays)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+
+def write_shards(packs: DataFrame, path: str) -> None:
+    """Writes the result of :func:`pack_tokens` through Spark, so to any store it reaches, one row per shard of at most
+    ``BATCH`` packed rows: the id matrix, all cumulative segment lengths with the packed row each belongs to, and the
+    position at which each segment's count is reset. A task writes what it packed; nothing is exchanged."""
+    packs.select("pack_id", "ids", "cu_seqlens", "starts").mapInArrow(sharded, SHARD).write.parquet(path)
+
+
+def read_shard(shard, row: int = ROW, width: str = "<u2") -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(id matrix, cumulative segment lengths of each row, position ids): positions count from each segment's reset; the
+    room left in a row has position 0."""
+    ids = np.frombuffer(shard["ids"], width).reshape(shard["n_rows"], row)
+    ends, row_of, resets = (np.frombuffer(shard[c], k) for c, k in (("cu_seqlens", "<i4"), ("row_of", "<i4"), ("resets", "<i8")))
+    borders = np.split(ends, np.flatnonzero(np.diff(row_of)) + 1)
+    places, at = np.zeros(ids.shape, np.int64), 0
+    for line, cu in zip(places, borders, strict=True):
+        line[: cu[-1]] = positions(cu.tolist(), resets[at : at + len(cu) - 1].tolist())
+        at += len(cu) - 1
+    return ids, borders, places
+
+
 def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(read(spark, sf_dir, "documents"))
