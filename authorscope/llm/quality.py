@@ -129,7 +129,8 @@ def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: st
     sample = (
         labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .select(F.col("doc_id").alias("_label_id"), F.col("quality").alias("_quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
+        .distinct()
+        .orderBy(F.xxhash64("_label_id"), "_label_id", "_quality")
         .limit(rows)
     )
     joined = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(
@@ -142,8 +143,10 @@ def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: st
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(NAMES)), pa.int32()), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["quality", "x"])
 
+    # of the texts of an id the first: the sample is the same whatever the order of rows
+    joined = joined.groupBy("_id", "_quality").agg(F.min("_text").alias("_text"))
     got = joined.select(F.col("_quality").cast("double").alias("quality"), "_text").mapInArrow(measured, "quality double, x array<double>")
-    got = got.limit(2 * rows).collect()
+    got = got.collect()  # at most ``rows``
     return fit(np.array([r["x"] for r in got]).reshape(-1, len(NAMES)), np.array([r["quality"] for r in got]))
 
 
@@ -169,18 +172,20 @@ def shrunk_rates(rows: DataFrame) -> DataFrame:
     n, overall = float(total[0] or 0), float(total[1] or 0)
     rate = (overall + 1) / (n + 2)
 
-    def strength(groups: DataFrame, size: str, amount: str) -> float:
-        """Prior weight that explains the spread between groups beyond what chance gives."""
+    def strength(groups: DataFrame, size: str, amount: str, around: Column, free: int) -> float:
+        """Prior weight that explains the spread between groups, ``around`` what they belong to, beyond what chance gives;
+        ``free`` of them would have none."""
         mean = F.col(amount) / F.col(size)
         spread = groups.agg(
-            F.sum(F.col(size) * (mean - rate) * (mean - rate)).alias("between"), F.count("*").alias("groups")
+            F.sum(F.col(size) * (mean - around) * (mean - around)).alias("between"), F.count("*").alias("groups")
         ).first()
         chance = rate * (1 - rate)
-        between = (float(spread["between"] or 0) - chance * float(spread["groups"])) / max(n, 1.0)
+        between = (float(spread["between"] or 0) - chance * (float(spread["groups"]) - free)) / max(n, 1.0)
         return float(np.clip(chance / between - 1 if between > 0 else np.inf, *STRENGTH))
 
-    of_host, of_path = strength(hosts, "host_n", "host_sum"), strength(paths, "path_n", "path_sum")
     joined = paths.join(hosts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
+    of_host = strength(hosts, "host_n", "host_sum", F.lit(rate), 1)
+    of_path = strength(joined, "path_n", "path_sum", F.col("host_sum") / F.col("host_n"), hosts.count())
     return joined.withColumns({"rate": F.lit(rate), "of_host": F.lit(of_host), "of_path": F.lit(of_path)})
 
 
@@ -196,23 +201,23 @@ def quality(
     site_columns = {"_host": F.col(f"`{host}`").cast("string"), "_path": F.col(f"`{path}`").cast("string")}
     rows = with_evidence(without(docs, *OWN).withColumns(site_columns), model, text)
     first = with_evidence(docs.withColumns(site_columns).select("_host", "_path", f"`{text}`"), model, text)
-    sites = durable(shrunk_rates(first.where("_words").select("_host", "_path", "_p")), "sites").withColumnsRenamed(
-        {"_host": "_site_host", "_path": "_site_path"}
-    )
+    sites = durable(shrunk_rates(first.where("_words").select("_host", "_path", "_p")), "sites")
+    sites = sites.toDF(*[f"_site_{c.removeprefix('_')}" for c in sites.columns])
     if sites.count() <= BROADCAST_ROWS:
         sites = F.broadcast(sites)
     same = F.col("_host").eqNullSafe(F.col("_site_host")) & F.col("_path").eqNullSafe(F.col("_site_path"))
     joined = rows.join(sites, same, "left")
-    host_rate = (F.col("of_host") * F.col("rate") + F.col("host_sum") - F.col("_p")) / (F.col("of_host") + F.col("host_n") - 1)
-    site = (F.col("of_path") * host_rate + F.col("path_sum") - F.col("_p")) / (F.col("of_path") + F.col("path_n") - 1)
+    of = lambda name: F.col(f"_site_{name}")
+    host_rate = (of("of_host") * of("rate") + of("host_sum") - F.col("_p")) / (of("of_host") + of("host_n") - 1)
+    site = (of("of_path") * host_rate + of("path_sum") - F.col("_p")) / (of("of_path") + of("path_n") - 1)
     odds = lambda v: F.log(v / (1 - v))
     inside = lambda v: F.least(F.greatest(v, F.lit(1e-6)), F.lit(1 - 1e-6))
-    score = 1 / (1 + F.exp(-(odds(inside(F.col("_p"))) + odds(inside(F.col("site_rate"))) - odds(inside(F.col("rate"))))))
+    score = 1 / (1 + F.exp(-(odds(inside(F.col("_p"))) + odds(inside(F.col("site_rate"))) - odds(inside(of("rate"))))))
     return (
         joined.withColumn("site_rate", site)
         .withColumns({"evidence": F.col("_p"), "score": F.when(F.col("_words"), score).otherwise(0.0)})
         .withColumn("kept", F.col("score") >= threshold)
-        .drop(*_ADDED, "_site_host", "_site_path", "path_n", "path_sum", "host_n", "host_sum", "rate", "of_host", "of_path")
+        .drop(*_ADDED, *sites.columns)
     )
 
 
