@@ -10,28 +10,41 @@ Candidates are verified by alignment: the longest common subsequence L of the tw
 as the threshold leaves room for, and L / (n + m - L) >= 0.8. This is the Jaccard similarity of five-word shingles, of
 which only those that keep their order count.
 
-Texts with the same words are one node from the start. In each bucket of a sketch all nodes are first compared with the
-smallest. Buckets that still hold several groups are then gone through in blocks of ``BLOCK`` nodes, a task for each
-two blocks: it counts the shingles that its nodes share, and aligns those pairs of different groups that share enough.
-No table of pairs is made; a task returns the links that join groups.
+Texts with the same words are one node from the start. In each bucket of a sketch all nodes are first compared with one
+head. Buckets that still hold several groups are then gone through in blocks of ``BLOCK`` nodes, a task for each two
+blocks: it counts the shingles that its nodes share, and aligns those pairs of different groups that share enough. No
+table of pairs is made; a task returns the links that join groups.
+
+A large bucket is as a rule many variants of one text, and variants that are near to each other are near to that text.
+So merged count-min sketches first tell of the nodes of large buckets how many of their labelled shingles occur in some
+other such node. The head is the node that has the largest share of them, the middle of the variants, and links all
+that are near it. A node with so few of them that no text of its bucket can be near it takes no part in the blocks:
+the sketches only overestimate, so no link is lost. What has to be compared in blocks is the rest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, read, without
 from .components import components
 from .hashing import BASES, PUNCTUATION, U, Words, mix, spans_hash, text_chunks
+from .substring_dedup import FAN_IN, HELD, SEGMENTS, SKETCH, cells_of, marked, merger, sketch_rows, unpacked
 
 SHINGLE = 5
 MINIMA = 3
 TABLES = 16
+#: Occurrences from which a symbol of an alignment is held as bits, and columns after which the band moves on.
+OFTEN, SHIFT = 64, 64
+#: Cells of a count-min row for each labelled shingle that is counted, and their bounds.
+CELLS_EACH, MIN_CELLS, MAX_CELLS = 4, 1 << 16, 1 << 30
 #: Keys of 24 bytes broadcast below this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Nodes of a bucket that one task compares with as many others.
@@ -87,10 +100,12 @@ def sketches(labels: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCHED = "_id {id}, _text_hash bigint, node string, shingles bigint, sketches array<bigint>"
+SKETCHED = "_id {id}, _text_hash bigint, row bigint, node string, shingles bigint, sketches array<bigint>"
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``row`` tells rows equal in key and text apart; it holds as long as this is read from where it was written."""
+    number = TaskContext.get().partitionId() << 40
     for batch in batches:
         for row, stop, data, offsets in text_chunks(batch.column(2)):
             words = Words(data, offsets, PUNCTUATION, fold=True)
@@ -101,14 +116,22 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             table = sketches(labelled(found, first), first).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (stop - row + 1) * TABLES, TABLES), pa.int32()), pa.array(table.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[row:stop], batch.column(1)[row:stop], pa.array(node, pa.string()), pa.array(np.diff(first), pa.int64()), lists],
-                names=[*KEY, "node", "shingles", "sketches"],
+                [
+                    batch.column(0)[row:stop], batch.column(1)[row:stop], pa.array(np.arange(number, number + stop - row)),
+                    pa.array(node, pa.string()), pa.array(np.diff(first), pa.int64()), lists,
+                ],
+                names=[*KEY, "row", "node", "shingles", "sketches"],
             )
+            number += stop - row
 
 
 def common_in_order(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Length of the longest common subsequence along paths at most ``band`` off the diagonal; bits of an integer are
-    the cells of a column of the alignment."""
+    """Length of the longest common subsequence along paths at most ``band`` off the diagonal.
+
+    Bits of an integer are the cells of a column of the alignment, and only those in the band are held: cells below it
+    no longer change and are counted as they leave, cells above it are as they began. So a text costs its length times
+    the differences allowed, and memory of its length.
+    """
     short = min(len(a), len(b))
     differs = np.flatnonzero(a[:short] != b[:short])
     head = int(differs[0]) if len(differs) else short
@@ -119,22 +142,44 @@ def common_in_order(a: np.ndarray, b: np.ndarray, band: int) -> int:
     a, b = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
     if not a or not b:
         return head + tail
-    places: dict[int, int] = {}
-    wanted = set(b)
+    wanted, places = set(b), {}
     for i, symbol in enumerate(a):
         if symbol in wanted:
-            places[symbol] = places.get(symbol, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
+            places.setdefault(symbol, []).append(i)
+    # symbols that occur often, and so are few, as bits of all their places; the others by their places
+    often = {symbol: bits_of(at, len(a)) for symbol, at in places.items() if len(at) > max(OFTEN, len(a) // 1024)}
+    low = high = row = common = 0
     for j, symbol in enumerate(b):
-        match = places.get(symbol, 0)
-        if match:
-            match &= (1 << (j + band + 1)) - 1
-            if j > band:
-                match = (match >> (j - band)) << (j - band)
-            hit = row & match
-            row = ((row + hit) | (row - hit)) & full
-    return head + tail + len(a) - row.bit_count()
+        if j % SHIFT == 0:
+            top = min(len(a), j + SHIFT + band)
+            row |= ((1 << max(top - high, 0)) - 1) << (high - low)
+            high = max(high, top)
+            drop = min(max(j - band, 0), len(a)) - low
+            if drop > 0:
+                common += drop - (row & ((1 << drop) - 1)).bit_count()
+                row >>= drop
+                low += drop
+        at = places.get(symbol)
+        if at is None:
+            continue
+        first, last = max(j - band, 0), j + band
+        if symbol in often:
+            match = ((often[symbol] >> first) & ((1 << (last - first + 1)) - 1)) << (first - low)
+        else:
+            match = 0
+            for i in at if len(at) < 4 else at[bisect_left(at, first) : bisect_right(at, last)]:
+                if first <= i <= last:
+                    match |= 1 << (i - low)
+        hit = row & match
+        if hit:
+            row = ((row + hit) | (row - hit)) & ((1 << (high - low)) - 1)
+    return head + tail + common + (high - low) - row.bit_count()
+
+
+def bits_of(places: list[int], size: int) -> int:
+    marks = np.zeros(size, bool)
+    marks[places] = True
+    return int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -244,6 +289,90 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return durable(docs.join(maybe_broadcast(asked), same).select("node", "_text").dropDuplicates(["node"]), "texts")
 
 
+def labels_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Labelled shingles of some texts, and where each text's begin."""
+    for _, _, data, offsets in text_chunks(column):
+        found, first = shingles(Words(data, offsets, PUNCTUATION, fold=True))
+        yield labelled(found, first), first
+
+
+def label_counter(cells: int) -> Callable:
+    """Count-min sketches of the labelled shingles of a task's nodes (node, _text). A node has each label once, so cells
+    that are met twice hold what two nodes share, and labels that happen to fall together."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, counted, held = TaskContext.get().partitionId(), [[], []], 0
+        for batch in batches:
+            for labels, _ in labels_of(batch.column(1)):
+                for row, found in enumerate(cells_of(labels, cells)):
+                    counted[row].append(found)
+                held += len(labels)
+                if held > 4 * HELD:
+                    yield sketch_rows(part, counted, cells)
+                    counted, held = [[], []], 0
+        yield sketch_rows(part, counted, cells)
+
+    return count
+
+
+def shared_cells(texts: DataFrame, cells: int) -> list[np.ndarray]:
+    """A bitmap per sketch row of the cells that all texts together met twice or more."""
+    found = durable(texts.mapInArrow(label_counter(cells), SKETCH), "label-sketch")
+    parts = int(found.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        parts = -(-parts // FAN_IN)
+        nested = found.withColumn("part", F.floor(F.col("part") / FAN_IN))
+        found = durable(nested.groupBy("part", "row", "segment").applyInArrow(merger(cells), SKETCH), "label-sketch")
+        if parts == 1:
+            break
+    marks = [np.zeros(cells, bool) for _ in range(2)]
+    width = cells // SEGMENTS
+    for r in found.select("row", "segment", "twice").toLocalIterator():  # bits of 2 * MAX_CELLS at most
+        marks[r["row"]][r["segment"] * width + unpacked(r["twice"])] = True
+    return [np.packbits(m, bitorder="little") for m in marks]
+
+
+def shared_shares(bitmaps: Broadcast, cells: int) -> Callable:
+    """(node, common): how many of a node's labelled shingles may occur in another node."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common = []
+            for labels, first in labels_of(batch.column(1)):
+                places = cells_of(labels, cells)
+                met = marked(bitmaps.value[0], places[0]) & marked(bitmaps.value[1], places[1])
+                total = np.concatenate([[0], np.cumsum(met)])
+                common.append(total[first[1:]] - total[first[:-1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(common or [[]]).astype(np.int64))], names=["node", "common"])
+
+    return measure
+
+
+def with_middles(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``members`` (table, sketch, node, shingles, head, size) with the middle of each large bucket as its head, and
+    whether a node is ``lone``: near to no other of its bucket, as it shares too little with all of them together."""
+    large = members.where(F.col("size") > BLOCK)
+    hot = durable(large.select("node", "shingles").distinct(), "hot-nodes")
+    total = hot.agg(F.sum("shingles")).first()[0]
+    if not total:
+        return members.withColumn("lone", F.lit(False))
+    cells = min(max(1 << (int(total) * CELLS_EACH - 1).bit_length(), MIN_CELLS), MAX_CELLS)
+    asked = durable(texts.join(hot.select("node"), "node", "left_semi"), "hot-texts")
+    bitmaps = members.sparkSession.sparkContext.broadcast(shared_cells(asked, cells))
+    shares = durable(asked.mapInArrow(shared_shares(bitmaps, cells), "node string, common bigint"), "shares")
+    scored = durable(large.join(shares, "node"), "scored")
+    share = F.col("common") / F.col("shingles")
+    bucket = ["table", "sketch"]
+    middles = scored.groupBy(*bucket).agg(F.min(F.struct((-share).alias("far"), "node", "shingles")).alias("middle"), F.min("shingles").alias("least"))
+    # a text near to one of n shingles has 4 n / 5 of them or more, and no text of the bucket has fewer than the least
+    other = F.greatest(F.expr("(4 * shingles + 4) div 5"), F.col("least"))
+    placed = scored.join(maybe_broadcast(durable(middles, "middles")), bucket).select(
+        *bucket, "node", "shingles", F.struct("middle.node", "middle.shingles").alias("head"), "size",
+        (9 * F.col("common") < 4 * (F.col("shingles") + other)).alias("lone"),
+    )
+    return members.where(F.col("size") <= BLOCK).withColumn("lone", F.lit(False)).unionByName(placed)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that alignment confirms."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), "a").join(
@@ -293,8 +422,8 @@ def links_in_blocks(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> Da
 
 
 def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _text_hash, node, class, stays) of each distinct (key, text): the class is the smallest key of the group,
-    and exactly one of them stays.
+    """(_id, _text_hash, node, class, stays) of each row: the class is the smallest key of the group, and exactly one row
+    of it stays.
 
     Defined cases: texts without words (null, empty) are classes of their own and stay; rows with the same words are
     one class; null keys count as larger than all others.
@@ -310,17 +439,18 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     members = nodes.select("node", "shingles", F.posexplode("sketches").alias("table", "sketch"))
     heads = members.groupBy("table", "sketch").agg(F.min(F.struct("node", "shingles")).alias("head"), F.count("*").alias("size"))
     members = durable(members.join(heads.where("size > 1"), ["table", "sketch"]), "members")
+    texts = texts_of(members, nodes, docs)
+    members = durable(with_middles(members, nodes, texts), "headed")
     near_length = lambda x, y: (5 * F.least(x, y) >= 4 * F.greatest(x, y))
     star = (
-        members.where((F.col("node") != F.col("head.node")) & near_length(F.col("shingles"), F.col("head.shingles")))
+        members.where(~F.col("lone") & (F.col("node") != F.col("head.node")) & near_length(F.col("shingles"), F.col("head.shingles")))
         .select(F.col("head.node").alias("a"), F.col("node").alias("b"))
         .distinct()
     )
     star = durable(star, "candidates")
-    texts = texts_of(members, nodes, docs)
     links = durable(verified(star, texts), "links")
     groups = components(links)
-    placed = members.join(groups, "node", "left").select("table", "sketch", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.where(~F.col("lone")).join(groups, "node", "left").select("table", "sketch", "node", F.coalesce("component", "node").alias("component"))
     more = durable(links_in_blocks(durable(placed, "placed"), nodes, texts), "links")
     if more.limit(1).count():
         groups = components(links.unionByName(more))
@@ -328,23 +458,23 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     first = (
         named.where("node IS NOT NULL")
         .groupBy("component")
-        .agg(F.min("_id").alias("class"), F.min(F.struct(F.col("_id").isNull().alias("no_id"), *KEY)).alias("head"))
-    )
-    same_head = F.col("_id").eqNullSafe(F.col("head._id")) & (F.col("_text_hash") == F.col("head._text_hash"))
-    return (
-        named.join(first, "component", "left")
-        .select(*KEY, "node", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("class")).alias("class"), (F.col("node").isNull() | same_head).alias("stays"))
+        .agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), *KEY, "row")).alias("first"))
     )
+    of_group = F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("first._id"))
+    stays = F.col("node").isNull() | (F.col("row") == F.col("first.row"))
+    return named.join(first, "component", "left").select(*KEY, "node", of_group.alias("class"), stays.alias("stays"))
 
 
 def without_near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest key; columns unchanged."""
     found = durable(near_classes(docs, key=key, text=text), "classes")
-    gone = found.where(~F.col("stays")).select(*[F.col(k).alias(f"_gone{k}") for k in KEY]).distinct()
+    # rows equal in key and text share a fate here: they go if none of them stays
+    fates = found.groupBy(*KEY).agg(F.max("stays").alias("stays"))
+    gone = fates.where(~F.col("stays")).select(*[F.col(k).alias(f"_gone{k}") for k in KEY])
     rows = docs.withColumn("_text_hash", F.xxhash64(f"`{text}`"))
     same = F.col(f"`{key}`").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_text_hash"))
     rows = rows.join(maybe_broadcast(durable(gone, "gone")), same, "left_anti")
-    # rows equal in key and text share their fate above: one of them stays
+    # and one of them stays
     again = found.where("node IS NOT NULL").groupBy(*KEY).count().where("count > 1")
     if again.limit(1).count():
         place = F.row_number().over(Window.partitionBy(F.col(f"`{key}`"), "_text_hash").orderBy(F.lit(0)))

@@ -113,6 +113,70 @@ def test_alignment():
         assert near_dedup.similar(a, b) == (9 * common >= 4 * total)
 
 
+def test_alignment_in_a_band():
+    """Symbols that occur often and seldom, bands narrower than the texts, and a text of 10 MB that differs in places."""
+    random = np.random.default_rng(4)
+    for size, kinds in [(400, 2), (400, 5), (900, 40), (900, 100_000)]:
+        a = random.integers(0, kinds, size)
+        b = a.copy()
+        b[random.integers(0, size, size // 30)] = -1
+        b = np.delete(b, random.integers(0, size, size // 40))
+        common = plain_lcs(a.tolist(), b.tolist())
+        assert near_dedup.common_in_order(a, b, len(a) + len(b)) == common
+        if 9 * common >= 4 * (len(a) + len(b)):
+            assert near_dedup.common_in_order(a, b, (len(a) + len(b)) // 9) == common
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    a = random.integers(0, 2**62, 200_000)
+    b = a.copy()
+    b[::100] = -1
+    assert near_dedup.common_in_order(a, b, len(a) * 2 // 9) == 198_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
+@pytest.mark.parametrize("block", [8, 128])
+def test_variants_of_one_text(spark, monkeypatch, block):
+    """Large buckets: variants of a text near to it and far from it, families of their own among them; all pairs."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    random = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(260):
+        own = list(base)
+        for at in random.choice(150, random.integers(0, 9), replace=False):
+            own[at] = f"x{i}n{at}"
+        texts.append(" ".join(own))
+        if i % 20 == 0:  # near to this far variant alone
+            own[0] = "y"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lists = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in map(words, texts)]
+    symbols = {}
+    arrays = [np.array([symbols.setdefault(s, len(symbols)) for s in x]) for x in lists]
+    linked = np.array([[near_dedup.similar(a, b) for b in arrays] for a in arrays])
+    root = embedding_dedup.forest(len(arrays), [np.nonzero(linked)])
+    got = {r["_id"]: r["class"] for r in near_dedup.near_classes(docs).collect()}
+    assert got == {i: int(r) for i, r in enumerate(root)} and 10 < len(set(got.values())) < 230
+
+
+def test_recall_of_sketches(spark):
+    """Links found against all pairs that share a shingle, over a larger table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    lists = [[tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))] for w in (words(r["text"]) for r in docs)]
+    symbols, holders = {}, {}
+    arrays = [np.array([symbols.setdefault(s, len(symbols)) for s in x]) for x in lists]
+    for i, x in enumerate(arrays):
+        for s in set(x.tolist()):
+            holders.setdefault(s, []).append(i)
+    pairs = {(i, j) for rows in holders.values() for k, j in enumerate(rows) for i in rows[:k]}
+    near = [(i, j) for i, j in pairs if near_dedup.similar(arrays[i], arrays[j])]
+    got = {r["doc_id"]: r["class_id"] for r in QUERIES["op9_near_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    found = sum(got[docs[i]["doc_id"]] == got[docs[j]["doc_id"]] for i, j in near)
+    print(f"recall {found} of {len(near)}")
+    assert len(near) > 50 and found >= 0.99 * len(near)
+
+
 def test_mixing(spark, documents):
     rows = QUERIES["op1_mixing"](spark, SMALL).collect()
     size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in documents}
@@ -188,6 +252,38 @@ def test_round_trip(spark, documents):
     assert text == {r["doc_id"]: r["text"] for r in documents}
 
 
+def test_long_runs_of_white_space():
+    """Ids of runs that the pattern's engine can't take whole are those of the same merges; short ones show the same."""
+    ranks = token_packing.read_ranks(token_packing.VOCABULARY)
+    encode = token_packing.encoder(ranks, token_packing.PATTERN)
+    import tiktoken
+
+    plain = tiktoken.Encoding("given", pat_str=token_packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    random = np.random.default_rng(6)
+    for n in (4095, 4096, 4097, 9000):
+        for run in (" " * n, "".join(random.choice([" ", "\n", "\t", "\u2003"], n))):
+            for text in (run, "a" + run, run + "b", f"a b{run}c, d's{run}\n{run}e", run + "\x1c" + run):
+                assert encode(text).tolist() == plain.encode(text), (n, text[:3])
+    ids = encode(" " * 10_000_000 + "x")
+    assert token_packing.decoded(ids.tolist()) == " " * 10_000_000 + "x"
+
+
+def test_shards_round_trip(spark, tmp_path):
+    packs = token_packing.pack_tokens(spark.read.parquet(f"{SMALL}/documents.parquet"), row=512)
+    packs.write.parquet(str(tmp_path / "packs"))
+    packs = spark.read.parquet(str(tmp_path / "packs"))
+    token_packing.write_shards(packs, str(tmp_path / "shards"))
+    want = {r["pack_id"]: r for r in packs.collect()}
+    shards = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert sum(s["n_rows"] for s in shards) == len(want)
+    found = {}
+    for shard in shards:
+        for ids, cu, places in zip(*token_packing.read_shard(shard, 512)):
+            found.setdefault(ids.tobytes(), []).append((cu.tolist(), places[: cu[-1]].tolist()))
+    for r in want.values():
+        assert (r["cu_seqlens"], token_packing.positions(r["cu_seqlens"], r["starts"]).tolist()) in found[r["ids"]]
+
+
 def test_best_fit():
     random = np.random.default_rng(1)
     for _ in range(50):
@@ -224,6 +320,7 @@ def test_held_out_toxicity(spark):
 def test_site_rates_shrink(spark):
     rows = spark.createDataFrame([("big", "x", 0.0)] * 500 + [("small", "y", 0.0)] + [("other", "z", 1.0)] * 499, "_host string, _path string, _p double")
     got = {r["_host"]: r for r in quality.shrunk_rates(rows).collect()}
+    assert got["big"]["of_path"] > got["big"]["of_host"]  # paths are no farther apart than their hosts
     assert got["small"]["host_n"] == 1 and got["big"]["path_sum"] == 0 and 0.49 < got["big"]["rate"] < 0.51
 
 
@@ -231,6 +328,28 @@ def test_toxicity_threshold():
     assert 0 < toxicity.best_threshold(np.array([-2.0, -1.0, 1.0, 2.0]), np.array([0.0, 0.0, 1.0, 1.0])) + 1 < 2
 
 
+def test_long_text_in_pieces(monkeypatch):
+    """A text cut into pieces scores as it does whole, and the widest filter spans each cut."""
+    random = np.random.default_rng(3)
+    vocabulary = ["vile", "scum", "kind", "the", "und", *[f"w{i}" for i in range(50)]]
+    texts = [" ".join(random.choice(vocabulary, 60)) for _ in range(60)]
+    network = toxicity.fit(texts, np.array([float("scum" in t) for t in texts]))
+    body = " ".join(random.choice(vocabulary, 4000)).encode()
+    data, offsets = np.frombuffer(body, np.uint8), np.array([0, len(body)])
+    whole = network.pooled(toxicity.tokens_of(data, offsets))
+    want = network.scores_of(data, offsets)
+    monkeypatch.setattr(toxicity, "PIECE", 500)
+    monkeypatch.setattr(toxicity, "STEP", 64)
+    parts = toxicity.cuts(data)
+    assert len(parts) > 20 and parts[-1][1] == len(data)
+    for (_, stop), (begin, _) in zip(parts, parts[1:]):
+        assert len(bytes(data[begin:stop]).split()) == max(toxicity.WIDTHS) - 1
+    pooled = np.max([network.pooled(toxicity.tokens_of(data[a:b], np.array([0, b - a]))) for a, b in parts], axis=0)
+    assert np.allclose(pooled, whole, atol=1e-5) and np.allclose(network.scores_of(data, offsets), want, atol=1e-4)
+    one = np.full(3000, 97, np.uint8)
+    assert toxicity.cuts(one) == [(0, 3000)]
+
+
 def test_html_truncated():
     blocks, _ = html_extraction.parsed("<article><p>text</p><p cla")
     assert [b[2] for b in blocks] == ["text"]

@@ -56,6 +56,7 @@ def test_near_dedup(stored, nothing):
     assert len(rows) == 11
     classes = sorted((r["_id"], r["class"]) for r in rows if r["_id"] is not None)
     assert classes == [(1, 1), (1, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 1), (7, 7)]
+    assert sorted(r["stays"] for r in rows if r["class"] == 1) == [False, False, True, True]  # of three copies one; another text
     kept = near_dedup.without_near_copies(stored)
     assert kept.columns == stored.columns
     assert kept.where("doc_id in (1, 6) and text like '%two%'").count() == 1
@@ -121,6 +122,8 @@ def test_quality(spark, stored, nothing):
     assert all(r["score"] == 0 and r["kept"] is False for r in rows if not (r["text"] or "").strip())
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert quality.quality(nothing, model).count() == 0
+    clashing = stored.withColumns({c: F.lit("theirs") for c in ("rate", "path_n", "host_n", "of_host")})
+    assert {r["rate"] + r["path_n"] + r["host_n"] + r["of_host"] for r in quality.quality(clashing, model).collect()} == {"theirs" * 4}
     one_class = quality.trained(stored, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
     assert len({round(r["evidence"], 9) for r in quality.quality(stored, one_class).collect()}) == 1
     no_labels = quality.trained(nothing, labels.limit(0))
