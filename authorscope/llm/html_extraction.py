@@ -5,10 +5,14 @@ at it and the sequences of child labels seen under it. A node whose texts differ
 that repeats is not: its importance is the normalized entropy of its texts, with a share of the entropy of its parent's
 styles. Hosts with few pages are shrunk toward all hosts for the same path: the
 mean of their entropies, or the entropy of their texts together where that is less. A text counts once for each
-distinct page it is on; a node met with one text on one page says nothing (0.5). What HTML itself says shifts a
-branch's importance, by less than the range of entropy: most for elements such as navigation and footers, less for
-class names and articles. Page, body, article and main never lose by it, nor does a form or a named wrapper that holds
-most of the page's text. Blocks below the threshold are removed from each page of the host, and the others joined.
+distinct page it is on; a node met with one text on one page says nothing (0.5).
+
+Entropy can't tell an article from reader comments, adverts or a sidebar that differ from page to page. What HTML itself
+says of a branch therefore shifts its importance: so much that entropy can't make up for it for elements such as
+navigation and footers and for sections named as comments, adverts and the like, less for paragraphs so named, and the
+other way for articles. Page, body, article and main never lose by it, nor does a form or a named section that holds
+most of a page's text where hardly any is left outside of such sections: it is the frame of the page, not a part of it.
+Blocks below the threshold are removed from each page of the host, and the others joined.
 
 Texts are counted by (host, path, text hash), so a host with a third of all pages is spread by its texts; a host's
 removed paths, as many as its templates have, are broadcast with the others below ``BROADCAST_ROWS`` rows. Pages are
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +40,7 @@ SHRINKAGE = 50.0
 THRESHOLD = 0.5
 #: Importance of a node seen once.
 UNKNOWN = 0.5
-#: Shift of importance by kind: an element that HTML defines as no main text, a name that hints at it, none, an article.
+#: Shift of importance by kind: an element or a named section that is no main text, a paragraph so named, none, an article.
 HINTS = {-2: -0.75, -1: -0.35, 0: 0.0, 1: 0.45}
 BROADCAST_ROWS = 200_000
 OWN = ("text", "n_chars")
@@ -59,6 +64,10 @@ CONTENT_TAGS = frozenset(("article", "main"))
 FRAMES = CONTENT_TAGS | {"html", "body"}
 #: Noise elements that may wrap a whole page.
 WRAPPERS = frozenset(("form", "fieldset"))
+#: Elements of running text, whose names say less than those of sections.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption".split())
+#: A frame leaves less than one part in so many of the page's text outside.
+FRAME_REST = 10
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 TOKEN = re.compile(
@@ -73,7 +82,8 @@ class Element:
 
     def __init__(self, tag: str, label: str, parent: Element | None, kind: int, wrapper: bool = False):
         self.tag, self.label, self.parent, self.wrapper = tag, label, parent, wrapper
-        self.path = f"{parent.path}/{label}" if parent else label
+        # a hash of the labels down to here: as long for a deep element as for any
+        self.path = xxhash.xxh3_128_hexdigest(f"{parent.path}/{label}") if parent else label
         # the strongest hint against a branch holds in all of it; else that of an article
         self.kind = min(kind, parent.kind) if parent and min(kind, parent.kind) < 0 else max(kind, parent.kind if parent else 0)
         self.number, self.chars, self.blocks = -1, 0, 0
@@ -85,39 +95,51 @@ def opened(tag: str, attributes: str, parent: Element, free: bool = False) -> El
     names = [w for m in NAMES.finditer(attributes) for w in re.split(r"[\s_\-]+", (m[1] or m[2] or m[3] or "").lower())] if attributes else []
     names = [w.strip("0123456789") for w in names]
     kind = int(tag in CONTENT_TAGS or (tag not in INLINE and "main" in names))
+    wrapper = False
     if tag not in FRAMES and not free:
-        kind = -2 if tag in NOISE_TAGS else kind if NOISE_NAMES.isdisjoint(names) else -1
+        named = not NOISE_NAMES.isdisjoint(names)
+        wrapper = tag in WRAPPERS or (named and tag not in NOISE_TAGS)
+        if tag in NOISE_TAGS or named:
+            kind = -1 if tag in PARAGRAPHS or tag in INLINE else -2
     label = ".".join([tag, *sorted({w for w in names if w})])
-    return Element(tag, label, parent, kind, kind == -1 or (kind == -2 and tag in WRAPPERS))
+    return Element(tag, label, parent, kind, wrapper)
 
 
-def parsed(source: str) -> tuple[list[tuple[str, int, str]], list[Element]]:
-    """Blocks of text in page order as (path, kind, text), and all elements that are no inline ones."""
+def parsed(source: str) -> tuple[list[tuple[Element, int, str]], list[Element]]:
+    """Blocks of text in page order as (element, kind, text), and all elements that are no inline ones."""
     free: set[int] = set()
     while True:
         blocks, elements = walked(source, free)
-        total = elements[0].chars
-        more = {e.number for e in elements if e.wrapper and e.blocks > 1 and 2 * e.chars > total}
+        for element in reversed(elements[1:]):
+            element.parent.chars += element.chars
+            element.parent.blocks += element.blocks
+        total, plain = elements[0].chars, sum(len(text) for _, kind, text in blocks if kind >= 0)
+        more = {e.number for e in elements if e.wrapper and e.blocks > 1 and 2 * e.chars > total and FRAME_REST * plain < total}
         if not more:
             return blocks, elements
         free |= more
 
 
-def walked(source: str, free: set[int]) -> tuple[list[tuple[str, int, str]], list[Element]]:
+def walked(source: str, free: set[int]) -> tuple[list[tuple[Element, int, str]], list[Element]]:
     """As :func:`parsed`; the elements numbered in ``free`` carry no hint against them."""
     root = Element("", "", None, 0)
     stack, inline, elements, blocks, buffer = [root], [], [root], [], []
+    opened_tags, inline_tags = Counter(), Counter()
+
+    def close_from(i: int) -> None:
+        opened_tags.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+        inline.clear()
+        inline_tags.clear()
 
     def flush() -> None:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
                 owner = inline[-1] if inline and inline[-1].kind < 0 else stack[-1]
-                blocks.append((owner.path, owner.kind, text))
-                holder = stack[-1]
-                while holder:
-                    holder.chars, holder.blocks = holder.chars + len(text), holder.blocks + 1
-                    holder = holder.parent
+                blocks.append((owner, owner.kind, text))
+                stack[-1].chars += len(text)
+                stack[-1].blocks += 1
             buffer.clear()
 
     place, end = 0, len(source)
@@ -139,19 +161,16 @@ def walked(source: str, free: set[int]) -> tuple[list[tuple[str, int, str]], lis
         if closing:
             closing = closing.lower()
             if closing in INLINE:
-                for i in range(len(inline) - 1, -1, -1):
-                    if inline[i].tag == closing:
-                        if inline[i].kind < 0:
-                            flush()
-                        del inline[i:]
-                        break
+                if inline_tags[closing] > 0:
+                    i = next(i for i in range(len(inline) - 1, -1, -1) if inline[i].tag == closing)
+                    if inline[i].kind < 0:
+                        flush()
+                    inline_tags.subtract(e.tag for e in inline[i:])
+                    del inline[i:]
                 continue
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == closing:
-                    del stack[i:]
-                    inline.clear()
-                    break
+            if opened_tags[closing] > 0:
+                close_from(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == closing))
         elif tag:
             tag = tag.lower()
             if tag in RAW:
@@ -166,14 +185,14 @@ def walked(source: str, free: set[int]) -> tuple[list[tuple[str, int, str]], lis
                 if element.kind < 0 and stack[-1].kind >= 0 and not (inline and inline[-1].kind < 0):
                     flush()
                 inline.append(element)
+                inline_tags[tag] += 1
                 continue
             flush()
             closes = CLOSES.get(tag) or (("p",) if tag not in VOID else ())
-            if closes:
+            if any(opened_tags[c] > 0 for c in closes):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in closes:
-                        del stack[i:]
-                        inline.clear()
+                        close_from(i)
                         break
                     if stack[i].tag in ("ul", "ol", "dl", "table", "div", "article", "section", "td") and stack[i].tag != tag:
                         break
@@ -183,6 +202,7 @@ def walked(source: str, free: set[int]) -> tuple[list[tuple[str, int, str]], lis
             element.number = len(elements)
             stack[-1].children.append(element.label)
             stack.append(element)
+            opened_tags[tag] += 1
             elements.append(element)
     flush()
     return blocks, elements
@@ -204,8 +224,8 @@ def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page, share in zip(*batch.columns, strict=True):
             host, share, (blocks, elements) = host.as_py(), share.as_py(), parsed(page.as_py() or "")
             met: dict[tuple, int] = {}
-            for path, kind, text in blocks:
-                node = (path, path.rpartition("/")[0], "text", hashed(text))
+            for element, kind, text in blocks:
+                node = (element.path, element.parent.path if element.parent else "", "text", hashed(text))
                 met[node] = min(kind, met.get(node, kind))
             for element in elements:
                 if element.children:
@@ -265,7 +285,7 @@ def main_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, removed in zip(batch.column(0), batch.column(1), strict=True):
             low = {r["path"]: r["importance"] for r in removed.as_py() or ()}
             blocks = parsed(page.as_py() or "")[0]
-            texts.append(" ".join(text for path, kind, text in blocks if low.get(path, THRESHOLD + 1) + HINTS[kind] >= THRESHOLD))
+            texts.append(" ".join(text for element, kind, text in blocks if low.get(element.path, THRESHOLD + 1) + HINTS[kind] >= THRESHOLD))
         yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "text"])
 
 

@@ -218,18 +218,54 @@ FRAME = {
 
 
 @pytest.mark.parametrize("frame", sorted(FRAME))
-def test_html_names_do_not_decide(spark, frame):
-    """Varied texts stay whatever the names around them; copies of a page do not make its text a template."""
+def test_html_names_of_frames_do_not_decide(spark, frame):
+    """Varied texts stay whatever the names of what frames them; copies of a page do not make its text a template."""
     said = [" ".join(hashlib.sha256(f"{i}{k}".encode()).hexdigest()[:7] for k in range(6)) for i in range(40)]
     rows = [(i, "http://h.example/a", FRAME[frame].format(t, t)) for i, t in enumerate(said)]
     rows += [(100, "http://h.example/a", rows[0][2])] * 200
     got = {}
     for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         got.setdefault(r["page_id"], set()).add(r["text"])
-    want = {"wrapper": "{0} the second {0}", "varied": "{0} a longer text than the other one, {0}"}.get(frame, "{0}")
+    want = {"wrapper": "{0} the second {0}", "varied": "a longer text than the other one, {0}"}.get(frame, "{0}")
     assert all(got[i] == {want.format(t)} for i, t in enumerate(said)) and got[100] == got[0]
 
 
+def said(seed, words):
+    return " ".join(hashlib.sha256(f"{seed}-{k}".encode()).hexdigest()[:7] for k in range(words))
+
+
+@pytest.mark.parametrize("holder", ["<article>{}</article>", "<div>{}</div>", "<div class='post-body'>{}</div>", "<main><div>{}</div></main>"])
+@pytest.mark.parametrize("pages", [2, 60])
+def test_html_varied_parts_that_are_no_article(spark, holder, pages):
+    """Comments, adverts, sidebars, notices and forms whose texts differ on every page go; the article alone stays, on
+    hosts of many and of few pages, also where comments are longer than it."""
+    rows, want = [], {}
+    for i in range(pages):
+        article = [said(f"{i}a{k}", 30) for k in range(3)]
+        many = "".join(f"<p>{said(f'{i}c{k}', 25)}</p>" for k in range(12 if i % 2 else 2))
+        parts = [
+            f"<div class='sidebar'>{said(f'{i}s', 20)}</div>",
+            f"<div class='ad'>{said(f'{i}d', 9)}</div>",
+            holder.format("".join(f"<p>{p}</p>" for p in article)),
+            f"<div class='notice'>{said(f'{i}n', 9)}</div>",
+            f"<form><p>{said(f'{i}f', 5)}</p></form>",
+            f"<section id='comments'>{many}</section>",
+        ]
+        rows.append((i, f"http://h{i // 30}.example/{i}", f"<html><body class='has-sidebar'>{''.join(parts)}</body></html>"))
+        want[i] = " ".join(article)
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_nesting_costs_its_length():
+    import time
+
+    start = time.process_time()
+    blocks, elements = html_extraction.parsed("<div>a" * 50_000 + "</b></i>" * 20_000 + "</section>" * 50_000)
+    assert len(elements) == 50_001 and len(blocks) == 50_000
+    assert time.process_time() - start < 10 and max(len(e.path) for e in elements) == 32
+
+
 def test_token_packing(stored, nothing):
     out = token_packing.pack_tokens(stored, row=64)
     parts = {}
