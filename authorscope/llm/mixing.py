@@ -1,71 +1,136 @@
 """Mixing sources to target weights.
 
 A source's documents, in a fixed order, are one stream of words, packed into blocks of ``BLOCK`` words (the last may be
-shorter). The mix is a sequence of output shards; how many slots of a shard each source fills is a multinomial draw
-whose weights are what the sources still owe, so the totals of all shards meet the targets. The k-th slot of a source
-takes block ``permutation(k mod blocks)`` of pass ``k // blocks``: each pass has its own Feistel permutation, no block
-is used more than once a pass, and three passes are the most that any target allows. Blocks are joined by index.
+shorter). Output shards of the mix are filled by slots; how many slots of each shard a source fills is a multinomial
+draw over all slots that the source owes, so that its total is met exactly and shards are near equal. The k-th slot of a
+source takes turn ``k mod blocks`` of pass ``k // blocks``; each pass has its own Feistel permutation of the whole blocks
+and a pseudorandom turn for the short one, so no block is used more than once a pass, the words before any slot are
+known from its number, and the last slot is cut to the words that are still owed. Blocks are joined by index.
 
-Places in a stream come from sums over hash buckets and ranks inside a bucket, so a source with a third of all rows is
-spread over ``BUCKETS`` tasks. The driver holds one row per source and one per (shard, source).
+Sources are a table like any other: they are ranked by ranges, targets are settled by rounds of sums, and each source
+draws its counts in a task, from a seed of its own. Places in a stream come from sums over hash buckets and ranks inside
+a bucket, so a source with a third of all rows is spread over ``BUCKETS`` tasks. Shards, and with them the ranges in which
+slots are made, grow in number with the slots. The driver holds a count per range of sources.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, ascii_words, durable, read
-from .permutation import grid, permuted
+from .permutation import permuted, sides
 
 #: Words of a block.
 BLOCK = 128
-#: Output shards, each an independent draw.
+#: Output shards, at least; there are as many more as keep a shard at about ``SHARD_SLOTS`` slots.
 SHARDS = 64
+SHARD_SLOTS = 65_536
 BUCKETS = 512
 SEED = 7
 #: Weights by place of the source in code point order, repeated.
 WEIGHTS = (1, 2, 3)
 #: A target stops at this many times its source's size.
 REPEATS = 3
-#: The plan is made on the driver, a row per source: more sources than this are refused, not cut.
-MAX_SOURCES = 100_000
-
-
-def shared_targets(sizes: list[int], weights: list[float], total: float, most: float = REPEATS) -> list[float]:
-    """``total`` shared by weight; a share above ``most`` times its size stops there and the excess is shared anew."""
-    targets = [0.0] * len(sizes)
-    open_, left = [i for i, s in enumerate(sizes) if s > 0], float(total)
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        over = [i for i in open_ if weights[i] * unit > most * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = weights[i] * unit
+#: Sources ranked by one task, about, and slots made by one task, about.
+RANGE = 100_000
+
+
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """``sizes`` (_source, source_size) with source_no, the place in the order of ``_source``, null last; an "=" before
+    every name keeps the null source, an empty string, apart from the empty one. Ranges are sorted apart."""
+    sizes = durable(sizes, "source-sizes")
+    ranges = -(-sizes.count() // RANGE) or 1
+    order = [F.col("_source") == "", F.col("_source")]
+    ranged = durable(sizes.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "source-ranges")
+    total, first = 0, []
+    for number, count in sorted(ranged.groupBy("_range").count().collect()):  # a row per RANGE sources
+        first.append((number, total))
+        total += count
+    starts = sizes.sparkSession.createDataFrame(first, "_range int, _first long")
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_rank", rank).join(starts, "_range").select("_source", "source_size", (F.col("_first") + F.col("_rank")).alias("source_no"))
+
+
+def with_targets(sources: DataFrame, weights: tuple[float, ...], most: float = REPEATS) -> DataFrame:
+    """``sources`` (source_no, source_size) with target: all sizes shared by weight, where a share above ``most`` times
+    its size stops there and the excess is shared anew. Weights are above 0 and ``most`` is 1 at least.
+
+    A round is one sum over the sources; the share of a unit of weight only grows, and rounds end when no source stops.
+    """
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights)).cast("int"))
+    top = F.col("source_size") * F.lit(float(most))
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    unit, stopped = 0.0, -1
+    while True:
+        over = weight * F.lit(unit) > top
+        fixed, open_, count = (
+            sources.where("source_size > 0")
+            .agg(F.sum(F.when(over, top)), F.sum(F.when(~over, weight)), F.count(F.when(over, 1)))
+            .first()
+        )
+        if count <= stopped or not open_:
             break
-        for i in over:
-            targets[i] = float(most * sizes[i])
-            left -= targets[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return targets
-
-
-def shard_draws(slots: list[int], shards: int, seed: int) -> np.ndarray:
-    """Slots of each source in each output shard: multinomial draws that use up ``slots`` exactly."""
-    left = np.array(slots, np.int64)
-    random = np.random.default_rng(seed)
-    draws = np.zeros((shards, len(slots)), np.int64)
-    for shard in range(shards):
-        size = int(left.sum()) // (shards - shard)
-        while size > 0:
-            got = np.minimum(random.multinomial(size, left / left.sum()), left)
-            draws[shard] += got
-            left -= got
-            size -= int(got.sum())
-    return draws
+        unit, stopped = (total - (fixed or 0.0)) / open_, count
+    return sources.withColumn("target", F.when(F.col("source_size") == 0, 0.0).when(over, top).otherwise(weight * F.lit(unit)))
+
+
+def with_slots(sources: DataFrame, block: int, seed: int) -> DataFrame:
+    """``sources`` with owed (words), full and short (whole blocks, words of the last block if it is shorter), blocks,
+    a, b (the grid of the whole blocks) and slots, the number of slots that give just the words owed."""
+    size = F.col("source_size")
+    sources = sources.withColumn("owed", F.least(F.round("target").cast("long"), size * REPEATS))
+    sources = sources.withColumns({"short": size % block, "full": ((size - size % block) / block).cast("long")})
+    sources = sources.withColumn("blocks", F.col("full") + (F.col("short") > 0).cast("long"))
+    a, b = sides(F.col("full"))
+    some = F.when(size > 0, size)  # null where there are no words to divide by
+    rest = F.col("owed") % some
+    sources = sources.withColumns({"a": a, "b": b, "_rest": rest, "_turns": ((F.col("owed") - rest) / some).cast("long")})
+    least = F.ceil(F.col("_rest") / block)
+    lacking = block * least - F.when(short_turn(F.col("_turns"), seed) < least, block - F.col("short")).otherwise(0) < F.col("_rest")
+    slots = F.col("_turns") * F.col("blocks") + least + lacking.cast("long")
+    return sources.withColumn("slots", F.when(size > 0, slots).otherwise(0).cast("long")).drop("_rest", "_turns")
+
+
+def short_turn(number: Column, seed: int) -> Column:
+    """The turn at which pass ``number`` of a source takes its short block; a source without one has it past all turns."""
+    turn = F.pmod(F.xxhash64(F.lit(seed), F.col("source_no"), number.cast("long")), F.col("blocks"))
+    return F.when(F.col("short") > 0, turn).otherwise(F.col("blocks"))
+
+
+def draws(slots: int, shards: int, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A multinomial draw of ``slots`` over equal shards: the shards met, in order, and the slots in each."""
+    if slots < shards:
+        return np.unique(random.integers(0, shards, slots), return_counts=True)
+    counts = random.multinomial(slots, np.full(shards, 1 / shards))
+    met = np.flatnonzero(counts)
+    return met, counts[met]
+
+
+def drawer(shards: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Repeats each source for the shards it meets, with shard, count and k0, its slots in the shards before."""
+
+    def draw(batches):
+        for batch in batches:
+            numbers, slots = batch.column("source_no").to_pylist(), batch.column("slots").to_pylist()
+            held, rows = [], 0
+            for i, (number, left) in enumerate(zip(numbers, slots, strict=True)):
+                met, counts = draws(left, shards, np.random.default_rng([seed, number]))
+                held.append((np.full(len(met), i), met, np.cumsum(counts) - counts, counts))
+                rows += len(met)
+                if rows >= RANGE or i + 1 == len(numbers):
+                    index, *added = (np.concatenate(part).astype(np.int64) for part in zip(*held, strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.take(pa.array(index)).columns, *map(pa.array, added)], names=[*batch.schema.names, "shard", "k0", "count"]
+                    )
+                    held, rows = [], 0
+
+    return draw
 
 
 @dataclass(frozen=True)
@@ -102,7 +167,7 @@ def mix(
     source: str = "source",
     weights: tuple[float, ...] = WEIGHTS,
     block: int = BLOCK,
-    shards: int = SHARDS,
+    shards: int | None = None,
     seed: int = SEED,
     row: str | None = None,
 ) -> Mix:
@@ -116,35 +181,21 @@ def mix(
     spark = docs.sparkSession
     number = F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")
     rows = durable(placed_rows(docs, key, text, source, number), "mix-rows")
-    sizes = [(r["source"], r["size"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()]
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
-    sizes.sort(key=lambda s: (s[0] is None, s[0] or ""))
-    total = sum(size for _, size in sizes)
-    targets = shared_targets([s for _, s in sizes], [float(weights[i % len(weights)]) for i in range(len(sizes))], total)
-    blocks = [-(-size // block) for _, size in sizes]
-    slots = [min(round(t * b / s), REPEATS * b) if s else 0 for t, b, (_, s) in zip(targets, blocks, sizes, strict=True)]
-    draws = shard_draws(slots, shards, seed)
-
-    table = [
-        (number, name, int(size), float(target), int(count), *grid(count))
-        for number, ((name, size), target, count) in enumerate(zip(sizes, targets, blocks, strict=True))
-    ]
-    sources = durable(
-        spark.createDataFrame(table, "source_no int, name string, source_size long, target double, blocks long, a long, b long"), "sources"
-    )
-    rows = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    sources = ranked_sources(rows.groupBy("_source").agg(F.sum("size").alias("source_size")))
+    sources = durable(with_slots(with_targets(durable(sources, "sources"), weights), block, seed), "source-slots")
     bucket = (F.crc32(F.concat_ws(":", F.col("_id").cast("string"), F.col("_text_hash").cast("string")).cast("binary")) % BUCKETS).cast("int")
     rows = rows.withColumn("_bucket", bucket)
-    parts = rows.groupBy("source_no", "_bucket").agg(F.sum("size").alias("part"))  # at most BUCKETS rows per source
-    before = Window.partitionBy("source_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("source_no", "_bucket", F.coalesce(F.sum("part").over(before), F.lit(0)).alias("part_first"))
-    inside = Window.partitionBy("source_no", "_bucket").orderBy("_id", "_text_hash", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("part"))  # at most BUCKETS rows per source
+    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_source", "_bucket", F.coalesce(F.sum("part").over(before), F.lit(0)).alias("part_first"))
+    parts = parts.join(sources.select("_source", "source_no", "source_size", "target"), "_source")
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_id", "_text_hash", "_row").rowsBetween(Window.unboundedPreceding, -1)
     rows = (
         rows.withColumn("first", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(parts, ["source_no", "_bucket"])
+        .join(parts, ["_source", "_bucket"])
         .withColumn("first", F.col("first") + F.col("part_first"))
-        .drop("_bucket", "part_first")
+        .drop("_source", "_bucket", "part_first")
     )
     rows = durable(rows, "mix-places")
 
@@ -154,32 +205,45 @@ def mix(
     )
     start = F.greatest(F.col("block") * block, F.col("first"))
     end = F.least((F.col("block") + 1) * block, F.col("first") + F.col("size"))
-    spans = spans.select("source_no", "block", "_row", (start - F.col("first")).alias("start"), (end - start).alias("words"))
-
-    drawn, used = [], np.zeros(len(sizes), np.int64)
-    for shard in range(shards):
-        within = 0
-        width = int(draws[shard].sum())
-        for number, count in enumerate(draws[shard].tolist()):
-            if count:
-                drawn.append((shard, number, int(used[number]), count, within, width, *grid(width)))
-                used[number] += count
-                within += count
-    plan = spark.createDataFrame(drawn, "shard int, source_no int, k0 long, count long, within long, width long, wa long, wb long")
-    slots_taken = (
-        plan.repartition("shard", "source_no")
+    at = start - F.col("block") * block
+    spans = spans.select("source_no", "block", "_row", (start - F.col("first")).alias("start"), at.alias("at"), (end - start).alias("words"))
+
+    slots = sources.agg(F.sum("slots")).first()[0] or 0
+    shards = shards or max(SHARDS, -(-slots // SHARD_SLOTS))
+    plan = sources.where("slots > 0").select("source_no", "source_size", "owed", "short", "full", "blocks", "a", "b", "slots")
+    kinds = ", ".join(f"{c} long" for c in plan.columns)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-slots // RANGE))
+    plan = plan.select(*[F.col(c).cast("long") for c in plan.columns]).repartition(tasks, "source_no")
+    plan = plan.mapInArrow(drawer(shards, seed), f"{kinds}, shard long, k0 long, count long").withColumn("shard", F.col("shard").cast("int"))
+    shard = Window.partitionBy("shard")
+    within = F.sum("count").over(shard.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1))
+    plan = plan.withColumns({"within": F.coalesce(within, F.lit(0)), "width": F.sum("count").over(shard)})
+    wa, wb = sides(F.col("width"))
+    made = (
+        plan.withColumns({"wa": wa, "wb": wb})
+        .repartition(tasks, "shard", "source_no")  # with a number, so that a table of few bytes and many slots is not coalesced
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
-        .join(F.broadcast(sources.select("source_no", "blocks", "a", "b")), "source_no")
         .withColumn("k", F.col("k0") + F.col("i"))
-        .withColumn("pass", ((F.col("k") - F.col("k") % F.col("blocks")) / F.col("blocks")).cast("long"))
         .withColumn("turn", F.col("k") % F.col("blocks"))
-        .withColumn("tweak", F.col("source_no") * REPEATS + F.col("pass"))
-        .withColumn("block", permuted(F.col("turn"), F.col("blocks"), F.col("a"), F.col("b"), seed, F.col("tweak")))
-        .withColumn("at", F.col("within") + F.col("i"))
-        .withColumn("slot", permuted(F.col("at"), F.col("width"), F.col("wa"), F.col("wb"), seed + 1, F.col("shard").cast("long")))
-        .select("shard", "slot", "source_no", "pass", "block")
+        .withColumn("pass", ((F.col("k") - F.col("turn")) / F.col("blocks")).cast("long"))
+        .withColumn("short_at", short_turn(F.col("pass"), seed))
+        .withColumn("past", (F.col("turn") > F.col("short_at")).cast("long"))
+    )
+    is_short = F.col("turn") == F.col("short_at")
+    index = permuted(F.col("turn") - F.col("past"), F.col("full"), F.col("a"), F.col("b"), seed, F.col("source_no") * REPEATS + F.col("pass"))
+    done = F.col("pass") * F.col("source_size") + F.col("turn") * block - F.col("past") * (block - F.col("short"))
+    slot = permuted(F.col("within") + F.col("i"), F.col("width"), F.col("wa"), F.col("wb"), seed + 1, F.col("shard").cast("long"))
+    made = made.select(
+        "shard",
+        slot.alias("slot"),
+        "source_no",
+        "pass",
+        F.when(is_short, F.col("full")).otherwise(index).alias("block"),
+        F.least(F.when(is_short, F.col("short")).otherwise(block), F.col("owed") - done).alias("due"),
     )
-    return Mix(sources, rows, spans.join(slots_taken, ["source_no", "block"]))
+    # ``at``: words of the block before the span; a slot that is cut takes the first ``due`` words of its block
+    pieces = spans.join(made, ["source_no", "block"]).withColumn("words", F.least("words", F.col("due") - F.col("at"))).where("words > 0")
+    return Mix(sources, rows, pieces.drop("at", "due"))
 
 
 def taken_words(found: Mix) -> DataFrame:

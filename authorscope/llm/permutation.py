@@ -23,6 +23,12 @@ def grid(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
+def sides(n: Column) -> tuple[Column, Column]:
+    """:func:`grid` of a column of longs, below 2^52."""
+    a = F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("long")
+    return a, F.greatest(F.lit(1), F.ceil(n / a)).cast("long")
+
+
 def round_keys(seed: int) -> list[tuple[int, int, int, int]]:
     """Multipliers and increments of each double round, drawn from the seed by a linear congruence."""
     keys, state = [], seed * 2 + 1

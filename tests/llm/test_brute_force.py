@@ -177,6 +177,75 @@ def test_recall_of_sketches(spark):
     assert len(near) > 50 and found >= 0.99 * len(near)
 
 
+def shared_targets(sizes, weights, total, most=3):
+    """Targets by stopping, again and again, each share above ``most`` times its size."""
+    targets, open_, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0], total
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        over = [i for i in open_ if weights[i] * unit > most * sizes[i]]
+        if not over:
+            for i in open_:
+                targets[i] = weights[i] * unit
+            break
+        for i in over:
+            targets[i] = float(most * sizes[i])
+            left -= targets[i]
+        open_ = [i for i in open_ if i not in over]
+    return targets
+
+
+@pytest.mark.parametrize("sizes", [[], [0, 0], [100, 100], [10, 100, 0, 100], [1, 2, 4, 8, 1000, 0, 3, 9, 77], [5] * 40 + [100_000]])
+def test_targets(spark, sizes):
+    table = spark.createDataFrame(list(enumerate(sizes)), "source_no long, source_size long")
+    got = [r["target"] for r in mixing.with_targets(table, (1, 2, 3)).orderBy("source_no").collect()]
+    assert got == pytest.approx(shared_targets(sizes, [1 + i % 3 for i in range(len(sizes))], sum(sizes)))
+
+
+def test_draws():
+    for slots, shards in ((0, 5), (3, 64), (100_000, 64)):
+        met, counts = mixing.draws(slots, shards, np.random.default_rng(1))
+        assert counts.sum() == slots and (np.diff(met) > 0).all() and (met < shards).all()
+    assert abs(counts - 100_000 / 64).max() < 6 * (100_000 / 64) ** 0.5
+
+
+def test_many_sources_in_ranges(spark, monkeypatch):
+    """Sources of all sizes, ranked by several tasks: the order, the words owed and each slot's place hold."""
+    monkeypatch.setattr(mixing, "RANGE", 50)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 40)
+    random = np.random.default_rng(3)
+    names = [None, "", "=", "\U0001f600", "\uffff", *[f"s{i}" for i in range(300)]]
+    rows = [(i, " ".join(["w"] * int(random.integers(0, 90))), names[i % len(names)]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs, block=8)
+    got = mixing.taken_words(found).collect()
+    order = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    size = [sum(len(r[1].split()) for r in rows if r[2] == s) for s in order]
+    want = dict(zip(order, shared_targets(size, [1 + i % 3 for i in range(len(order))], sum(size)), strict=True))
+    taken = {}
+    for r in got:
+        assert r["source_no"] == order.index(r["source"]) and r["taken"] <= 3 * r["size"]
+        assert r["target"] == pytest.approx(want[r["source"]])
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 0.5 for s in order)
+    pieces = found.pieces.collect()
+    met = {}
+    for p in pieces:  # no word twice in a pass, no two blocks in a slot
+        assert met.setdefault(("slot", p["shard"], p["slot"]), (p["source_no"], p["pass"], p["block"])) == (p["source_no"], p["pass"], p["block"])
+        for word in range(p["start"], p["start"] + p["words"]):
+            assert met.setdefault(("word", p["_row"], p["pass"], word), p) is p
+    slots = {}
+    for kind, shard, *rest in met:
+        if kind == "slot":
+            slots.setdefault(shard, set()).add(rest[0])
+    assert len(slots) > 64 and all(s == set(range(len(s))) for s in slots.values())
+
+
+def test_small_sources_get_their_words(spark):
+    rows = [(i, " ".join(["w"] * 100), source) for i, source in enumerate("abc")]
+    got = mixing.taken_words(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))).orderBy("_id").collect()
+    assert [(r["target"], r["taken"]) for r in got] == [(50, 50), (100, 100), (150, 150)]
+
+
 def test_mixing(spark, documents):
     rows = QUERIES["op1_mixing"](spark, SMALL).collect()
     size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in documents}
@@ -190,9 +259,9 @@ def test_mixing(spark, documents):
     assert sum(target.values()) == pytest.approx(sum(size.values()))
     names = sorted(target)
     assert [target[s] for s in names] == pytest.approx(
-        mixing.shared_targets([total[s] for s in names], [1 + i % 3 for i in range(len(names))], sum(total.values()))
+        shared_targets([total[s] for s in names], [1 + i % 3 for i in range(len(names))], sum(total.values()))
     )
-    assert all(abs(taken[s] - target[s]) <= 1.5 * mixing.BLOCK for s in names)
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in names)
 
 
 def test_mixed_documents_hold_what_is_taken(spark, documents):

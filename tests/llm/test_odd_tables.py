@@ -106,14 +106,6 @@ def test_mixed_documents_when_scans_are_split_anew(spark, tmp_path, monkeypatch)
         spark.conf.unset("spark.sql.files.minPartitionNum") if first is None else spark.conf.set("spark.sql.files.minPartitionNum", first)
 
 
-def test_shared_targets():
-    assert mixing.shared_targets([100, 100], [1, 2], 200) == pytest.approx([200 / 3, 400 / 3])
-    # the small source stops at three times its size, the others take the rest by weight
-    assert mixing.shared_targets([10, 100, 0, 100], [3, 1, 3, 1], 210) == pytest.approx([30, 90, 0, 90])
-    draws = mixing.shard_draws([5, 0, 100], 7, 1)
-    assert draws.sum(axis=0).tolist() == [5, 0, 100] and max(draws.sum(axis=1)) - min(draws.sum(axis=1)) <= 1
-
-
 def test_quality(spark, stored, nothing):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     model = quality.trained(spark.read.parquet(f"{SMALL}/documents.parquet"), labels)
