@@ -241,8 +241,9 @@ def mix(
         F.when(is_short, F.col("full")).otherwise(index).alias("block"),
         F.least(F.when(is_short, F.col("short")).otherwise(block), F.col("owed") - done).alias("due"),
     )
+    # sorted and merged, as the planner takes rows that are exploded for as few as they were, and would broadcast them.
     # ``at``: words of the block before the span; a slot that is cut takes the first ``due`` words of its block
-    pieces = spans.join(made, ["source_no", "block"]).withColumn("words", F.least("words", F.col("due") - F.col("at"))).where("words > 0")
+    pieces = spans.join(made.hint("merge"), ["source_no", "block"]).withColumn("words", F.least("words", F.col("due") - F.col("at"))).where("words > 0")
     return Mix(sources, rows, pieces.drop("at", "due"))
 
 

@@ -240,6 +240,12 @@ def test_many_sources_in_ranges(spark, monkeypatch):
     assert len(slots) > 64 and all(s == set(range(len(s))) for s in slots.values())
 
 
+def test_slots_are_not_broadcast(spark):
+    pieces = mixing.mix(spark.read.parquet(f"{SMALL}/documents.parquet")).pieces
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [source_no" in plan and "BroadcastExchange" not in plan
+
+
 def test_small_sources_get_their_words(spark):
     rows = [(i, " ".join(["w"] * 100), source) for i, source in enumerate("abc")]
     got = mixing.taken_words(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))).orderBy("_id").collect()
