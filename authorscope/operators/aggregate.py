@@ -47,14 +47,18 @@ def category_confidence(files: Column, spread: Column, config: ScoringConfig = D
     )
 
 
-def category_top_signals(file_scores: DataFrame, k: int = 5) -> DataFrame:
-    """Names with the highest score per repo and content type; ties by first appearance."""
-    names = (
+def signal_names(file_scores: DataFrame) -> DataFrame:
+    """Highest score and first appearance of every signal name per repo and content type."""
+    return (
         exploded_signals(file_scores)
         .where(F.col("content_type").isin(list(SCORED_TYPES)))
         .groupBy("repo", "content_type", F.col("s.name").alias("name"))
         .agg(F.max("s.score").alias("score"), F.min(F.struct("path", "ord")).alias("seen"))
     )
+
+
+def leading_names(names: DataFrame, k: int = 5) -> DataFrame:
+    """Names with the highest score per repo and content type; ties by first appearance."""
     order = W.partitionBy("repo", "content_type").orderBy(F.col("score").desc(), "seen")
     return (
         names.withColumn("r", F.row_number().over(order))
@@ -65,9 +69,18 @@ def category_top_signals(file_scores: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+def category_top_signals(file_scores: DataFrame, k: int = 5) -> DataFrame:
+    return leading_names(signal_names(file_scores), k)
+
+
 def category_summary(file_scores: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
-    totals = type_totals(file_scores).where(F.col("content_type").isin(list(SCORED_TYPES)))
-    return totals.join(category_top_signals(file_scores), ["repo", "content_type"], "left").select(
+    return category_summary_of(type_totals(file_scores), signal_names(file_scores), config)
+
+
+def category_summary_of(totals: DataFrame, names: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
+    """The summary from :func:`type_totals` and :func:`signal_names`."""
+    totals = totals.where(F.col("content_type").isin(list(SCORED_TYPES)))
+    return totals.join(leading_names(names), ["repo", "content_type"], "left").select(
         "repo",
         "content_type",
         "total_files",
@@ -101,14 +114,31 @@ def commit_totals(signals: DataFrame) -> DataFrame:
     )
 
 
-def all_signals(file_scores: DataFrame, signals: DataFrame) -> DataFrame:
-    """Name, score and weight of every signal of a repo; ``place`` orders them (files first)."""
-    slim = lambda df: df.select(
+def slim_signals(signals: DataFrame) -> DataFrame:
+    """Name, score and weight of repo-level signals; ``place`` orders them."""
+    return signals.select(
         "repo", F.struct("phase", "path", "ord").alias("place"),
         F.col("s.name").alias("name"), F.col("s.score").alias("score"), F.col("s.weight").alias("weight"),
     )
-    of_files = exploded_signals(file_scores).withColumn("phase", F.lit(-1))
-    return slim(of_files).unionByName(slim(signals))
+
+
+def file_signals(file_scores: DataFrame) -> DataFrame:
+    """The same of the signals of files, which come before those of the repo."""
+    return slim_signals(exploded_signals(file_scores).withColumn("phase", F.lit(-1)))
+
+
+def all_signals(file_scores: DataFrame, signals: DataFrame) -> DataFrame:
+    """Name, score and weight of every signal of a repo; ``place`` orders them (files first)."""
+    return file_signals(file_scores).unionByName(slim_signals(signals))
+
+
+def strongest_signals(signals: DataFrame) -> DataFrame:
+    """Those of ``signals`` that :func:`top_ai_signals` and :func:`top_human_signals` can name. The strongest of two
+    tables are among the strongest of each, so tables of them can be merged."""
+    score, weight = F.col("score"), F.col("weight")
+    sides = ((score > 0.5, score * weight, 10), (score < 0.4, (F.lit(1.0) - score) * weight, 5))
+    best = [leading_rows(signals.where(keep).withColumn("strength", s), ["repo"], [F.col("strength").desc(), "place"], k) for keep, s, k in sides]
+    return best[0].unionByName(best[1]).select("repo", "place", "name", "score", "weight")
 
 
 def top_names(signals: DataFrame, keep: Column, strength: Column, k: int, name: str) -> DataFrame:
@@ -170,10 +200,16 @@ def repo_summary(
     repos: DataFrame, file_scores: DataFrame, signals: DataFrame, config: ScoringConfig = DEFAULT
 ) -> DataFrame:
     """One row per repo in ``repos`` (column ``repo``), whether or not it has scored files or signals."""
-    every = all_signals(file_scores, signals)
+    return repo_summary_of(repos, type_totals(file_scores), all_signals(file_scores, signals), signals, config)
+
+
+def repo_summary_of(
+    repos: DataFrame, totals: DataFrame, every: DataFrame, signals: DataFrame, config: ScoringConfig = DEFAULT
+) -> DataFrame:
+    """The summary from :func:`type_totals`, :func:`all_signals` (or the strongest of them) and repo-level signals."""
     joined = (
         repos.select("repo")
-        .join(repo_totals(type_totals(file_scores), config), "repo", "left")
+        .join(repo_totals(totals, config), "repo", "left")
         .join(commit_totals(signals), "repo", "left")
         .join(top_ai_signals(every), "repo", "left")
         .join(top_human_signals(every), "repo", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import ScoringConfig
 from ..functions.exprs import fixed, percent, thousands
 from ..operators.topk import leading_rows
+from ..plans.durable import durable
 from ..plans.repositories import RepositoryScores
 from ..schema import SCORED_TYPES, is_definitive, risk_band, snippet_verdict
 
@@ -207,11 +208,36 @@ def json_report_lines(
 
     ``url`` is an expression over ``repo``; the duration is that of the whole job, as measured by the caller.
     """
+    return _report_lines(scores, analyzed_at, url, duration_seconds).orderBy("repo", F.col("path").asc_nulls_first())
+
+
+def _report_lines(
+    scores: RepositoryScores, analyzed_at: Column | None, url: Column | None, duration_seconds: float | None
+) -> DataFrame:
     wide, fields = _report_struct(scores, analyzed_at, url, duration_seconds)
     header = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     heads = wide.select("repo", F.lit(None).cast("string").alias("path"), header.alias("line"))
     lines = scores.file_scores.select("repo", "path", F.to_json(_file_struct(), {"ignoreNullFields": "false"}).alias("line"))
-    return heads.unionByName(lines).orderBy("repo", F.col("path").asc_nulls_first())
+    return heads.unionByName(lines)
+
+
+def write_json_reports(
+    scores: RepositoryScores,
+    folder: str,
+    analyzed_at: Column | None = None,
+    url: Column | None = None,
+    duration_seconds: float | None = None,
+    file_bytes: int = 128 * 1024 * 1024,
+) -> None:
+    """Write :func:`json_report_lines` as text files of about ``file_bytes``, in order of (repo, path) within and across
+    files, whose names sort. Lines are written once and measured, then cut into ranges of (repo, path): how many there are
+    follows from their bytes, and a hot repo has as many as it needs. ``folder`` must not exist.
+    """
+    lines = durable(_report_lines(scores, analyzed_at, url, duration_seconds), "report-lines")
+    size = lines.agg(F.sum(F.octet_length("line") + 1)).first()[0] or 0
+    order = [F.col("repo"), F.col("path").asc_nulls_first()]
+    ranged = lines.repartitionByRange(max(1, -(-size // file_bytes)), *order).sortWithinPartitions(*order)
+    ranged.select("line").write.text(folder)
 
 
 def json_reports(

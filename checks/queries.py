@@ -1035,21 +1035,16 @@ _FILE_LINE = "struct<path:string,type:string,ai_probability:double,signals:array
 
 
 def json_contents(scores) -> DataFrame:
-    """The JSON lines read back, so their contents can be checked. The SQL has a row per repo, so the names of files and
-    signals, not the lines, are gathered here for the comparison; the report itself stays rows."""
+    """The JSON lines read back, so their contents can be checked, a row per line: a repo's header, whose path is null,
+    and its files."""
     lines = R.json_report_lines(scores, F.lit(_STAMP).cast("timestamp"))
-    heads = lines.where("path IS NULL").select("repo", F.from_json("line", _HEADER).alias("d"))
-    f = F.from_json("line", _FILE_LINE)
-    names = F.array_join(F.transform(F.col("f.signals"), lambda x: x["name"]), "|")
-    files = (
-        lines.where("path IS NOT NULL")
-        .select("repo", "path", f.alias("f"))
-        .select("repo", "path", F.concat_ws(" ", "f.path", "f.type", names).alias("text"))
-        .groupBy("repo")
-        .agg(F.sort_array(F.collect_list(F.struct("path", "text"))).alias("files"))
-    )
-    return heads.join(files, "repo", "left").select(
+    d, f = F.from_json("line", _HEADER), F.from_json("line", _FILE_LINE)
+    is_head = F.col("path").isNull()
+    lines = lines.select("repo", "path", F.when(is_head, d).alias("d"), F.when(~is_head, f).alias("f"))
+    names = F.array_join(F.transform("f.signals", lambda x: x["name"]), "|")
+    return lines.select(
         "repo",
+        "path",
         F.col("d.repository").alias("repository"),
         F.col("d.timestamp").alias("timestamp"),
         r6("d.summary.overall_ai_probability").alias("overall_ai_probability"),
@@ -1057,7 +1052,10 @@ def json_contents(scores) -> DataFrame:
         *[r6(f"d.breakdown.{t}.ai_probability").alias(t) for t in ("code", "documentation", "configuration")],
         F.array_join("d.breakdown.code.top_signals", "|").alias("code_top"),
         F.array_join("d.top_ai_signals", "|").alias("top_ai_signals"),
-        F.coalesce(F.array_join(F.col("files.text"), "; "), F.lit("")).alias("files"),
+        F.col("f.path").alias("file_path"),
+        F.col("f.type").alias("file_type"),
+        r6("f.ai_probability").alias("file_ai_probability"),
+        names.alias("file_signals"),
     )
 
 
@@ -1065,13 +1063,14 @@ register(
     "j01_json_reports",
     repositories(json_contents),
     source_sql(
-        f"SELECT r.repo, r.repo AS repository, '{_STAMP}T00:00:00' AS timestamp, round(greatest(mean, coalesce(flr, 0)), 6) AS overall_ai_probability, "
+        f"SELECT r.repo, CAST(NULL AS VARCHAR) AS path, r.repo AS repository, '{_STAMP}T00:00:00' AS timestamp, round(greatest(mean, coalesce(flr, 0)), 6) AS overall_ai_probability, "
         f"{_RCONF} AS confidence, round(code, 6) AS code, round(documentation, 6) AS documentation, round(configuration, 6) AS configuration, "
-        "array_to_string(ct.top, '|') AS code_top, coalesce(array_to_string(ta.top, '|'), '') AS top_ai_signals, coalesce(fl, '') AS files "
+        "array_to_string(ct.top, '|') AS code_top, coalesce(array_to_string(ta.top, '|'), '') AS top_ai_signals, "
+        "NULL AS file_path, NULL AS file_type, NULL AS file_ai_probability, NULL AS file_signals "
         "FROM rsum r LEFT JOIN wide w ON r.repo = w.repo LEFT JOIN topai ta ON r.repo = ta.repo "
-        "LEFT JOIN (SELECT * FROM ctop WHERE content_type = 'code') ct ON r.repo = ct.repo LEFT JOIN (SELECT repo, "
-        "string_agg(path || ' ' || content_type || ' ' || coalesce(ns, ''), '; ' ORDER BY path) AS fl FROM fscore LEFT JOIN "
-        f"(SELECT {KEYS}, string_agg(name, '|' ORDER BY ord) AS ns FROM sig GROUP BY {KEYS}) USING (repo, path) GROUP BY repo) f ON r.repo = f.repo"
+        "LEFT JOIN (SELECT * FROM ctop WHERE content_type = 'code') ct ON r.repo = ct.repo "
+        "UNION ALL SELECT repo, path, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, path, content_type, round(p, 6), coalesce(ns, '') "
+        f"FROM fscore LEFT JOIN (SELECT {KEYS}, string_agg(name, '|' ORDER BY ord) AS ns FROM sig GROUP BY {KEYS}) USING (repo, path)"
     ),
 )
 _TITLE = (

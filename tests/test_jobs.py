@@ -19,7 +19,7 @@ from authorscope.schema import FILES_SCHEMA
 from authorscope.sinks import reports
 from authorscope.sources.raw_tree import below, bounded_reads, list_trees, read_trees, text_of_file
 from authorscope.sources.tables import read_table, spread_rows
-from authorscope.streaming import write_file_scores
+from authorscope.streaming import add_batch, read_repository_scores, write_file_scores, write_repository_scores
 from checks import corpus
 
 SF = "/root/testdata/sf0.001"
@@ -192,6 +192,60 @@ def test_stream_equals_batch(spark, tmp_path):
     assert streamed.exceptAll(batch).count() == 0
 
 
+def rounded(rows):
+    """Rows as tuples, to nine places, in order: sums of doubles depend on their order."""
+    plain = lambda v: round(v, 9) if isinstance(v, float) else tuple(v) if isinstance(v, list) else v
+    return sorted((tuple(plain(v) for v in r) for r in rows.collect()), key=str)
+
+
+def same_scores(got, want):
+    order = lambda df: rounded(df.select(*sorted(df.columns)))
+    assert order(got.categories) == order(want.categories)
+    assert order(got.summary) == order(want.summary)
+    assert got.file_scores.count() == want.file_scores.count()
+
+
+def test_streamed_sums_equal_batch(spark, tmp_path):
+    """Three micro-batches give the categories and verdicts of one batch job."""
+    files = corpus.files(spark, SF)
+    source, folder = str(tmp_path / "in"), str(tmp_path / "sums")
+    files.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    write_repository_scores(stream, folder, str(tmp_path / "checkpoint")).awaitTermination()
+    assert spark.read.parquet(f"{folder}/done").agg(F.max("batch")).first()[0] >= 2
+    same_scores(read_repository_scores(spark, folder), score_repositories(files))
+
+
+def test_a_replayed_batch_counts_once(spark, tmp_path):
+    """The sink ran, but the batch was not committed and comes again."""
+    files, folder = corpus.files(spark, SF), str(tmp_path / "sums")
+    parts = [files.where(F.crc32(F.col("path").cast("binary")) % 2 == i) for i in range(2)]
+    for batch in (0, 0, 1, 1):
+        add_batch(parts[batch], batch, folder)
+    same_scores(read_repository_scores(spark, folder), score_repositories(files))
+
+
+def test_streamed_sums_of_nothing(spark, tmp_path):
+    files = corpus.files(spark, SF)
+    folder = str(tmp_path / "sums")
+    add_batch(files.limit(0), 0, folder)
+    assert read_repository_scores(spark, folder).summary.count() == 0
+    add_batch(files, 1, folder)
+    add_batch(files.limit(0), 2, folder)
+    assert rounded(read_repository_scores(spark, folder).categories) == rounded(score_repositories(files).categories)
+
+
+def test_reports_written_in_ranges(spark, tmp_path):
+    """Files of bounded size, in order, that hold every line once."""
+    scores = score_repositories(corpus.files(spark, SF))
+    folder, stamp = str(tmp_path / "reports"), F.lit("2024-01-01").cast("timestamp")
+    reports.write_json_reports(scores, folder, stamp, file_bytes=200_000)
+    names = sorted(n for n in os.listdir(folder) if n.startswith("part-"))
+    assert len(names) > 3 and max(os.path.getsize(f"{folder}/{n}") for n in names) < 800_000
+    got = [line for n in names for line in open(f"{folder}/{n}", encoding="utf-8").read().split("\n")[:-1]]
+    assert got == [r["line"] for r in reports.json_report_lines(scores, stamp).collect()]
+
+
 def test_scorer_and_fallback(spark):
     def broken(chunks):
         raise RuntimeError("no model")
