@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read, without
+from .common import durable, read, spread_join, without
 from .components import components
 
 COSINE = 0.98
@@ -252,32 +252,39 @@ def near_vectors(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embe
     usable = body.isNotNull() & F.col(f"`{label}`").isNotNull() & (F.size(body) > 0) & ~bad & F.exists(body, lambda v: v != 0)
     name = F.concat_ws(":", F.col(f"`{label}`").cast("string"), F.hex(F.xxhash64(body, F.lit(1))), F.hex(F.xxhash64(F.lit(2), body)))
     rows = rows.withColumn("_point", F.when(F.coalesce(usable, F.lit(False)), name))
-    points = (
+    points = durable(
         rows.where("_point IS NOT NULL")
         .groupBy("_point")
-        .agg(F.count("*").alias("weight"), F.any_value(body).alias("v"), F.any_value(F.col(f"`{label}`").cast("string")).alias("_label"))
-        .select(
-            F.concat_ws(":", "_label", F.size("v").cast("string")).alias("group"),
-            F.size("v").alias("dimension"),
-            F.col("_point").alias("point"),
-            "weight",
-            F.col("v").cast("array<double>").alias("vector"),
-        )
+        .agg(
+            F.count("*").alias("_weight"),
+            F.any_value(body).alias("_v"),
+            F.any_value(F.col(f"`{label}`").cast("string")).alias("_label"),
+            F.min(F.col(f"`{key}`")).alias("_key"),
+        ),
+        "distinct",
+    )
+    compared_points = points.select(
+        F.concat_ws(":", "_label", F.size("_v").cast("string")).alias("group"),
+        F.size("_v").alias("dimension"),
+        F.col("_point").alias("point"),
+        F.col("_weight").alias("weight"),
+        F.col("_v").cast("array<double>").alias("vector"),
     )
-    found = durable(link_counts(points, cosine, cell), "links")
+    found = durable(link_counts(compared_points, cosine, cell), "links")
     counts = found.groupBy("point").agg(F.sum("links").alias("_links")).withColumnRenamed("point", "_counted")
     groups = components(found.where("point != root").select(F.col("point").alias("a"), F.col("root").alias("b")))
-    placed = rows.join(counts, F.col("_point") == F.col("_counted"), "left").join(groups, F.col("_point") == F.col("node"), "left")
-    placed = placed.withColumn("_component", F.coalesce("component", "_point"))
-    least = (
-        placed.where("_component IS NOT NULL").groupBy("_component").agg(F.min(F.col(f"`{key}`")).alias("_least")).withColumnRenamed("_component", "_of")
-    )
+    # a row per point: neither its copies nor the points of its component meet in one task
+    points = points.join(counts, F.col("_point") == F.col("_counted"), "left").join(groups, F.col("_point") == F.col("node"), "left")
+    points = durable(points.select("_point", "_weight", "_key", "_links", F.coalesce("component", "_point").alias("_component")), "linked")
+    least = points.groupBy("_component").agg(F.min("_key").alias("_least"), F.count("*").alias("_points"))
+    points = spread_join(points, durable(least, "components"), "_component", "_points", F.xxhash64("_point"))
+    points = durable(points.select("_point", "_weight", "_links", "_least"), "placed")
+    placed = spread_join(rows, points, "_point", "_weight", F.xxhash64(F.col(f"`{key}`")))
     component = F.when(F.col("_point").isNull(), F.col(f"`{key}`")).otherwise(F.col("_least"))
     return (
-        placed.join(least, F.col("_component") == F.col("_of"), "left")
-        .withColumns({"n_links": F.coalesce(F.col("_links") - 1, F.lit(0)).cast("long"), "component_id": component})
+        placed.withColumns({"n_links": F.coalesce(F.col("_links") - 1, F.lit(0)).cast("long"), "component_id": component})
         .withColumn("kept", F.coalesce(F.col(f"`{key}`") == F.col("component_id"), F.lit(True)))
-        .drop("_point", "_counted", "_links", "node", "component", "_component", "_of", "_least")
+        .drop("_point", "_links", "_least")
     )
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from authorscope.llm import decontamination, embedding_dedup, filter_audit, html_extraction, license_scan, mixing, near_dedup, quality
+from authorscope.llm import common, decontamination, embedding_dedup, filter_audit, html_extraction, license_scan, mixing, near_dedup, quality
 from authorscope.llm import sharding, substring_dedup, token_packing, toxicity, whitening
 
 from .conftest import LONG, SMALL
@@ -181,6 +181,23 @@ def test_embeddings(spark):
     assert got.count((1, 2, 1, True)) == 2 and (2, 2, 1, False) in got and (None, 0, None, True) in got
     assert all((i, 0, i, True) in got for i in (3, 4, 5, 6, 7, 8, 9, 10, 11, 12))
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+    names = "node component point weight group dimension vector links root cell far part parts side n radius _counted a b".split()
+    named = df.withColumns({n: F.lit(f"their {n}") for n in names})
+    out = embedding_dedup.near_vectors(named)
+    assert sorted(got, key=str) == sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out.collect()), key=str)
+    assert set(names) <= set(out.columns) and out.where("node = 'their node' and part = 'their part'").count() == len(rows)
+
+
+@pytest.mark.parametrize("hot", [1, 2, 10_000])
+def test_spread_join(spark, monkeypatch, hot):
+    """Hot groups and the others, keys that are null and keys without a group."""
+    monkeypatch.setattr(common, "HOT", hot)
+    keys = ["a"] * 50 + ["b"] * 20 + ["c"] * 5 + [None] * 30 + ["none"] * 3
+    rows = spark.createDataFrame(list(enumerate(keys)), "i long, key string")
+    groups = spark.createDataFrame([("a", 50, 1, None), ("b", 20, 2, "x"), ("c", 5, 3, "y")], "key string, size long, v long, w string")
+    found = {"a": (1, None), "b": (2, "x"), "c": (3, "y")}
+    got = sorted(tuple(r) for r in common.spread_join(rows, groups, "key", "size", F.xxhash64("i")).collect())
+    assert got == [(i, k, *found.get(k, (None, None))) for i, k in enumerate(keys)]
 
 
 def test_html(spark):
