@@ -13,6 +13,9 @@ least ``THRESHOLD`` per cent of the template's words. All blocks that do are fou
 What is left is compared exactly. A phrase is a template all of whose words must stand in a row: its rarest word is its
 prefix, and the words around it are compared in order.
 
+A text is cut into pieces of ``PIECE`` words, each with the words around it that a block or phrase may reach, so that an
+occurrence carries a piece, not its text: a text made of nothing but such words costs its length, not the square of it.
+
 The join index holds the prefix words of the templates; as the templates are a list of the caller's its size is known
 and it is broadcast below ``BROADCAST_BYTES``, else shuffled.
 """
@@ -31,6 +34,8 @@ from .common import read, without
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Share of a template's distinct words that a block must hold, per cent.
 THRESHOLD = 90
+#: Words of a piece, without those around it.
+PIECE = 256
 BROADCAST_BYTES = 8 << 20
 OWN = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 KEY = ("_id", "_text_hash")
@@ -120,9 +125,23 @@ def prefix_index(spark: SparkSession, known: list[Template], order: list[str]) -
     return (F.broadcast(index) if size <= BROADCAST_BYTES else index), sorted({r[0] for r in rows})
 
 
+def pieces(words: DataFrame, reach: int) -> DataFrame:
+    """(_id, _text_hash, n_words, first, before, words): the words of a piece, from word ``first`` of the text on, with
+    ``reach`` words on either side; ``before`` of them, fewer at the beginning of a text, come first. A text without
+    words has an empty piece."""
+
+    def piece(at: Column) -> Column:
+        before = F.least(at, F.lit(reach))
+        around = F.slice("_words", at - before + 1, F.lit(PIECE + reach) + before)
+        return F.struct(at.alias("first"), before.alias("before"), around.alias("words"))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - 1, F.lit(0)), F.lit(PIECE))
+    return words.select(*KEY, F.size("_words").alias("n_words"), F.inline(F.transform(starts, piece)))
+
+
 def block_share(number: Column, vocabulary: Column) -> Column:
     """Share of the template's words in the block of that number, null if below the threshold or passed over."""
-    block = F.slice("_words", number * F.col("m") + 1, F.col("m") * 2)
+    block = F.slice("words", number * F.col("m") - F.col("first") + F.col("before") + 1, F.col("m") * 2)
     return F.transform(
         F.array(F.array_intersect(vocabulary, block)),  # the block's known words, rarest first
         lambda held: F.when(
@@ -146,19 +165,25 @@ def matches(words: DataFrame, known: list[Template]) -> DataFrame:
     order = word_order(words, sorted({w for t in known for w in t.words}))
     index, prefixes = prefix_index(words.sparkSession, known, order)
     places = F.filter(
-        F.transform("_words", lambda w, at: F.struct(w.alias("word"), at.alias("at"))), lambda p: p["word"].isin(prefixes)
+        F.transform(
+            F.slice("words", F.col("before") + 1, F.lit(PIECE)),
+            lambda w, i: F.struct(w.alias("word"), (F.col("first") + i).alias("at")),
+        ),
+        lambda p: p["word"].isin(prefixes),
     )
     nothing = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("at")))
-    found = words.select(*KEY, "_words", F.inline_outer(F.concat(places, nothing))).join(index, "word", "left")
+    cut = pieces(words, 2 * max((len(t.words) for t in known), default=0))
+    found = cut.select(*KEY, "n_words", "first", "before", "words", F.inline(F.concat(places, nothing))).join(index, "word", "left")
     vocabulary = F.array(*[F.lit(w) for w in order])
     start = F.col("at") - F.col("offset")
-    stands = (start >= 0) & (F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.col("m")) == F.col("phrase_words"))
+    inside = F.greatest(start - F.col("first") + F.col("before"), F.lit(0))  # a piece begins with its text, or far enough before
+    stands = (start >= 0) & (F.slice("words", inside + 1, F.col("m")) == F.col("phrase_words"))
     number = F.floor(F.col("at") / F.col("m")).cast("int")
     shares = F.array(block_share(number, vocabulary), F.when(number > 0, block_share(F.greatest(number - 1, F.lit(0)), vocabulary)))
     share = F.when(F.col("phrase"), F.when(stands, 1.0)).when(F.col("label").isNotNull(), F.array_max(shares))
     return (
         found.select(
-            *KEY, F.size("_words").alias("n_words"), "template", "label", F.when(F.col("phrase"), start).alias("place"), share.alias("share"), "at"
+            *KEY, "n_words", "template", "label", F.when(F.col("phrase"), start).alias("place"), share.alias("share"), "at"
         )
         .where("share IS NOT NULL OR at IS NULL")
         .drop("at")

@@ -483,6 +483,9 @@ def test_blocks_of_a_license(spark):
         said = [w for w in t.words if random.random() > 0.06]
         at = random.integers(0, 30)
         texts.append(" ".join([*random.choice(pool, at), *said, *random.choice(pool, random.integers(0, 20))]))
+        before = license_scan.PIECE * random.integers(1, 3) - random.integers(-5, 60)  # around the border of a piece
+        texts.append(" ".join([*["w1"] * before, *said, *random.choice(pool, random.integers(0, 300))]))
+    texts += [" ".join(["w1"] * (license_scan.PIECE + i) + ["cc by nc apache license version 2"]) for i in range(-8, 2)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in license_scan.license_scan(docs, known).collect()}
     seen = 0
@@ -505,6 +508,14 @@ def test_blocks_of_a_license(spark):
     assert seen > 50
 
 
+def test_text_of_license_words(spark):
+    """A text that holds nothing but words of notices costs its length; each place is found once."""
+    docs = spark.createDataFrame([(1, "mit cc by nc filler " * 40_000)], "doc_id long, text string")
+    found = license_scan.license_scan(docs).first()
+    assert (found["n_words"], found["n_base"], found["first_word"], found["last_word"]) == (200_000, 40_000, 1, 199_996)
+    assert found["labels"] == "cc-by-nc"
+
+
 def test_orders_of_filters():
     """The contractions against documents counted one by one."""
     random = np.random.default_rng(2)
