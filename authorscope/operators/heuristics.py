@@ -6,7 +6,7 @@ import bisect
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -248,18 +248,15 @@ def count_feature_lists(text: str) -> int:
     return found
 
 
-@F.pandas_udf(StructType([StructField("badges", IntegerType()), StructField("feature_lists", IntegerType())]))
-def markdown_lists(content: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(StructType([StructField("badges", IntegerType()), StructField("feature_lists", IntegerType())]))
+def markdown_lists(content: pa.Array) -> pa.Array:
     """Match counts of the two patterns whose backtracking Java cannot run on long lists, nor any engine in linear time.
 
     Rows that lack the patterns' literals arrive as null and are skipped.
     """
-    return pd.DataFrame(
-        {
-            "badges": [count_badges(v) if v is not None else 0 for v in content],
-            "feature_lists": [count_feature_lists(v) if v is not None else 0 for v in content],
-        }
-    )
+    texts = content.to_pylist()
+    counts = [[count(v) if v is not None else 0 for v in texts] for count in (count_badges, count_feature_lists)]
+    return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in counts], ["badges", "feature_lists"])
 
 
 def markdown_list_input(content: Column, content_type: Column) -> Column:

@@ -26,8 +26,20 @@ class PatternRule:
     score: float = 0.0  # fixed score, where the family uses one
 
 
+#: Characters from frequent to rare in texts; those that are not listed are rarer.
+FREQUENT = " etaoinshrdlcumwfgypbvkjxqz"
+
+
+def holds(text: Column, literal: str) -> Column:
+    """``text.contains(literal)``. Where a substring test stops at each first character of what it looks for, the part of
+    the literal from its rarest character on is looked for first."""
+    from_rarest = min(range(max(1, len(literal) - 2)), key=lambda i: -FREQUENT.find(literal[i].lower()) if literal[i].lower() in FREQUENT else -len(FREQUENT))
+    whole = text.contains(literal)
+    return text.contains(literal[from_rarest:]) & whole if from_rarest else whole
+
+
 def may_match(text: Column, needs: tuple[str, ...]) -> Column:
-    return any_of([text.contains(n) for n in needs])
+    return any_of([holds(text, n) for n in needs])
 
 
 def hits(rule: PatternRule, text: Column, probe: Column, flags: str = "") -> Column:

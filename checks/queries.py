@@ -540,8 +540,8 @@ register(
 register(
     "f01_burstiness_value",
     on_views(
-        lambda v: v.where(F.size("_tokens") >= 100)
-        .select("repo", "path", D.burstiness(F.col("_pairs"), F.col("_runs")).alias("b"))
+        lambda v: v.where(F.col("_tokens.n") >= 100)
+        .select("repo", "path", F.col("_tokens.burstiness").alias("b"))
         .select("repo", "path", r6("b").alias("burstiness"))
     ),
     with_ctes(

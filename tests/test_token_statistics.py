@@ -1,0 +1,82 @@
+"""Token statistics of a batch beside plain Python, and literal tests beside ``in``."""
+
+import math
+import random
+from collections import Counter
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from authorscope import score_files
+from authorscope.operators import token_statistics as TS
+from authorscope.operators.rules import holds
+from authorscope.schema import FILES_SCHEMA
+
+
+def expected(tokens, sizes, least):
+    if tokens is None or len(tokens) < least:
+        return None
+    places = {t: [i for i, x in enumerate(tokens) if x == t] for t in sorted(set(tokens), key=str.encode)}
+    values = []
+    for t, at in places.items():
+        if len(at) >= 3 and len(t) > 2:
+            gaps = [b - a for a, b in zip(at, at[1:])]
+            mu = sum(gaps) / len(gaps)
+            sd = math.sqrt(sum((g - mu) ** 2 for g in gaps) / len(gaps))
+            values.append((sd - mu) / (sd + mu))
+    grams = []
+    for n in sizes:
+        counts = Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))  # in order of first position
+        repeated = [g for g, c in counts.items() if c >= 5]
+        order = sorted(repeated, key=lambda g: -counts[g]) if n > 1 else sorted(repeated, key=lambda g: g[0].encode())
+        grams.append([" ".join(g) for g in order[:5]])
+    shares = [len(set(tokens[s : s + 50])) / 50 for s in range(0, len(tokens) - 50, 25)]
+    mean = sum(shares) / len(shares) if shares else None
+    return {
+        "n": len(tokens),
+        "distinct": len(places),
+        "burstiness": pytest.approx(sum(values) / len(values)) if len(values) >= 10 else None,
+        "counts": sorted((len(at) for at in places.values()), reverse=True)[:50],
+        "grams": grams,
+        "windows": shares and {
+            "n": len(shares), "mean": pytest.approx(mean),
+            "sd": pytest.approx(math.sqrt(sum((x - mean) ** 2 for x in shares) / len(shares)), abs=1e-7),
+        } or None,
+    }
+
+
+@pytest.mark.parametrize("sizes", [(2, 3, 4), (1, 3), ()])
+def test_statistics_of_a_batch(sizes):
+    draw = random.Random(7)
+    words = ["the", "of", "é", "漢字漢字", "z", "zebra", "🚀"] + [f"word{i}" for i in range(40)]
+    texts = [None, [], ["a"] * 49, ["a"] * 50, ["a"] * 51, ["ab", "c"] * 120]
+    texts += [[draw.choice(words[: draw.choice((3, 12, len(words)))]) for _ in range(draw.choice((60, 99, 400, 1500)))] for _ in range(40)]
+    array = pa.array(texts, pa.list_(pa.string()))
+    want = [expected(t, sizes, 50) for t in texts]
+    assert TS.statistics_of(array, sizes, 50).to_pylist() == want
+    assert TS.statistics_of(array.slice(5, 20), sizes, 50).to_pylist() == want[5:25]
+    assert TS.statistics_of(array.slice(0, 0), sizes, 50).to_pylist() == []
+
+
+def test_pieces_hold_every_list_once(monkeypatch):
+    monkeypatch.setattr(TS, "TOKENS", 10)
+    texts = [["a"] * n for n in (3, 0, 25, 4, 4, 4, 0, 10, 11)] + [None]
+    pieces = TS.in_pieces(pa.array(texts, pa.list_(pa.string())))
+    assert [t for p in pieces for t in p.to_pylist()] == texts
+    assert all(len(p) == 1 or sum(len(t or []) for t in p.to_pylist()) <= 10 for p in pieces)
+
+
+def test_no_tokens_in_rows(spark):
+    """Neither tokens nor their positions are columns of the rows that the rules read."""
+    files = spark.createDataFrame([("r", "a.md", 10, "word " * 80)], FILES_SCHEMA)
+    plan = score_files(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "_words" not in plan and "_pairs" not in plan
+
+
+def test_literal_from_its_rarest_character(spark):
+    literals = [" will ", "let me ", "i'll ", "🤖", "ab", "zzz", "co-authored-by:", "e"]
+    texts = ["he will go", "he will", "let me", "let me see", "i'll do", "x🤖", "ab", "azzz", "zz", "co-authored-by: x", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[holds(F.col("t"), x).alias(str(i)) for i, x in enumerate(literals)]).collect()
+    for r in rows:
+        assert list(r)[1:] == [None if r.t is None else x in r.t for x in literals]
