@@ -54,6 +54,19 @@ def score_commits(commits: DataFrame, config: ScoringConfig = DEFAULT) -> tuple[
     return C.commit_scores(newest), C.history_signals(newest, config)
 
 
+def repository_signals(files: DataFrame, commits: DataFrame | None = None, config: ScoringConfig = DEFAULT) -> DataFrame:
+    """The repo-level signals of :func:`score_repositories` alone. They follow from paths and commits, so no text is scored."""
+    return _repository_signals(intake.cap_files(intake.select_files(files, config), config), commits, config)
+
+
+def _repository_signals(kept: DataFrame, commits: DataFrame | None, config: ScoringConfig) -> DataFrame:
+    marks = durable(markers.marker_rows(kept), "marker-rows")
+    history = None
+    if commits is not None and config.enable_commit_analysis:
+        history = C.history_signals(C.newest_commits(commits, config), config)
+    return durable(aggregate.repo_signals(history, marks, markers.multiple_markers(marks)), "repo-signals")
+
+
 def score_repositories(
     files: DataFrame, commits: DataFrame | None = None, config: ScoringConfig = DEFAULT
 ) -> RepositoryScores:
@@ -64,13 +77,10 @@ def score_repositories(
     """
     kept = intake.cap_files(intake.select_files(files, config), config)
     file_scores = durable(score_files(kept, config), "file-scores")
-    marks = durable(markers.marker_rows(kept), "marker-rows")
-    history = None
+    signals = _repository_signals(kept, commits, config)
     repos = files.select("repo").distinct()
     if commits is not None and config.enable_commit_analysis:
-        history = C.history_signals(C.newest_commits(commits, config), config)
         repos = repos.union(commits.select("repo").distinct()).distinct()
-    signals = durable(aggregate.repo_signals(history, marks, markers.multiple_markers(marks)), "repo-signals")
     return RepositoryScores(
         file_scores=file_scores,
         signals=signals,

@@ -13,10 +13,10 @@ from authorscope.functions.exprs import entropy_of_counts, run_counts
 from authorscope.operators import aggregate as A
 from authorscope.operators import classify as K
 from authorscope.operators import commits as C
-from authorscope.operators import distribution as D
 from authorscope.operators import intake, markers
 from authorscope.operators import predictability as P
 from authorscope.operators.scoring import rule_catalog, weighted_mean, with_text_views
+from authorscope.plans.repositories import repository_signals
 from authorscope.schema import confidence_band, repo_verdict, risk_band, snippet_verdict
 from authorscope.sinks import reports as R
 
@@ -1168,7 +1168,11 @@ register(
 )
 register(
     "j09_commit_panel",
-    repositories(lambda r: R.commit_panel(r.signals).select("repo", "r", "icon", "name", "score")),
+    in_utc(
+        lambda s, d: R.commit_panel(
+            repository_signals(corpus.files(s, d), corpus.source_commits(s, d), UNCAPPED)
+        ).select("repo", "r", "icon", "name", "score")
+    ),
     source_sql(
         f"SELECT repo, r::INT AS r, CASE WHEN score > 0.8 THEN '🤖' ELSE '📝' END AS icon, name, format('{{:.0f}}', score * 100) || '%' AS score FROM (SELECT *, row_number() OVER "
         f"(PARTITION BY repo ORDER BY {_PLACE}) AS r FROM rsig WHERE regexp_matches(lower(name), '{'|'.join(R.COMMIT_WORDS)}')) WHERE r <= 8"

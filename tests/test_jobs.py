@@ -439,3 +439,16 @@ def test_hot_repository(spark):
     row = result.summary.where("repo = 'hot'").first()
     assert row.total_files == expected.count()
     assert row.total_lines == expected.agg(F.sum("line_count")).first()[0]
+
+
+def test_commit_panel_scores_no_text(spark, monkeypatch):
+    """Repo-level signals follow from paths and commits; the texts of files are neither scored nor read."""
+    from authorscope.plans import repositories as plans
+
+    written = []
+    monkeypatch.setattr(plans, "durable", lambda df, name: written.append(name) or durable(df, name))
+    files = spark.createDataFrame([("r", "CLAUDE.md", 3, "a b"), ("r", ".cursorrules", 1, None)], FILES_SCHEMA)
+    found = plans.repository_signals(files).select("repo", "phase", "path", "ord", "s.name")
+    whole = score_repositories(files).signals.select("repo", "phase", "path", "ord", "s.name")
+    assert sorted(found.collect()) == sorted(whole.collect()) and found.count() > 2
+    assert written[:2] == ["marker-rows", "repo-signals"] and written[2] == "file-scores"
