@@ -55,7 +55,7 @@ def sentences(content: Column, longer_than: int) -> Column:
 
 def word_count(stripped: Column) -> Column:
     """Number of whitespace-separated words of a stripped, non-empty text."""
-    return F.size(F.split(stripped, f"[{SPACE}]+", -1))
+    return F.regexp_count(stripped, F.lit(f"[{SPACE}]+")) + 1
 
 
 def words(value: Column) -> Column:

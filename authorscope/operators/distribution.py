@@ -83,12 +83,12 @@ def normalised_line_entropy(filled_lines: Column) -> Column:
     )
 
 
-def sentence_variation(sentences: Column) -> Column:
-    """``struct(mean, sd, cv)`` of words per sentence; null below five sentences."""
+def sentence_variation(words: Column) -> Column:
+    """``struct(mean, sd, cv)`` of ``words``, those of each sentence; null below five sentences."""
     return F.when(
-        F.size(sentences) >= 5,
+        F.size(words) >= 5,
         let(
-            count_moments(F.transform(sentences, T.word_count)),
+            count_moments(words),
             lambda m: F.struct(
                 m["mean"].alias("mean"),
                 F.sqrt(m["var"]).alias("sd"),
@@ -110,6 +110,7 @@ class TokenViews:
     tokens: Column
     zipf: Column
     sentences: Column
+    sentence_words: Column
     filled_lines: Column
     content_type: Column
 
@@ -284,8 +285,8 @@ def code_line_signals(filled_lines: Column) -> list[Column]:
     ]
 
 
-def prose_signals(sentences: Column) -> list[Column]:
-    """Sentences are stripped and longer than ten characters."""
+def prose_signals(sentences: Column, words: Column) -> list[Column]:
+    """Sentences are stripped and longer than ten characters; ``words`` counts those of each."""
     def even(m: Column) -> Column:
         return F.when(
             m["cv"] < 0.35,
@@ -331,7 +332,7 @@ def prose_signals(sentences: Column) -> list[Column]:
         F.size(sentences) >= 5,
         F.struct(leading_words(sentences).alias("top"), F.size(sentences).alias("n")),
     )
-    return [let(sentence_variation(sentences), even), let(top, repetitive)]
+    return [let(sentence_variation(words), even), let(top, repetitive)]
 
 
 def distribution_signals(v: TokenViews, config: ScoringConfig) -> list[Column]:
@@ -346,5 +347,5 @@ def distribution_signals(v: TokenViews, config: ScoringConfig) -> list[Column]:
     out += vocabulary_signals(v.tokens)
     is_code = v.content_type == "code"
     out += [F.when(enough & is_code, s) for s in code_line_signals(v.filled_lines)]
-    out += [F.when(enough & ~is_code, s) for s in prose_signals(v.sentences)]
+    out += [F.when(enough & ~is_code, s) for s in prose_signals(v.sentences, v.sentence_words)]
     return out

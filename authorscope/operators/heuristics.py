@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions.exprs import any_of, count_moments, fixed, int_list, let, percent
 from ..functions.regex import java_regex
 from ..schema import signal
-from .rules import PatternRule, capped, first, hits, instances, when_hit
+from .rules import PatternRule, any_part, capped, first, hits, instances, when_hit, word_parts
 
 # ---- fixed values: phrase rules (id, pattern on lower-cased text, name, weight, literals) ----
 # In the order in which signals are told; the ids E10 to E14 and E22 follow topics instead.
@@ -111,6 +111,8 @@ SECTION_HEADERS = (
     r"|Examples|Contributing|License)\s*$"
 )
 EMOJI = "[\U0001F300-\U0001F9FF]"
+#: With which all of them begin in UTF-8.
+EMOJI_BYTES = b"\xf0\x9f"
 BADGES = r"\[!\[.*?\]\(.*?\)\]\(.*?\)(?:\s*\[!\[.*?\]\(.*?\)\]\(.*?\)){2,}"
 CONTENTS_TABLE = r"## Table of Contents\s*\n(?:\s*-\s*\[.*?\]\(#.*?\)\s*\n){5,}+"
 FEATURE_LIST = r"(?:^|\n)(?:[*-]\s+\*\*.*?\*\*:?\s+.*?\n){3,}"
@@ -138,6 +140,10 @@ PLACEHOLDERS = r"[\"'](?:your[-_]?|my[-_]?|example[-_]?|sample[-_]?)[\w-]+[\"']"
 # ---- end of fixed values ----
 
 PHRASE_RULES = tuple(PatternRule(rule_id, name, pattern, weight, needs) for rule_id, pattern, name, weight, needs in PHRASE_TABLE)
+#: The words each of the textbook patterns needs, lower-cased.
+TEXTBOOK_WORDS = tuple(tuple(re.search(r"\(\?:([\w|]+)\)", p)[1].lower().split("|")) for p in TEXTBOOK_NAMES)
+#: Parts of tokens that rules ask for.
+PARTS = set().union(*(word_parts(r.needs) for r in (*PHRASE_RULES, *PROSE_RULES)), *map(word_parts, TEXTBOOK_WORDS))
 
 
 def count_badges(text: str) -> int:
@@ -266,10 +272,10 @@ def markdown_list_input(content: Column, content_type: Column) -> Column:
     )
 
 
-def phrase_signals(lowered: Column) -> list[Column]:
+def phrase_signals(lowered: Column, parts: Column | None = None) -> list[Column]:
     return [
         when_hit(
-            hits(rule, lowered, lowered),
+            hits(rule, lowered, lowered, parts=parts),
             lambda ms, rule=rule: signal(
                 rule.rule_id,
                 rule.name,
@@ -391,11 +397,12 @@ def _total_matches(content: Column, patterns: list[tuple[str, Column]]) -> Colum
     return out
 
 
-def naming_signals(content: Column) -> list[Column]:
-    verbose = _total_matches(
-        content, [(VERBOSE_NAMES[0], F.lit(True)), (VERBOSE_NAMES[1], content.contains("_"))]
+def naming_signals(content: Column, parts: Column | None = None) -> list[Column]:
+    two_capitals = content.rlike("[A-Z][a-z]+[A-Z]")
+    verbose = _total_matches(content, [(VERBOSE_NAMES[0], two_capitals), (VERBOSE_NAMES[1], content.contains("_"))])
+    textbook = _total_matches(
+        content, [(p, F.lit(True) if parts is None else any_part(parts, words)) for p, words in zip(TEXTBOOK_NAMES, TEXTBOOK_WORDS, strict=True)]
     )
-    textbook = _total_matches(content, [(p, F.lit(True)) for p in TEXTBOOK_NAMES])
 
     def too_verbose(n: Column) -> Column:
         return F.when(
@@ -531,14 +538,16 @@ def docstring_signals(docstrings: Column) -> list[Column]:
     return [let(hits_total, templated), let(long_counts, verbose)]
 
 
-def documentation_signals(content: Column, lowered: Column, sentences: Column, md_lists: Column) -> list[Column]:
-    """``md_lists`` is the struct made by :func:`markdown_lists`."""
+def documentation_signals(
+    content: Column, lowered: Column, sentences: Column, words: Column, md_lists: Column, parts: Column | None = None
+) -> list[Column]:
+    """``words`` counts those of each sentence; ``md_lists`` is the struct made by :func:`markdown_lists`."""
     counts = [
         (
             "E36", "AI-style section headers", 0.4,
             F.when(content.contains("## "), T.count_matches(content, SECTION_HEADERS, "im")),
         ),
-        ("E37", "Emoji usage", 0.3, T.count_matches(content, EMOJI)),
+        ("E37", "Emoji usage", 0.3, F.when(content.cast("binary").contains(F.lit(EMOJI_BYTES)), T.count_matches(content, EMOJI))),
         ("E38", "Multiple badges pattern", 0.5, md_lists["badges"]),
         (
             "E39", "Structured table of contents", 0.5,
@@ -555,7 +564,7 @@ def documentation_signals(content: Column, lowered: Column, sentences: Column, m
     out = [let(n, counted(rule_id, name, weight)) for rule_id, name, weight, n in counts]
     out += [
         when_hit(
-            hits(rule, lowered, lowered),
+            hits(rule, lowered, lowered, parts=parts),
             lambda ms, rule=rule: signal(
                 rule.rule_id,
                 rule.name,
@@ -591,7 +600,9 @@ def documentation_signals(content: Column, lowered: Column, sentences: Column, m
             ),
         )
 
-    lengths = F.transform(F.filter(sentences, lambda s: F.length(s) > 20), T.word_count)
+    lengths = F.filter(
+        F.transform(sentences, lambda s, i: F.when(F.length(s) > 20, F.get(words, i))), lambda n: n.isNotNull()
+    )
     out.append(let(lengths, uniform))
     return out
 

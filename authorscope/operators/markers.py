@@ -98,11 +98,11 @@ def marker_signals(path: Column) -> list[Column]:
     ]
 
 
-def attribution_signals(content: Column, lowered: Column) -> list[Column]:
+def attribution_signals(content: Column, lowered: Column, parts: Column | None = None) -> list[Column]:
     """One signal per attribution pattern found in the text, with its count and first three hits."""
     return [
         when_hit(
-            hits(rule, content, lowered, "im"),
+            hits(rule, content, lowered, "im", parts),
             lambda ms, rule=rule: signal(
                 rule.rule_id,
                 rule.name,

@@ -6,6 +6,7 @@ rule names the literals its pattern cannot match without, so most rows are decid
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -38,13 +39,33 @@ def holds(text: Column, literal: str) -> Column:
     return text.contains(literal[from_rarest:]) & whole if from_rarest else whole
 
 
-def may_match(text: Column, needs: tuple[str, ...]) -> Column:
-    return any_of([holds(text, n) for n in needs])
+def word_part(literal: str) -> str | None:
+    """The longest piece of a literal that lies within one token wherever the literal occurs; none without a word in it."""
+    return max(re.findall("[A-Za-z0-9_]+", literal), key=len, default=None)
 
 
-def hits(rule: PatternRule, text: Column, probe: Column, flags: str = "") -> Column:
+def word_parts(needs: tuple[str, ...]) -> set[str]:
+    return {word_part(n) for n in needs} - {None}
+
+
+def any_part(parts: Column, literals: tuple[str, ...]) -> Column:
+    """Whether ``parts``, those that tokens of a text hold, leave room for one of the literals."""
+    return any_of([F.array_contains(parts, word_part(n)) for n in literals])
+
+
+def may_match(text: Column, needs: tuple[str, ...], parts: Column | None = None) -> Column:
+    """Whether one of the literals is in the text. With ``parts`` of its tokens, the text is only looked through for
+    those whose word is in one of them."""
+    def one(literal: str) -> Column:
+        there = holds(text, literal)
+        return there if parts is None or not word_part(literal) else any_part(parts, (literal,)) & there
+
+    return any_of([one(n) for n in needs])
+
+
+def hits(rule: PatternRule, text: Column, probe: Column, flags: str = "", parts: Column | None = None) -> Column:
     """All matches of a rule in ``text``; null when the literal test on ``probe`` rules it out."""
-    return F.when(may_match(probe, rule.needs), find_all(text, rule.pattern, flags))
+    return F.when(may_match(probe, rule.needs, parts), find_all(text, rule.pattern, flags))
 
 
 def when_hit(

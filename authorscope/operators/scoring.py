@@ -13,8 +13,12 @@ from . import distribution as D
 from . import heuristics as H
 from . import predictability as P
 from .markers import ATTRIBUTION_RULES, attribution_signals, compact, marker_signals
+from .rules import word_parts
 from .token_statistics import token_statistics
 
+#: Parts of words the rules' literals need; where tokens are counted, those that tokens hold are told with the counts.
+PARTS = tuple(sorted(H.PARTS.union(*(word_parts(r.needs) for r in ATTRIBUTION_RULES))))
+
 
 def with_text_views(texts: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
     """Add the arrays the rules read. Columns no selected rule uses are pruned from the plan.
@@ -26,7 +30,7 @@ def with_text_views(texts: DataFrame, config: ScoringConfig = DEFAULT) -> DataFr
     if config.enable_heuristic:
         python["_md"] = H.markdown_lists(H.markdown_list_input(content, kind))
     if config.enable_statistical:
-        python["_tokens"] = token_statistics(T.tokens(F.lower(content), kind), config.ngram_sizes, config.min_tokens)
+        python["_told"] = token_statistics(T.tokens(F.lower(content), kind), config.ngram_sizes, config.min_tokens, PARTS)
     texts = texts.withColumns(python)
     if config.enable_predictability and config.scorer is not None:
         parts = T.chunks(content, config.max_chunk_size, config.min_chunk_size, config.max_chunks)
@@ -47,9 +51,9 @@ def view_columns(config: ScoringConfig) -> list[dict[str, Column]]:
             "_lines": F.when(is_code, T.lines(content)),
             "_docstrings": F.when(is_code, T.docstrings(content)),
             "_sentences": F.when(~is_code, T.sentences(content, 10)),
-            **({"_zipf": D.zipf_fit(F.col("_tokens"))} if config.enable_statistical else {}),
+            **({"_tokens": F.col("_told.statistics"), "_parts": F.col("_told.parts"), "_zipf": D.zipf_fit(F.col("_told.statistics"))} if config.enable_statistical else {}),
         },
-        {"_stripped": F.transform("_lines", T.strip)},
+        {"_stripped": F.transform("_lines", T.strip), "_sentence_sizes": F.transform("_sentences", T.word_count)},
         {
             "_comments": T.comments(F.col("_stripped")),
             "_filled": F.filter("_lines", lambda line: T.strip(line) != ""),
@@ -62,24 +66,27 @@ def token_views() -> D.TokenViews:
         tokens=F.col("_tokens"),
         zipf=F.col("_zipf"),
         sentences=F.col("_sentences"),
+        sentence_words=F.col("_sentence_sizes"),
         filled_lines=F.col("_filled"),
         content_type=F.col("content_type"),
     )
 
 
-def code_signals() -> list[Column]:
+def code_signals(parts: Column | None = None) -> list[Column]:
     content, stripped = F.col("content"), F.col("_stripped")
     return (
         H.comment_signals(F.col("_comments"), stripped)
         + H.structure_signals(F.col("_lines"), stripped)
-        + H.naming_signals(content)
+        + H.naming_signals(content, parts)
         + H.code_habit_signals(content, F.col("_low"), stripped)
         + H.docstring_signals(F.col("_docstrings"))
     )
 
 
-def documentation_signals() -> list[Column]:
-    return H.documentation_signals(F.col("content"), F.col("_low"), F.col("_sentences"), F.col("_md"))
+def documentation_signals(parts: Column | None = None) -> list[Column]:
+    return H.documentation_signals(
+        F.col("content"), F.col("_low"), F.col("_sentences"), F.col("_sentence_sizes"), F.col("_md"), parts
+    )
 
 
 def configuration_signals() -> list[Column]:
@@ -102,19 +109,20 @@ def signal_array(config: ScoringConfig = DEFAULT, *, markers: bool = True) -> Co
     """All signals of a text in emission order: attribution, marker file, heuristics, distribution, predictability."""
     content, kind = F.col("content"), F.col("content_type")
     none = F.array().cast(SIGNALS)
+    parts = F.col("_parts") if config.enable_statistical else None
     families = []
     if markers:
-        families.append(compact(attribution_signals(content, F.col("_low"))))
+        families.append(compact(attribution_signals(content, F.col("_low"), parts)))
         families.append(compact(marker_signals(F.col("path"))))
     if config.enable_heuristic:
         by_type = (
-            F.when(kind == "code", compact(code_signals()))
-            .when(kind == "documentation", compact(documentation_signals()))
+            F.when(kind == "code", compact(code_signals(parts)))
+            .when(kind == "documentation", compact(documentation_signals(parts)))
             .when(kind == "configuration", compact(configuration_signals()))
             .otherwise(none)
         )
         long_enough = F.length(content) >= config.min_content_length
-        families.append(F.when(long_enough, compact(H.phrase_signals(F.col("_low")))).otherwise(none))
+        families.append(F.when(long_enough, compact(H.phrase_signals(F.col("_low"), parts))).otherwise(none))
         families.append(F.when(long_enough, by_type).otherwise(none))
     if config.enable_statistical:
         families.append(

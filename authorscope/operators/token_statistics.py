@@ -30,6 +30,8 @@ STATISTICS = (
     "struct<n:int,distinct:int,burstiness:double,counts:array<int>,grams:array<array<string>>,"
     "windows:struct<n:double,mean:double,sd:double>>"
 )
+#: ``statistics`` and the asked ``parts`` that some token holds.
+TOLD = f"struct<statistics:{STATISTICS},parts:array<string>>"
 
 
 def lists(rows: np.ndarray, n_rows: int, values: pa.Array) -> pa.ListArray:
@@ -42,6 +44,28 @@ def places_in_row(rows: np.ndarray) -> np.ndarray:
     return np.arange(len(rows)) - np.searchsorted(rows, rows)
 
 
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """The order of keys, none negative, equal ones by position. Sorting key and position as one number is several times
+    faster than a stable sort of positions."""
+    bits = len(keys).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits > 63:
+        return np.argsort(keys, kind="stable")
+    packed = keys << bits | np.arange(len(keys))
+    packed.sort()
+    return packed & (1 << bits) - 1
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct key in order: its first position, then the number of each position's key, and the keys' counts."""
+    order = stable_order(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    begins = np.flatnonzero(new)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[begins], which, np.diff(np.append(begins, len(keys)))
+
+
 def doubles(values: np.ndarray, known: np.ndarray) -> pa.Array:
     return pa.array(values, pa.float64(), mask=~known)
 
@@ -85,11 +109,11 @@ def repeated_grams(ids: np.ndarray, rows: np.ndarray, tokens: pa.Array, n_rows:
     for n in range(1, max(sizes, default=0) + 1):
         if n == 1:
             at = np.flatnonzero(ids >= 0)
-            _, first, which, counts = np.unique(ids[at], return_index=True, return_inverse=True, return_counts=True)
+            first, which, counts = grouped(ids[at])
         else:
             at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & (rows[:-1] == rows[1:]))
             pairs = ids[at] * (int(ids.max(initial=0)) + 1) + ids[at + 1]
-            _, first, which, counts = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
+            first, which, counts = grouped(pairs)
         kept = counts >= REPEAT_COUNT
         ids = np.full(len(ids), -1)
         ids[at] = np.where(kept[which], (np.cumsum(kept) - 1)[which], -1)
@@ -104,21 +128,40 @@ def repeated_grams(ids: np.ndarray, rows: np.ndarray, tokens: pa.Array, n_rows:
     return out
 
 
+def parts_held(words: pa.Array, codes: np.ndarray, rows: np.ndarray, n_rows: int, parts: tuple[str, ...]) -> pa.ListArray:
+    """Those of ``parts`` that are in a token of each text, in their order. ``words`` are the distinct tokens in order;
+    ``codes`` numbers those of ``rows``, each once a row. Only words are searched, which are few beside the tokens."""
+    held = np.zeros((len(parts), len(words)), bool)
+    for i, part in enumerate(parts):
+        held[i] = pc.match_substring(words, part).to_numpy(zero_copy_only=False)
+    telling = held.any(axis=0)
+    at = np.flatnonzero(telling[codes])
+    which, use = np.nonzero(held[:, codes[at]])
+    pairs = np.unique(rows[at[use]] * max(len(parts), 1) + which)
+    of, which = np.divmod(pairs, max(len(parts), 1))
+    return lists(of, n_rows, pa.array(parts, pa.string()).take(pa.array(which)))
+
+
 def statistics_of(texts: pa.Array, sizes: tuple[int, ...], least: int) -> pa.Array:
     """A ``STATISTICS`` struct for each list of tokens, null for lists of fewer than ``least``."""
+    return told_of(texts, sizes, least, ()).field("statistics")
+
+
+def told_of(texts: pa.Array, sizes: tuple[int, ...], least: int, parts: tuple[str, ...]) -> pa.StructArray:
+    """A ``TOLD`` struct for each list of tokens; the ``parts`` are told of short lists too."""
     lengths = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     n_rows, tokens = len(lengths), texts.flatten().cast(pa.string())
     rows, starts = np.repeat(np.arange(n_rows), lengths), np.cumsum(lengths) - lengths
     encoded = tokens.dictionary_encode()
     words = encoded.dictionary
-    rank = np.empty(len(words), np.int64)
-    rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
+    rank, in_order = np.empty(len(words), np.int64), pc.sort_indices(words)
+    rank[in_order.to_numpy()] = np.arange(len(words))
     codes = rank[encoded.indices.to_numpy(zero_copy_only=False)]
     long_enough = np.empty(len(words), bool)
     long_enough[rank] = pc.utf8_length(words).to_numpy() > 2
 
     key = rows * max(len(words), 1) + codes
-    order = np.argsort(key, kind="stable")
+    order = stable_order(key)
     same = np.zeros(len(key), bool)
     same[1:] = key[order[1:]] == key[order[:-1]]
     begins = np.flatnonzero(~same)
@@ -137,8 +180,8 @@ def statistics_of(texts: pa.Array, sizes: tuple[int, ...], least: int) -> pa.Arr
     ids = np.empty(len(key), np.int64)
     ids[order] = np.where(repeated, np.cumsum(repeated) - 1, -1)[run]
     grams = repeated_grams(ids, rows, tokens, n_rows, sizes)
-    parts = [grams[n] for n in sizes]
-    told = pa.concat_arrays(parts).take(pa.array(np.arange(n_rows * len(sizes)).reshape(len(sizes), n_rows).T.ravel())) if parts else pa.array([], pa.list_(pa.string()))
+    by_size = [grams[n] for n in sizes]
+    told = pa.concat_arrays(by_size).take(pa.array(np.arange(n_rows * len(sizes)).reshape(len(sizes), n_rows).T.ravel())) if by_size else pa.array([], pa.list_(pa.string()))
     columns = {
         "n": pa.array(lengths, pa.int32()),
         "distinct": pa.array(np.bincount(run_rows, minlength=n_rows), pa.int32()),
@@ -147,7 +190,9 @@ def statistics_of(texts: pa.Array, sizes: tuple[int, ...], least: int) -> pa.Arr
         "grams": pa.ListArray.from_arrays(pa.array(np.arange(n_rows + 1) * len(sizes), pa.int32()), told),
         "windows": window_moments(lengths, starts, earlier),
     }
-    return pa.StructArray.from_arrays(list(columns.values()), list(columns), mask=pa.array(lengths < least))
+    statistics = pa.StructArray.from_arrays(list(columns.values()), list(columns), mask=pa.array(lengths < least))
+    held = parts_held(words.take(in_order), run_codes, run_rows, n_rows, parts)
+    return pa.StructArray.from_arrays([statistics, held], ["statistics", "parts"])
 
 
 def in_pieces(texts: pa.Array) -> list[pa.Array]:
@@ -161,14 +206,14 @@ def in_pieces(texts: pa.Array) -> list[pa.Array]:
 
 
 @functools.cache
-def _statistics(sizes: tuple[int, ...], least: int) -> Callable:
+def _told(sizes: tuple[int, ...], least: int, parts: tuple[str, ...]) -> Callable:
     def of(texts: pa.Array) -> pa.Array:
-        return pa.concat_arrays([statistics_of(piece, sizes, least) for piece in in_pieces(texts)])
+        return pa.concat_arrays([told_of(piece, sizes, least, parts) for piece in in_pieces(texts)])
 
     of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(of, STATISTICS)
+    return F.arrow_udf(of, TOLD)
 
 
-def token_statistics(tokens: Column, sizes: tuple[int, ...], least: int) -> Column:
-    """``STATISTICS`` of an array of tokens; null below ``least`` of them."""
-    return _statistics(tuple(sizes), least)(tokens)
+def token_statistics(tokens: Column, sizes: tuple[int, ...], least: int, parts: tuple[str, ...] = ()) -> Column:
+    """``TOLD`` of an array of tokens; ``statistics`` are null below ``least`` of them."""
+    return _told(tuple(sizes), least, tuple(parts))(tokens)

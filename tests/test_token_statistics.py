@@ -2,15 +2,21 @@
 
 import math
 import random
+import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from authorscope import score_files
+from authorscope.functions.regex import SPACE, WORD, first_letters
+from authorscope.operators import heuristics as H
 from authorscope.operators import token_statistics as TS
-from authorscope.operators.rules import holds
+from authorscope.operators.markers import ATTRIBUTION_RULES, attribution_signals, compact
+from authorscope.operators.rules import holds, word_part
+from authorscope.operators.scoring import PARTS
 from authorscope.schema import FILES_SCHEMA
 
 
@@ -80,3 +86,54 @@ def test_literal_from_its_rarest_character(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[holds(F.col("t"), x).alias(str(i)) for i, x in enumerate(literals)]).collect()
     for r in rows:
         assert list(r)[1:] == [None if r.t is None else x in r.t for x in literals]
+
+
+def test_parts_that_tokens_hold(spark):
+    """Told of every list, also of those without statistics; a rule's literals leave no match out."""
+    texts = [None, [], ["let", "me"], ["outlet"], ["first", "firstly", "key"] * 20, ["é", "🚀"], ["x"] * 60]
+    told = TS.told_of(pa.array(texts, pa.list_(pa.string())), (2,), 50, ("first", "let", "me", "key"))
+    assert told.field("parts").to_pylist() == [[], [], ["let", "me"], ["let"], ["first", "key"], [], []]
+    assert [s and s["n"] for s in told.field("statistics").to_pylist()] == [None, None, None, None, 60, None, 60]
+    assert TS.told_of(pa.array([["a"]]), (), 1, ()).field("parts").to_pylist() == [[]]
+    needs = {n for r in (*ATTRIBUTION_RULES, *H.PHRASE_RULES, *H.PROSE_RULES) for n in r.needs}
+    for literal in needs - {"🤖", "✨"}:
+        assert word_part(literal) in PARTS and any(word_part(literal) in t for t in re.findall(r"\w+", f"x{literal}x"))
+
+
+def test_order_of_large_and_equal_keys():
+    draw = random.Random(3)
+    for top in (1, 5, 1 << 40, (1 << 62) - 1):
+        keys = np.array([draw.randint(0, top) for _ in range(500)])
+        assert (TS.stable_order(keys) == np.argsort(keys, kind="stable")).all()
+        want = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        assert all((a == b).all() for a, b in zip(TS.grouped(keys), want[1:]))
+    assert [len(x) for x in TS.grouped(np.array([], np.int64))] == [0, 0, 0]
+
+
+def test_texts_are_searched_for_what_their_tokens_hold(spark):
+    """The same signals with and without the tokens' parts, and no literal is looked for where its word is missing."""
+    text = "let me show it. Generated with Claude Code. Feel free to use this. 🤖 Generated with [Claude. " * 3
+    rows = spark.createDataFrame([("d.md", text), ("c.py", text + " isValid" * 12), ("e.md", "nothing to see here " * 9)], "path string, content string")
+    rows = rows.withColumns({"low": F.lower("content"), "parts": F.array(*[F.when(F.lower("content").contains(p), p) for p in PARTS])})
+    for make in (attribution_signals, lambda c, low, *p: H.phrase_signals(low, *p), lambda c, low, *p: H.naming_signals(c, *p)):
+        plain, told = (compact(make(F.col("content"), F.col("low"), *p)) for p in ((), (F.array_compact("parts"),)))
+        assert rows.where(~plain.eqNullSafe(told)).count() == 0
+    none = F.array().cast("array<string>")
+    assert [len(r[0]) for r in rows.select(compact(H.phrase_signals(F.col("low"), none))).collect()] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("pattern, letters", [
+    (r"let me", "l"), (r"(?:a|an|the) x", "at"), (r"(?:A-b|c\w) x", "Ac"), (r"(?:a|b)?c", ""), (r"x?y", ""), (r"x*", ""),
+    (r"(?:x?a|b)", ""), (r"[a-z]+", ""), (r"(?:(?:a|b)c|d)", ""), (r"(?:|a)b", ""), (r"x+y", "x"), (r"(?:a|b)+c", "ab"),
+])
+def test_first_letters(pattern, letters):
+    assert first_letters(pattern) == letters
+
+
+def test_classes_hold_the_same_characters(spark):
+    """Against the categories alone, for every character of the first planes, with and without case."""
+    rows = spark.range(0x30000).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    for flags in ("", "(?diu)"):
+        for new, plain in ((WORD, r"_\p{L}\p{N}"), (SPACE, r"\s\x0b\x1c-\x1f\x85\p{Z}")):
+            for shape in ("[{}]", "[^{}]", "[{}-]", "(?<![{}])\\z"):
+                assert rows.where(F.col("c").rlike(flags + shape.format(new)) != F.col("c").rlike(flags + shape.format(plain))).count() == 0
