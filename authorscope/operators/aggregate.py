@@ -39,6 +39,17 @@ def type_totals(file_scores: DataFrame) -> DataFrame:
     )
 
 
+def file_totals(scorable: DataFrame) -> DataFrame:
+    """Number of files per repo and of their lines; sums of :func:`type_totals`, from rows without scores."""
+    return scorable.groupBy("repo").agg(F.count("*").alias("total_files"), F.sum(F.col("line_count").cast("long")).alias("total_lines"))
+
+
+def with_counts(repos: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every repo with its counts, 0 where it has none."""
+    names = [c for c in counts.columns if c != "repo"]
+    return repos.join(counts, "repo", "left").select("repo", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+
+
 def category_confidence(files: Column, spread: Column, config: ScoringConfig = DEFAULT) -> Column:
     agreement = F.lit(1.0) - F.least(F.lit(1.0), spread / 0.3)
     file_part = F.least(F.lit(1.0), files / 10)

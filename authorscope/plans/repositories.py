@@ -26,8 +26,11 @@ class RepositoryScores:
 
 def score_files(files: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
     """Score each eligible file. Map-only, so it also runs on a streaming table of files."""
-    rows = intake.eligible(intake.classified(files.where(F.col("content").isNotNull())))
-    return score_rows(rows, ["repo", "path"], config)
+    return score_rows(_scorable(files), ["repo", "path"], config)
+
+
+def _scorable(files: DataFrame) -> DataFrame:
+    return intake.eligible(intake.classified(files.where(F.col("content").isNotNull())))
 
 
 def score_texts(
@@ -59,6 +62,26 @@ def repository_signals(files: DataFrame, commits: DataFrame | None = None, confi
     return _repository_signals(intake.cap_files(intake.select_files(files, config), config), commits, config)
 
 
+def repository_totals(files: DataFrame, commits: DataFrame | None = None, config: ScoringConfig = DEFAULT) -> DataFrame:
+    """``total_files`` and ``total_lines`` of :func:`score_repositories` alone. They follow from which files are scored,
+    not from their scores, so no text is."""
+    kept = intake.cap_files(intake.select_files(files, config), config)
+    return aggregate.with_counts(_repositories(files, commits, config), aggregate.file_totals(_scorable(kept)))
+
+
+def attributed_commits(files: DataFrame, commits: DataFrame | None = None, config: ScoringConfig = DEFAULT) -> DataFrame:
+    """``ai_attributed_commits`` of :func:`score_repositories` alone, from the repo-level signals."""
+    found = aggregate.commit_totals(repository_signals(files, commits, config)).select("repo", "ai_attributed_commits")
+    return aggregate.with_counts(_repositories(files, commits, config), found)
+
+
+def _repositories(files: DataFrame, commits: DataFrame | None, config: ScoringConfig) -> DataFrame:
+    repos = files.select("repo").distinct()
+    if commits is None or not config.enable_commit_analysis:
+        return repos
+    return repos.union(commits.select("repo").distinct()).distinct()
+
+
 def _repository_signals(kept: DataFrame, commits: DataFrame | None, config: ScoringConfig) -> DataFrame:
     marks = durable(markers.marker_rows(kept), "marker-rows")
     history = None
@@ -78,9 +101,7 @@ def score_repositories(
     kept = intake.cap_files(intake.select_files(files, config), config)
     file_scores = durable(score_files(kept, config), "file-scores")
     signals = _repository_signals(kept, commits, config)
-    repos = files.select("repo").distinct()
-    if commits is not None and config.enable_commit_analysis:
-        repos = repos.union(commits.select("repo").distinct()).distinct()
+    repos = _repositories(files, commits, config)
     return RepositoryScores(
         file_scores=file_scores,
         signals=signals,

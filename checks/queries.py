@@ -16,7 +16,7 @@ from authorscope.operators import commits as C
 from authorscope.operators import intake, markers
 from authorscope.operators import predictability as P
 from authorscope.operators.scoring import rule_catalog, weighted_mean, with_text_views
-from authorscope.plans.repositories import repository_signals
+from authorscope.plans.repositories import attributed_commits, repository_signals, repository_totals
 from authorscope.schema import confidence_band, repo_verdict, risk_band, snippet_verdict
 from authorscope.sinks import reports as R
 
@@ -1008,12 +1008,12 @@ register(
 )
 register(
     "i13_attributed_commit_signals",
-    repositories(lambda r: r.summary.select("repo", "ai_attributed_commits")),
+    in_utc(lambda s, d: attributed_commits(corpus.files(s, d), corpus.source_commits(s, d), UNCAPPED)),
     source_sql("SELECT repo, nc AS ai_attributed_commits FROM rsum"),
 )
 register(
     "i14_repo_totals",
-    repositories(lambda r: r.summary.select("repo", "total_files", "total_lines")),
+    in_utc(lambda s, d: repository_totals(corpus.files(s, d), corpus.source_commits(s, d), UNCAPPED)),
     source_sql("SELECT repo, total_files, total_lines FROM rsum"),
 )
 

@@ -452,3 +452,26 @@ def test_commit_panel_scores_no_text(spark, monkeypatch):
     whole = score_repositories(files).signals.select("repo", "phase", "path", "ord", "s.name")
     assert sorted(found.collect()) == sorted(whole.collect()) and found.count() > 2
     assert written[:2] == ["marker-rows", "repo-signals"] and written[2] == "file-scores"
+
+
+def test_counts_without_scores(spark, monkeypatch):
+    """Equal to the summary, for files that are not scored, repos without files and repos without a name too."""
+    from authorscope.plans import repositories as plans
+
+    written = []
+    monkeypatch.setattr(plans, "durable", lambda df, name: written.append(name) or durable(df, name))
+    text = "Generated with Claude Code\n" * 6
+    files = spark.createDataFrame(
+        [("r", "CLAUDE.md", 3, text), ("r", "a.py", 1, None), ("r", "a.md", 1, "a\n" * 9), ("r", "a.md", 1, "a\n" * 9), ("s", "x.unknown", 1, text),
+         ("s", "node_modules/a.js", 1, text), (None, "b.md", 1, text)], FILES_SCHEMA,
+    )
+    made = corpus.source_commits(spark, SF).withColumn("repo", F.when(F.col("repo") == "src1", "r").when(F.col("repo") != "src2", F.col("repo")))
+    for config in (ScoringConfig(), ScoringConfig(max_files=1), ScoringConfig(enable_commit_analysis=False)):
+        written.clear()
+        totals, found = plans.repository_totals(files, made, config), plans.attributed_commits(files, made, config)
+        assert "file-scores" not in written and "ArrowEvalPython" not in plan_of(totals) + plan_of(found)
+        whole = score_repositories(files, made, config).summary
+        for got in (totals, found):
+            want = whole.select(got.columns)
+            assert got.dtypes == want.dtypes and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+        assert totals.where("repo = 'r'").first()["total_files"] == (1 if config.max_files else 3) and found.count() == whole.count()
