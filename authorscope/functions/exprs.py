@@ -82,15 +82,17 @@ def count_moments(counts: Column) -> Column:
             total(xs, lambda x: as_double(x) * as_double(x)).alias("q"),
         )
 
-    return let(
-        let(counts, sums),
-        lambda m: F.when(
-            m["n"] > 0,
-            F.struct(
-                m["n"].alias("n"),
-                (m["s"] / m["n"]).alias("mean"),
-                ((m["n"] * m["q"] - m["s"] * m["s"]) / (m["n"] * m["n"])).alias("var"),
-            ),
+    return let(let(counts, sums), moments_of_sums)
+
+
+def moments_of_sums(m: Column) -> Column:
+    """The same of ``struct(n, s, q)``: how many, their sum and the sum of their squares."""
+    return F.when(
+        m["n"] > 0,
+        F.struct(
+            m["n"].alias("n"),
+            (m["s"] / m["n"]).alias("mean"),
+            ((m["n"] * m["q"] - m["s"] * m["s"]) / (m["n"] * m["n"])).alias("var"),
         ),
     )
 
@@ -158,25 +160,3 @@ def text_literal(value: Column) -> Column:
     return F.when(has_single & ~has_double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(
         F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
     )
-
-
-def most_common(values: Column, k: int) -> Column:
-    """The ``k`` most frequent values as (neg count, first index, value); ties go to the earlier first use."""
-    def rank(vs: Column) -> Column:
-        return F.slice(
-            F.sort_array(
-                F.transform(
-                    run_bounds(vs, lambda v: v["value"]),
-                    lambda r: F.struct(
-                        (r["b"] - r["e"]).alias("neg"),
-                        F.get(vs, r["b"])["i"].alias("i"),
-                        F.get(vs, r["b"])["value"].alias("value"),
-                    ),
-                )
-            ),
-            1,
-            k,
-        )
-
-    indexed = F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("value"), i.alias("i"))))
-    return let(indexed, rank)

@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 from ..config import ScoringConfig
 from ..functions import text as T
 from ..functions.exprs import (
-    count_moments,
     entropy_of_counts,
     fixed,
     int_list,
     let,
-    most_common,
+    moments_of_sums,
     percent,
     run_counts,
     text_literal,
@@ -83,12 +82,12 @@ def normalised_line_entropy(filled_lines: Column) -> Column:
     )
 
 
-def sentence_variation(words: Column) -> Column:
-    """``struct(mean, sd, cv)`` of ``words``, those of each sentence; null below five sentences."""
+def sentence_variation(sentences: Column) -> Column:
+    """``struct(mean, sd, cv)`` of the words of sentences; null below five sentences."""
     return F.when(
-        F.size(words) >= 5,
+        sentences["n"] >= 5,
         let(
-            count_moments(words),
+            moments_of_sums(sentences),
             lambda m: F.struct(
                 m["mean"].alias("mean"),
                 F.sqrt(m["var"]).alias("sd"),
@@ -98,19 +97,14 @@ def sentence_variation(words: Column) -> Column:
     )
 
 
-def leading_words(sentences: Column) -> Column:
-    """Up to three most frequent lower-cased first words; null below five sentences."""
-    return F.when(F.size(sentences) >= 5, most_common(F.transform(sentences, T.first_word), 3))
-
-
 @dataclass(frozen=True)
 class TokenViews:
-    """Columns the distribution rules read. ``tokens`` is what :mod:`token_statistics` tells, null below the guard."""
+    """Columns the distribution rules read. ``tokens`` is what :mod:`token_statistics` tells, null below the guard;
+    ``sentences`` what :mod:`text_bytes` tells."""
 
     tokens: Column
     zipf: Column
     sentences: Column
-    sentence_words: Column
     filled_lines: Column
     content_type: Column
 
@@ -285,8 +279,8 @@ def code_line_signals(filled_lines: Column) -> list[Column]:
     ]
 
 
-def prose_signals(sentences: Column, words: Column) -> list[Column]:
-    """Sentences are stripped and longer than ten characters; ``words`` counts those of each."""
+def prose_signals(sentences: Column) -> list[Column]:
+    """Sentences are stripped and longer than ten characters."""
     def even(m: Column) -> Column:
         return F.when(
             m["cv"] < 0.35,
@@ -328,11 +322,8 @@ def prose_signals(sentences: Column, words: Column) -> list[Column]:
             ),
         )
 
-    top = F.when(
-        F.size(sentences) >= 5,
-        F.struct(leading_words(sentences).alias("top"), F.size(sentences).alias("n")),
-    )
-    return [let(sentence_variation(words), even), let(top, repetitive)]
+    top = F.when(sentences["n"] >= 5, F.struct(sentences["top"].alias("top"), sentences["n"].alias("n")))
+    return [let(sentence_variation(sentences), even), let(top, repetitive)]
 
 
 def distribution_signals(v: TokenViews, config: ScoringConfig) -> list[Column]:
@@ -347,5 +338,5 @@ def distribution_signals(v: TokenViews, config: ScoringConfig) -> list[Column]:
     out += vocabulary_signals(v.tokens)
     is_code = v.content_type == "code"
     out += [F.when(enough & is_code, s) for s in code_line_signals(v.filled_lines)]
-    out += [F.when(enough & ~is_code, s) for s in prose_signals(v.sentences, v.sentence_words)]
+    out += [F.when(enough & ~is_code, s) for s in prose_signals(v.sentences)]
     return out

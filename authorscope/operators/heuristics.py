@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as T
-from ..functions.exprs import any_of, count_moments, fixed, int_list, let, percent
+from ..functions.exprs import any_of, fixed, int_list, let, moments_of_sums, percent
 from ..functions.regex import java_regex
 from ..schema import signal
 from .rules import PatternRule, any_part, capped, first, hits, instances, when_hit, word_parts
@@ -539,9 +539,9 @@ def docstring_signals(docstrings: Column) -> list[Column]:
 
 
 def documentation_signals(
-    content: Column, lowered: Column, sentences: Column, words: Column, md_lists: Column, parts: Column | None = None
+    content: Column, lowered: Column, long_sentences: Column, md_lists: Column, parts: Column | None = None
 ) -> list[Column]:
-    """``words`` counts those of each sentence; ``md_lists`` is the struct made by :func:`markdown_lists`."""
+    """``long_sentences`` are the sums over words of long sentences; ``md_lists`` is the struct made by :func:`markdown_lists`."""
     counts = [
         (
             "E36", "AI-style section headers", 0.4,
@@ -578,8 +578,8 @@ def documentation_signals(
         for rule in PROSE_RULES
     ]
 
-    def uniform(lengths: Column) -> Column:
-        stats = F.when(F.size(lengths) >= 5, count_moments(lengths))
+    def uniform(sums: Column) -> Column:
+        stats = F.when(sums["n"] >= 5, moments_of_sums(sums))
         return let(
             stats,
             lambda st: F.when(
@@ -600,10 +600,7 @@ def documentation_signals(
             ),
         )
 
-    lengths = F.filter(
-        F.transform(sentences, lambda s, i: F.when(F.length(s) > 20, F.get(words, i))), lambda n: n.isNotNull()
-    )
-    out.append(let(lengths, uniform))
+    out.append(let(long_sentences, uniform))
     return out
 
 

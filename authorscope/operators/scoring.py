@@ -14,6 +14,7 @@ from . import heuristics as H
 from . import predictability as P
 from .markers import ATTRIBUTION_RULES, attribution_signals, compact, marker_signals
 from .rules import word_parts
+from .text_bytes import sentences, unknown_characters
 from .token_statistics import token_statistics
 
 #: Parts of words the rules' literals need; where tokens are counted, those that tokens hold are told with the counts.
@@ -25,12 +26,15 @@ def with_text_views(texts: DataFrame, config: ScoringConfig = DEFAULT) -> DataFr
 
     Python columns come first, while rows are narrow: only the text a Python rule needs crosses over.
     """
-    content, kind = F.col("content"), F.col("content_type")
-    python = {}
+    texts = texts.withColumn("_low", F.lower("content"))
+    content, kind, low = F.col("content"), F.col("content_type"), F.col("_low")
+    code, python = F.coalesce(kind == "code", F.lit(False)), {}
     if config.enable_heuristic:
         python["_md"] = H.markdown_lists(H.markdown_list_input(content, kind))
     if config.enable_statistical:
-        python["_told"] = token_statistics(T.tokens(F.lower(content), kind), config.ngram_sizes, config.min_tokens, PARTS)
+        python["_told"] = token_statistics(low, code, unknown_characters(low), config.ngram_sizes, config.min_tokens, PARTS)
+    if config.enable_heuristic or config.enable_statistical:
+        python["_spoken"] = sentences(low, content, code)
     texts = texts.withColumns(python)
     if config.enable_predictability and config.scorer is not None:
         parts = T.chunks(content, config.max_chunk_size, config.min_chunk_size, config.max_chunks)
@@ -47,13 +51,11 @@ def view_columns(config: ScoringConfig) -> list[dict[str, Column]]:
     is_code = kind == "code"
     return [
         {
-            "_low": F.lower(content),
             "_lines": F.when(is_code, T.lines(content)),
             "_docstrings": F.when(is_code, T.docstrings(content)),
-            "_sentences": F.when(~is_code, T.sentences(content, 10)),
             **({"_tokens": F.col("_told.statistics"), "_parts": F.col("_told.parts"), "_zipf": D.zipf_fit(F.col("_told.statistics"))} if config.enable_statistical else {}),
         },
-        {"_stripped": F.transform("_lines", T.strip), "_sentence_sizes": F.transform("_sentences", T.word_count)},
+        {"_stripped": F.transform("_lines", T.strip)},
         {
             "_comments": T.comments(F.col("_stripped")),
             "_filled": F.filter("_lines", lambda line: T.strip(line) != ""),
@@ -65,8 +67,7 @@ def token_views() -> D.TokenViews:
     return D.TokenViews(
         tokens=F.col("_tokens"),
         zipf=F.col("_zipf"),
-        sentences=F.col("_sentences"),
-        sentence_words=F.col("_sentence_sizes"),
+        sentences=F.col("_spoken"),
         filled_lines=F.col("_filled"),
         content_type=F.col("content_type"),
     )
@@ -84,9 +85,7 @@ def code_signals(parts: Column | None = None) -> list[Column]:
 
 
 def documentation_signals(parts: Column | None = None) -> list[Column]:
-    return H.documentation_signals(
-        F.col("content"), F.col("_low"), F.col("_sentences"), F.col("_sentence_sizes"), F.col("_md"), parts
-    )
+    return H.documentation_signals(F.col("content"), F.col("_low"), F.col("_spoken.long"), F.col("_md"), parts)
 
 
 def configuration_signals() -> list[Column]:

@@ -1,6 +1,6 @@
 """What the distribution rules read of the tokens of a text: numpy over the tokens of all texts of an Arrow batch.
 
-The tokens of a batch are one flat array of numbers, a token's rank in the order of its bytes. One sort by (text, token,
+Texts are cut into tokens here (:mod:`text_bytes`). The tokens of a batch are one flat array of numbers, a token's rank in the order of its bytes. One sort by (text, token,
 position) gives counts, gaps and earlier uses; nothing loops over tokens in Python, and texts never leave their task.
 """
 
@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text_bytes import bytes_of, in_bytes, token_lists
+
 # ---- fixed values ----
 MIN_FREQUENT = 10
 ZIPF_RANKS = 50
@@ -128,12 +130,45 @@ def repeated_grams(ids: np.ndarray, rows: np.ndarray, tokens: pa.Array, n_rows:
     return out
 
 
+def words_with(words: pa.Array, parts: tuple[str, ...]) -> list[np.ndarray]:
+    """The numbers of the words that hold each part. All words are looked through as one text, once for the first bytes of
+    all parts; what is found across the border of two does not count."""
+    data, borders = bytes_of(words)
+    padded = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.uint16)
+    pairs, encoded = padded[:-2] | padded[1:-1] << 8, [np.frombuffer(p.encode(), np.uint8) for p in parts]
+    # Few places begin with the first three bytes of a part; five bits of two and six of the third tell them well enough.
+    telling = (padded[:-2] & 31) << 11 | (padded[1:-1] & 31) << 6 | (padded[2:] & 63)
+    wanted = np.zeros(1 << 16, bool)
+    for part in encoded:
+        x, y, z = (int(b) for b in (*part[:3], -1, -1)[:3])
+        ys, zs = ([b & m] if b >= 0 else np.arange(m + 1) for b, m in ((y, 31), (z, 63)))
+        wanted[((x & 31) << 11) + (np.array(ys)[:, None] << 6) + np.array(zs)] = True
+    places = np.flatnonzero(wanted[telling])
+    # By their first two bytes, the places that a part may have are neighbours.
+    begin = pairs[places]
+    order = stable_order(begin.astype(np.int64))
+    places, begin = places[order], begin[order]
+    out = []
+    for part in encoded:
+        if len(part) > 1:
+            key = int(part[0]) | int(part[1]) << 8
+            at = places[np.searchsorted(begin, key) : np.searchsorted(begin, key, side="right")]
+        else:
+            at = np.flatnonzero(data == part[0])
+        at = at[at + len(part) <= len(data)]
+        for i in range(2, len(part)):
+            at = at[data[at + i] == part[i]]
+        word = np.searchsorted(borders, at, side="right") - 1
+        out.append(np.unique(word[at + len(part) <= borders[word + 1]]))
+    return out
+
+
 def parts_held(words: pa.Array, codes: np.ndarray, rows: np.ndarray, n_rows: int, parts: tuple[str, ...]) -> pa.ListArray:
     """Those of ``parts`` that are in a token of each text, in their order. ``words`` are the distinct tokens in order;
     ``codes`` numbers those of ``rows``, each once a row. Only words are searched, which are few beside the tokens."""
     held = np.zeros((len(parts), len(words)), bool)
-    for i, part in enumerate(parts):
-        held[i] = pc.match_substring(words, part).to_numpy(zero_copy_only=False)
+    for i, found in enumerate(words_with(words, parts)):
+        held[i, found] = True
     telling = held.any(axis=0)
     at = np.flatnonzero(telling[codes])
     which, use = np.nonzero(held[:, codes[at]])
@@ -207,13 +242,15 @@ def in_pieces(texts: pa.Array) -> list[pa.Array]:
 
 @functools.cache
 def _told(sizes: tuple[int, ...], least: int, parts: tuple[str, ...]) -> Callable:
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.concat_arrays([told_of(piece, sizes, least, parts) for piece in in_pieces(texts)])
+    def of(texts: pa.Array, code: pa.Array, unknown: pa.Array) -> pa.Array:
+        code, characters = code.to_numpy(zero_copy_only=False), "".join(unknown.drop_null().unique().to_pylist())
+        pieces = [token_lists(texts.slice(a, z - a), code[a:z], characters) for a, z in in_bytes(texts) or [(0, 0)]]
+        return pa.concat_arrays([told_of(piece, sizes, least, parts) for lists_of in pieces for piece in in_pieces(lists_of)])
 
-    of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    of.__annotations__ = {"texts": pa.Array, "code": pa.Array, "unknown": pa.Array, "return": pa.Array}
     return F.arrow_udf(of, TOLD)
 
 
-def token_statistics(tokens: Column, sizes: tuple[int, ...], least: int, parts: tuple[str, ...] = ()) -> Column:
-    """``TOLD`` of an array of tokens; ``statistics`` are null below ``least`` of them."""
-    return _told(tuple(sizes), least, tuple(parts))(tokens)
+def token_statistics(lowered: Column, code: Column, unknown: Column, sizes: tuple[int, ...], least: int, parts: tuple[str, ...] = ()) -> Column:
+    """``TOLD`` of the tokens of a text; ``statistics`` are null below ``least`` of them."""
+    return _told(tuple(sizes), least, tuple(parts))(lowered, code, unknown)
