@@ -44,8 +44,13 @@ def lines(content: Column) -> Column:
 
 
 def line_count(content: Column) -> Column:
-    """Number of line feeds plus one, without building the array."""
-    return F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
+    """Number of line feeds plus one, without building the array. A line feed is one byte, and bytes need no counting."""
+    return F.octet_length(content) - F.octet_length(F.replace(content, F.lit("\n"), F.lit(""))) + 1
+
+
+def has_length(content: Column, least: int) -> Column:
+    """At least so many characters. They have four bytes at most, so only those of short texts are counted."""
+    return (F.octet_length(content) >= 4 * least) | (F.length(content) >= least)
 
 
 def sentences(content: Column, longer_than: int) -> Column:

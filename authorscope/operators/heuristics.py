@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions.exprs import any_of, fixed, int_list, let, moments_of_sums, percent
 from ..functions.regex import java_regex
 from ..schema import signal
-from .rules import PatternRule, any_part, capped, first, hits, instances, when_hit, word_parts
+from .rules import PatternRule, any_part, capped, first, hits, instances, may_match, when_hit, word_parts
 
 # ---- fixed values: phrase rules (id, pattern on lower-cased text, name, weight, literals) ----
 # In the order in which signals are told; the ids E10 to E14 and E22 follow topics instead.
@@ -140,10 +140,19 @@ PLACEHOLDERS = r"[\"'](?:your[-_]?|my[-_]?|example[-_]?|sample[-_]?)[\w-]+[\"']"
 # ---- end of fixed values ----
 
 PHRASE_RULES = tuple(PatternRule(rule_id, name, pattern, weight, needs) for rule_id, pattern, name, weight, needs in PHRASE_TABLE)
-#: The words each of the textbook patterns needs, lower-cased.
-TEXTBOOK_WORDS = tuple(tuple(re.search(r"\(\?:([\w|]+)\)", p)[1].lower().split("|")) for p in TEXTBOOK_NAMES)
-#: Parts of tokens that rules ask for.
-PARTS = set().union(*(word_parts(r.needs) for r in (*PHRASE_RULES, *PROSE_RULES)), *map(word_parts, TEXTBOOK_WORDS))
+#: The words with which a token must begin for each of the textbook patterns, lower-cased.
+TEXTBOOK_WORDS = tuple(tuple(f" {w}" for w in re.search(r"\(\?:([\w|]+)\)", p)[1].lower().split("|")) for p in TEXTBOOK_NAMES)
+#: Of lowered text. Avoid i and s, whose non-ASCII case variants stay other letters there: FIXME by "xme:".
+TODO_NEEDS = ("todo:", "xme:", "hack:", "note:", "xxx:")
+PLACEHOLDER_NEEDS = ("your", "my", "ample")
+#: The token that opens a try block.
+TRY_NEEDS = (" try ",)
+#: Literals that the rules ask for.
+LITERALS = {n for r in (*PHRASE_RULES, *PROSE_RULES) for n in r.needs}.union(
+    *TEXTBOOK_WORDS, (lit.lower() for _, lit in DEBUG_CALLS), TODO_NEEDS, PLACEHOLDER_NEEDS, TRY_NEEDS, ("_",)
+)
+#: The words in them.
+PARTS = word_parts(tuple(LITERALS))
 
 
 def count_badges(text: str) -> int:
@@ -399,7 +408,8 @@ def _total_matches(content: Column, patterns: list[tuple[str, Column]]) -> Colum
 
 def naming_signals(content: Column, parts: Column | None = None) -> list[Column]:
     two_capitals = content.rlike("[A-Z][a-z]+[A-Z]")
-    verbose = _total_matches(content, [(VERBOSE_NAMES[0], two_capitals), (VERBOSE_NAMES[1], content.contains("_"))])
+    joined = content.contains("_") if parts is None else any_part(parts, ("_",))
+    verbose = _total_matches(content, [(VERBOSE_NAMES[0], two_capitals), (VERBOSE_NAMES[1], joined)])
     textbook = _total_matches(
         content, [(p, F.lit(True) if parts is None else any_part(parts, words)) for p, words in zip(TEXTBOOK_NAMES, TEXTBOOK_WORDS, strict=True)]
     )
@@ -433,8 +443,11 @@ def naming_signals(content: Column, parts: Column | None = None) -> list[Column]
     return [let(verbose, too_verbose), let(textbook, too_generic)]
 
 
-def code_habit_signals(content: Column, lowered: Column, stripped: Column) -> list[Column]:
-    tries = F.when(content.contains("try"), T.count_matches(content, TRY_BLOCK)).otherwise(0)
+def code_habit_signals(content: Column, lowered: Column, stripped: Column, parts: Column | None = None) -> list[Column]:
+    def there(literal: str, told: str) -> Column:
+        return content.contains(literal) if parts is None else any_part(parts, (told,)) & content.contains(literal)
+
+    tries = F.when(there("try", *TRY_NEEDS), T.count_matches(content, TRY_BLOCK)).otherwise(0)
     filled = F.size(F.filter(stripped, lambda s: s != ""))
 
     def error_handling(r: Column) -> Column:
@@ -490,9 +503,8 @@ def code_habit_signals(content: Column, lowered: Column, stripped: Column) -> li
             ),
         )
 
-    # The literals avoid letters with non-ASCII case variants: FIXME, HACK and NOTE by "xme:", "hac", "note:".
-    todo_gate = any_of([lowered.contains(x) for x in ("todo:", "xme:", "hac", "note:", "xxx:")])
-    calls = _total_matches(content, [(p, content.contains(lit)) for p, lit in DEBUG_CALLS])
+    todo_gate = may_match(lowered, TODO_NEEDS, parts)
+    calls = _total_matches(content, [(p, there(lit, lit.lower())) for p, lit in DEBUG_CALLS])
     return [
         let(F.struct(tries.alias("t"), filled.alias("l")), error_handling),
         let(calls, debugging),
@@ -604,7 +616,7 @@ def documentation_signals(
     return out
 
 
-def configuration_signals(content: Column, lowered: Column) -> list[Column]:
+def configuration_signals(content: Column, lowered: Column, parts: Column | None = None) -> list[Column]:
     blocks = F.when(content.contains("/*"), T.count_matches(content, r"/\*.*?\*/", "s")).otherwise(0)
     tails = F.when(content.contains("//"), T.count_matches(content, r"//.*$", "m")).otherwise(0)
 
@@ -621,7 +633,7 @@ def configuration_signals(content: Column, lowered: Column) -> list[Column]:
             ),
         )
 
-    gate = any_of([lowered.contains(x) for x in ("your", "my", "ample")])
+    gate = may_match(lowered, PLACEHOLDER_NEEDS, parts)
     return [
         let(blocks + tails, commented),
         when_hit(

@@ -183,7 +183,7 @@ def classified(files: DataFrame) -> DataFrame:
 def eligible(files: DataFrame) -> DataFrame:
     """Non-empty, of a known type, at least five lines. Data files pass."""
     return files.where(
-        (F.length("content") > 0) & (F.col("content_type") != "unknown") & (F.col("line_count") >= 5)
+        (F.octet_length("content") > 0) & (F.col("content_type") != "unknown") & (F.col("line_count") >= 5)
     )
 
 

@@ -33,7 +33,8 @@ MARKER_FILES = (
     ("ai-instructions.md", "AI instructions file", 0.85),
 )
 
-# The literals in the fourth column avoid i, k and s: those letters have non-ASCII case variants.
+# The literals in the fourth column avoid i, k and s: those letters have non-ASCII case variants. Where the rest of a literal
+# is a common word, all that lower-casing makes of the variants is listed.
 ATTRIBUTION = (
     (r"🤖\s*Generated with \[Claude", "Claude Code generation marker", 0.98, ("🤖",)),
     (r"Generated with Claude Code", "Claude Code attribution", 0.98, ("th claude code",)),
@@ -49,7 +50,7 @@ ATTRIBUTION = (
     (r"Co-Authored-By:.*OpenAI", "OpenAI co-author", 0.90, ("co-authored-by:",)),
     (r"Written by AI assistant", "Generic AI attribution", 0.85, ("tten by a",)),
     (r"Generated by Cursor", "Cursor generation marker", 0.95, ("by cur",)),
-    (r"aider:", "Aider commit marker", 0.90, ("der:",)),
+    (r"aider:", "Aider commit marker", 0.90, ("aider:", "a\u0131der:", "ai\u0307der:")),
     (r"AI-generated", "Generic AI-generated marker", 0.85, ("-generated",)),
     (r"Generated by AI", "Generic AI generation", 0.85, ("generated by a",)),
     (

@@ -48,17 +48,27 @@ def word_parts(needs: tuple[str, ...]) -> set[str]:
     return {word_part(n) for n in needs} - {None}
 
 
+def placed_words(literal: str) -> list[str]:
+    """The words of a literal as they lie in tokens wherever it occurs: a space stands for the token's begin or end where
+    the literal goes on with something else than a word."""
+    return sorted({" " * (m.start() > 0) + m[0] + " " * (m.end() < len(literal)) for m in re.finditer(r"\w+", literal)})
+
+
 def any_part(parts: Column, literals: tuple[str, ...]) -> Column:
-    """Whether ``parts``, those that tokens of a text hold, leave room for one of the literals."""
-    return any_of([F.array_contains(parts, word_part(n)) for n in literals])
+    """Whether one of the literals is among ``parts``, those that the tokens of a text leave room for."""
+    return any_of([F.array_contains(parts, n) for n in literals])
+
+
+def some_part(parts: Column, literals: set[str]) -> Column:
+    """The same for many literals at once."""
+    return F.exists(parts, lambda p: p.isin(sorted(literals)))
 
 
 def may_match(text: Column, needs: tuple[str, ...], parts: Column | None = None) -> Column:
-    """Whether one of the literals is in the text. With ``parts`` of its tokens, the text is only looked through for
-    those whose word is in one of them."""
+    """Whether one of the literals is in the text. With ``parts``, the text is only looked through for those told there."""
     def one(literal: str) -> Column:
         there = holds(text, literal)
-        return there if parts is None or not word_part(literal) else any_part(parts, (literal,)) & there
+        return there if parts is None else any_part(parts, (literal,)) & there
 
     return any_of([one(n) for n in needs])
 

@@ -13,12 +13,16 @@ from . import distribution as D
 from . import heuristics as H
 from . import predictability as P
 from .markers import ATTRIBUTION_RULES, attribution_signals, compact, marker_signals
-from .rules import word_parts
+from .rules import some_part, word_parts
 from .text_bytes import sentences, unknown_characters
 from .token_statistics import token_statistics
 
-#: Parts of words the rules' literals need; where tokens are counted, those that tokens hold are told with the counts.
-PARTS = tuple(sorted(H.PARTS.union(*(word_parts(r.needs) for r in ATTRIBUTION_RULES))))
+ATTRIBUTION_LITERALS = {n for r in ATTRIBUTION_RULES for n in r.needs}
+PHRASE_LITERALS = {n for r in H.PHRASE_RULES for n in r.needs}
+#: The rules' literals; where tokens are counted, those that tokens leave room for are told with the counts.
+LITERALS = tuple(sorted(H.LITERALS | ATTRIBUTION_LITERALS))
+#: They and the words in them.
+PARTS = tuple(sorted(word_parts(LITERALS).union(LITERALS)))
 
 
 def with_text_views(texts: DataFrame, config: ScoringConfig = DEFAULT) -> DataFrame:
@@ -32,7 +36,7 @@ def with_text_views(texts: DataFrame, config: ScoringConfig = DEFAULT) -> DataFr
     if config.enable_heuristic:
         python["_md"] = H.markdown_lists(H.markdown_list_input(content, kind))
     if config.enable_statistical:
-        python["_told"] = token_statistics(low, code, unknown_characters(low), config.ngram_sizes, config.min_tokens, PARTS)
+        python["_told"] = token_statistics(low, code, unknown_characters(low), config.ngram_sizes, config.min_tokens, LITERALS)
     if config.enable_heuristic or config.enable_statistical:
         python["_spoken"] = sentences(low, content, code)
     texts = texts.withColumns(python)
@@ -79,7 +83,7 @@ def code_signals(parts: Column | None = None) -> list[Column]:
         H.comment_signals(F.col("_comments"), stripped)
         + H.structure_signals(F.col("_lines"), stripped)
         + H.naming_signals(content, parts)
-        + H.code_habit_signals(content, F.col("_low"), stripped)
+        + H.code_habit_signals(content, F.col("_low"), stripped, parts)
         + H.docstring_signals(F.col("_docstrings"))
     )
 
@@ -88,8 +92,8 @@ def documentation_signals(parts: Column | None = None) -> list[Column]:
     return H.documentation_signals(F.col("content"), F.col("_low"), F.col("_spoken.long"), F.col("_md"), parts)
 
 
-def configuration_signals() -> list[Column]:
-    return H.configuration_signals(F.col("content"), F.col("_low"))
+def configuration_signals(parts: Column | None = None) -> list[Column]:
+    return H.configuration_signals(F.col("content"), F.col("_low"), parts)
 
 
 def predictability_signals(config: ScoringConfig) -> Column:
@@ -110,18 +114,25 @@ def signal_array(config: ScoringConfig = DEFAULT, *, markers: bool = True) -> Co
     none = F.array().cast(SIGNALS)
     parts = F.col("_parts") if config.enable_statistical else None
     families = []
+
+    def where_told(signals: list[Column], literals: set[str]) -> Column:
+        """No rule of a family is gone through for texts that hold none of its literals."""
+        fired = compact(signals)
+        return fired if parts is None else F.when(some_part(parts, literals), fired).otherwise(none)
+
     if markers:
-        families.append(compact(attribution_signals(content, F.col("_low"), parts)))
+        families.append(where_told(attribution_signals(content, F.col("_low"), parts), ATTRIBUTION_LITERALS))
         families.append(compact(marker_signals(F.col("path"))))
     if config.enable_heuristic:
         by_type = (
             F.when(kind == "code", compact(code_signals(parts)))
             .when(kind == "documentation", compact(documentation_signals(parts)))
-            .when(kind == "configuration", compact(configuration_signals()))
+            .when(kind == "configuration", compact(configuration_signals(parts)))
             .otherwise(none)
         )
-        long_enough = F.length(content) >= config.min_content_length
-        families.append(F.when(long_enough, compact(H.phrase_signals(F.col("_low"), parts))).otherwise(none))
+        long_enough = T.has_length(content, config.min_content_length)
+        phrases = where_told(H.phrase_signals(F.col("_low"), parts), PHRASE_LITERALS)
+        families.append(F.when(long_enough, phrases).otherwise(none))
         families.append(F.when(long_enough, by_type).otherwise(none))
     if config.enable_statistical:
         families.append(

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import placed_words
 from .text_bytes import bytes_of, in_bytes, token_lists
 
 # ---- fixed values ----
@@ -164,19 +165,59 @@ def words_with(words: pa.Array, parts: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def parts_held(words: pa.Array, codes: np.ndarray, rows: np.ndarray, n_rows: int, parts: tuple[str, ...]) -> pa.ListArray:
-    """Those of ``parts`` that are in a token of each text, in their order. ``words`` are the distinct tokens in order;
-    ``codes`` numbers those of ``rows``, each once a row. Only words are searched, which are few beside the tokens."""
-    held = np.zeros((len(parts), len(words)), bool)
-    for i, found in enumerate(words_with(words, parts)):
-        held[i, found] = True
-    telling = held.any(axis=0)
-    at = np.flatnonzero(telling[codes])
-    which, use = np.nonzero(held[:, codes[at]])
-    pairs = np.unique(rows[at[use]] * max(len(parts), 1) + which)
-    of, which = np.divmod(pairs, max(len(parts), 1))
+    """Those of ``parts`` of which each text has every word in some token, where the part leaves it: a part's word that is
+    followed or preceded by something else ends or begins its token. ``words`` are the distinct tokens in order; ``codes``
+    numbers those of ``rows``, each once a row. Only words are searched, which are few beside the tokens. Parts without
+    words are not told."""
+    asked = sorted({w for p in parts for w in placed_words(p)})
+    found = words_with(pc.binary_join_element_wise("", words, "", " "), tuple(asked))
+    which = np.repeat(np.arange(len(asked)), [len(f) for f in found])
+    by_word = np.concatenate([np.zeros(0, np.int64), *found])
+    order = np.argsort(by_word, kind="stable")
+    which, held = which[order], np.bincount(by_word, minlength=len(words))
+    first = np.cumsum(held) - held
+    at = np.flatnonzero(held[codes] > 0)
+    n = held[codes[at]]
+    of = np.repeat(np.arange(len(at)), n)
+    there = np.zeros((n_rows, len(asked)), bool)
+    there[rows[at][of], which[first[codes[at]][of] + places_in_row(of)]] = True
+    number = {w: i for i, w in enumerate(asked)}
+    told = np.zeros((n_rows, len(parts)), bool)
+    for i, part in enumerate(parts):
+        if needed := [number[w] for w in placed_words(part)]:
+            told[:, i] = there[:, needed].all(axis=1)
+    of, which = np.nonzero(told)
     return lists(of, n_rows, pa.array(parts, pa.string()).take(pa.array(which)))
 
 
+def symbols_held(texts: pa.Array, symbols: tuple[str, ...]) -> tuple[np.ndarray, list[str]]:
+    """The rows of the texts that hold each of ``symbols``, which begin outside of ASCII, and which it is."""
+    data, offsets = bytes_of(texts)
+    rows, held = [np.zeros(0, np.int64)], []
+    long = np.flatnonzero(data >= 0xC2) if symbols else np.zeros(0, np.int64)
+    for symbol in symbols:
+        encoded = np.frombuffer(symbol.encode(), np.uint8)
+        at = long[data[long] == encoded[0]]
+        at = at[at + len(encoded) <= len(data)]
+        for i in range(1, len(encoded)):
+            at = at[data[at + i] == encoded[i]]
+        rows.append(np.unique(np.searchsorted(offsets, at, side="right") - 1))
+        held += [symbol] * len(rows[-1])
+    return np.concatenate(rows), held
+
+
+def with_symbols(told: pa.StructArray, texts: pa.Array, parts: tuple[str, ...]) -> pa.StructArray:
+    """``TOLD`` with those of ``parts`` that have no words, such as emojis, looked for in the texts themselves."""
+    rows, held = symbols_held(texts, tuple(p for p in parts if not placed_words(p)))
+    if not held:
+        return told
+    statistics, words = told.flatten()
+    of = np.concatenate([pc.list_parent_indices(words).to_numpy().astype(np.int64), rows])
+    order = np.argsort(of, kind="stable")
+    values = pa.concat_arrays([words.flatten(), pa.array(held, pa.string())]).take(pa.array(order))
+    return pa.StructArray.from_arrays([statistics, lists(of[order], len(texts), values)], ["statistics", "parts"])
+
+
 def statistics_of(texts: pa.Array, sizes: tuple[int, ...], least: int) -> pa.Array:
     """A ``STATISTICS`` struct for each list of tokens, null for lists of fewer than ``least``."""
     return told_of(texts, sizes, least, ()).field("statistics")
@@ -209,7 +250,8 @@ def told_of(texts: pa.Array, sizes: tuple[int, ...], least: int, parts: tuple[st
     gaps = order[follows] - order[follows - 1]
 
     bursts = burstiness(gaps, run[follows], counts, (counts >= 3) & long_enough[run_codes], run_rows, n_rows)
-    falling = np.lexsort((-counts, run_rows))
+    most = int(counts.max(initial=0))
+    falling = stable_order(run_rows * (most + 1) + most - counts)
     falling = falling[places_in_row(run_rows) < ZIPF_RANKS]
     repeated = counts >= REPEAT_COUNT
     ids = np.empty(len(key), np.int64)
@@ -245,7 +287,8 @@ def _told(sizes: tuple[int, ...], least: int, parts: tuple[str, ...]) -> Callabl
     def of(texts: pa.Array, code: pa.Array, unknown: pa.Array) -> pa.Array:
         code, characters = code.to_numpy(zero_copy_only=False), "".join(unknown.drop_null().unique().to_pylist())
         pieces = [token_lists(texts.slice(a, z - a), code[a:z], characters) for a, z in in_bytes(texts) or [(0, 0)]]
-        return pa.concat_arrays([told_of(piece, sizes, least, parts) for lists_of in pieces for piece in in_pieces(lists_of)])
+        told = pa.concat_arrays([told_of(piece, sizes, least, parts) for lists_of in pieces for piece in in_pieces(lists_of)])
+        return with_symbols(told, texts, parts)
 
     of.__annotations__ = {"texts": pa.Array, "code": pa.Array, "unknown": pa.Array, "return": pa.Array}
     return F.arrow_udf(of, TOLD)

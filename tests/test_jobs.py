@@ -429,6 +429,16 @@ def test_spread_only_when_few_splits(spark, tmp_path):
     assert os.path.exists(path)
 
 
+def test_rows_are_spread_without_a_sort(spark, tmp_path):
+    """Equal rows and null ones spread too; every row stays once, and no split is sorted by the hash of its rows."""
+    path = str(tmp_path / "t")
+    spark.range(4000).selectExpr("IF(id % 4 = 0, NULL, 7) AS k", "repeat('x', 50) AS t").repartition(2).write.parquet(path)
+    spread = spread_rows(spark.read.parquet(path))
+    assert spread.columns == ["k", "t"] and spread.groupBy("k").count().orderBy("k").collect() == [(None, 1000), (7, 3000)]
+    assert max(spread.rdd.glom().map(len).collect()) < 4000 / spark.sparkContext.defaultParallelism
+    assert "RoundRobin" not in plan_of(spread)
+
+
 def test_hot_repository(spark):
     """A third of all files and commits in one repo: caps, top-k and sums stay exact."""
     files = corpus.files(spark, SF)

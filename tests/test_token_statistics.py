@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from authorscope import score_files
 from authorscope.functions.regex import SPACE, WORD, first_letters
 from authorscope.operators import heuristics as H
+from authorscope.functions import text as T
+from authorscope.operators import text_bytes as B
 from authorscope.operators import token_statistics as TS
 from authorscope.operators.markers import ATTRIBUTION_RULES, attribution_signals, compact
-from authorscope.operators.rules import holds, word_part
-from authorscope.operators.scoring import PARTS
+from authorscope.operators.rules import holds, placed_words, word_part
+from authorscope.operators.scoring import LITERALS, PARTS
 from authorscope.schema import FILES_SCHEMA
 
 
@@ -137,3 +139,35 @@ def test_classes_hold_the_same_characters(spark):
         for new, plain in ((WORD, r"_\p{L}\p{N}"), (SPACE, r"\s\x0b\x1c-\x1f\x85\p{Z}")):
             for shape in ("[{}]", "[^{}]", "[{}-]", "(?<![{}])\\z"):
                 assert rows.where(F.col("c").rlike(flags + shape.format(new)) != F.col("c").rlike(flags + shape.format(plain))).count() == 0
+
+
+def test_literals_are_told_by_all_their_words():
+    """A word that a literal begins or ends for must be the end or begin of a token; emojis are looked for in the texts."""
+    asked = ("let me ", "der", "here's ", " str", "aıder:", "key", "🤖", "✨")
+    texts = ["outlet me too", "let mean", "me let", "under", "there s", "here sit", "a stress test", "abstract", "aıder:", "monkeys", None, "é🤖 key", "", "✨🤖"]
+    lists = B.token_lists(pa.array(texts, pa.string()), np.zeros(len(texts), bool))
+    told = TS.with_symbols(TS.told_of(lists, (2,), 50, asked), pa.array(texts, pa.string()), asked)
+    assert [set(p) for p in told.field("parts").to_pylist()] == [
+        {"let me "}, set(), {"let me "}, {"der"}, {"here's "}, set(), {" str"}, set(), {"aıder:", "der"}, {"key"}, set(),
+        {"key", "🤖"}, set(), {"🤖", "✨"},
+    ]
+    for literal in LITERALS:
+        if words := placed_words(literal):
+            tokens = B.token_lists(pa.array([f"x {literal.strip()} x"]), np.array([True]))
+            assert literal in TS.told_of(tokens, (), 50, LITERALS).field("parts").to_pylist()[0] and all(w.strip() for w in words)
+
+
+def test_variants_of_letters_are_found(spark):
+    """Unicode's other forms of i and k match without case, so the literals leave room for them."""
+    texts = ["AIDER: fix", "aİder: fix", "AıDER: fix", "under: fix", "HACK: implement the rest of it now\n" * 2]
+    rows = spark.createDataFrame([("r", f"{i}.py", 400, f"{t}\n" + "some plain words\n" * 30) for i, t in enumerate(texts)], FILES_SCHEMA)
+    got = {r.path: {s.name for s in r.signals} for r in score_files(rows).collect()}
+    assert ["Aider commit marker" in got[f"{i}.py"] for i in range(5)] == [True, True, True, False, False]
+    assert "AI-style TODO comments" in got["4.py"]
+
+
+def test_characters_are_counted_of_short_texts_alone(spark):
+    texts = ["", "a" * 49, "a" * 50, "é" * 49, "é" * 50, "🚀" * 49, "🚀" * 50, "a" * 199, "a\n\nb\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.has_length(F.col("t"), 50).alias("h"), T.line_count(F.col("t")).alias("n"))
+    for r in rows.collect():
+        assert (r.h, r.n) == ((None, None) if r.t is None else (len(r.t) >= 50, r.t.count("\n") + 1))
