@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import any_of
+from ..functions.exprs import any_of, let
 from ..functions.regex import java_regex
 from ..schema import SIGNALS, signal
 from .classify import file_name
@@ -161,9 +161,8 @@ def multiple_markers(markers: DataFrame) -> DataFrame:
 ANY_AUTHOR = java_regex("|".join(f"(?:{pattern})" for pattern, _, _ in AUTHORS), "i")
 
 
-def message_marker_signals(message: Column) -> list[Column]:
+def message_marker_signals(message: Column, lowered: Column) -> list[Column]:
     """Attribution patterns in the message of one commit."""
-    lowered = F.lower(message)
     return [
         F.when(
             may_match(lowered, rule.needs) & message.rlike(java_regex(rule.pattern, "i")),
@@ -210,7 +209,9 @@ def commit_markers(message: Column, author: Column, email: Column) -> Column:
     """Signals of one commit: attribution patterns in the message, then author name and e-mail patterns. The patterns
     for people are only gone through where one of them matches."""
     people = F.when(is_ai_author(author) | is_ai_author(email), compact(person_marker_signals(author, email)))
-    return F.concat(compact(message_marker_signals(message)), F.coalesce(people, F.array().cast(SIGNALS)))
+    # Bound, as each literal test in the array would lower-case the message again.
+    told = let(F.lower(message), lambda lowered: compact(message_marker_signals(message, lowered)))
+    return F.concat(told, F.coalesce(people, F.array().cast(SIGNALS)))
 
 
 def is_ai_author(author: Column) -> Column:

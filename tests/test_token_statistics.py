@@ -16,7 +16,7 @@ from authorscope.operators import heuristics as H
 from authorscope.functions import text as T
 from authorscope.operators import text_bytes as B
 from authorscope.operators import token_statistics as TS
-from authorscope.operators.markers import ATTRIBUTION_RULES, attribution_signals, compact
+from authorscope.operators.markers import ATTRIBUTION_RULES, attribution_signals, commit_markers, compact
 from authorscope.operators.rules import holds, placed_words, word_part
 from authorscope.operators.scoring import LITERALS, PARTS
 from authorscope.schema import FILES_SCHEMA
@@ -171,3 +171,13 @@ def test_characters_are_counted_of_short_texts_alone(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.has_length(F.col("t"), 50).alias("h"), T.line_count(F.col("t")).alias("n"))
     for r in rows.collect():
         assert (r.h, r.n) == ((None, None) if r.t is None else (len(r.t) >= 50, r.t.count("\n") + 1))
+
+
+def test_messages_are_lowered_once(spark):
+    """Message and people patterns of a commit; the message is not lower-cased for each literal."""
+    texts = ["AIDER: tidy", "Generated with Claude Code", "word", "", None]
+    rows = spark.createDataFrame([(t, "Ann Lee", "ann@example.org") for t in texts], "m string, a string, e string")
+    marked = rows.select("m", commit_markers(F.col("m"), F.col("a"), F.col("e")).alias("s"))
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 1
+    got = {r.m: [x.name for x in r.s] for r in marked.collect()}
+    assert got == {t: [] for t in texts} | {"AIDER: tidy": ["Commit: Aider commit marker"], "Generated with Claude Code": ["Commit: Claude Code attribution"]}
